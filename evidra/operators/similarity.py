@@ -189,10 +189,12 @@ def rank_of_pair(pairs: DataFrame, item_terms: DataFrame, a: str = "a", b: str =
               .groupBy("seed", "item").agg(F.sum("ic").alias("shared")))
     sims = (shared.join(totals, "item").join(totals.toDF("seed", "seed_total"), "seed")
             .select("seed", "item", gic(F.col("shared"), F.col("seed_total"), F.col("total")).alias("s")))
-    target = (pairs.join(sims.toDF(a, b, "sim"), [a, b], "left").select(a, b, F.coalesce("sim", F.lit(0.0)).alias("sim")))
-    better = (target.join(sims, target[a] == sims["seed"]).where(F.col("s") > F.col("sim"))
-              .groupBy(a, b).agg(F.count(F.lit(1)).alias("n_better")))
-    return target.join(better, [a, b], "left").select(a, b, "sim", (F.coalesce("n_better", F.lit(0)) + 1).alias("rank"))
+    asked = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    target = (asked.join(sims.toDF("_a", "_b", "sim"), ["_a", "_b"], "left").select("_a", "_b", F.coalesce("sim", F.lit(0.0)).alias("sim")))
+    better = (target.join(sims, F.col("_a") == F.col("seed")).where(F.col("s") > F.col("sim"))
+              .groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n_better")))
+    return (target.join(better, ["_a", "_b"], "left")
+            .select(F.col("_a").alias(a), F.col("_b").alias(b), "sim", (F.coalesce("n_better", F.lit(0)) + 1).alias("rank")))
 
 
 def set_overlap(pairs: DataFrame, item_terms: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
