@@ -21,7 +21,7 @@ SETTINGS = {
 def local_session(cores: int | str = 8, app: str = "evidra", **extra: str) -> SparkSession:
     """A single-machine session for tests and the benchmark; a cluster brings its own session."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
-               .config("spark.ui.enabled", "false")
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("EVIDRA_DRIVER_MEMORY", "12g"))
                .config("spark.sql.shuffle.partitions", "8"))
     for key, value in {**SETTINGS, **extra}.items():
