@@ -49,8 +49,8 @@ def shared_records(assets: DataFrame, near: DataFrame, owners: DataFrame, n: int
     assets: owner, record, type_rank, type. near: owner, partner, near_rank. owners: owner, gene, has_people.
     A partner of the same gene is no route. Order: type, near before far, near rank, with people first, record, partner.
     Records listed by very many owners would pair up all of them, so partners per (record, type) are taken from the
-    record's best listers only: those near the owner (joined through ``near``) and the record's n + 1 + same-gene smallest
-    ids per (gene, has_people), which is enough for an exact top n.
+    record's best listers only: those near the owner (joined through ``near``), and per has_people the n smallest ids of the
+    n + 1 genes that come first, which is enough for an exact top n whatever the owner's own gene is.
     """
     o = assets.join(owners, "owner")
     me = o.select("owner", "record", "type", "type_rank", "gene")
@@ -62,10 +62,9 @@ def shared_records(assets: DataFrame, near: DataFrame, owners: DataFrame, n: int
     few = o.withColumn("_r", F.row_number().over(small)).where(F.col("_r") <= n)
     genes = Window.partitionBy("record", "type", "has_people").orderBy("_first", "gene")
     firsts = few.groupBy("record", "type", "has_people", "gene").agg(F.min("owner").alias("_first"))
-    # n partners come from at most n genes other than one's own, and near partners may repeat: n + 1 genes plus the near list
+    # the first n partners of another gene come from n genes, so with one's own gene the n + 1 with the smallest ids suffice
     listed = firsts.withColumn("_g", F.row_number().over(genes))
-    near_max = 20
-    kept = few.join(listed.where(F.col("_g") <= n + 1 + near_max).select("record", "type", "has_people", "gene"), ["record", "type", "has_people", "gene"])
+    kept = few.join(listed.where(F.col("_g") <= n + 1).select("record", "type", "has_people", "gene"), ["record", "type", "has_people", "gene"])
     far = (me.join(kept.select(F.col("owner").alias("partner"), "record", "type", F.col("gene").alias("p_gene"), F.col("has_people").alias("p_people")), ["record", "type"])
            .where("gene <> p_gene").join(near, ["owner", "partner"], "left"))
     cols = ["owner", "partner", "record", "type_rank", "near_rank", "p_people"]
