@@ -106,7 +106,7 @@ def similar_pairs(item_terms: DataFrame, threshold: float) -> DataFrame:
              .join(side.toDF("a", "terms_a", "ta", "copies_a"), "a")
              .join(sets.select("item", "terms", "total", "copies", "n_total").toDF("b", "terms_b", "tb", "copies_b", "n_total"), "b"))
     shared = _weight_of(F.array_intersect("terms_a", "terms_b"), F.col("n_total"))
-    return (pairs.withColumn("sim", gic(shared, F.col("ta"), F.col("tb")))
+    return (pairs.withColumn("shared", shared).withColumn("sim", gic(F.col("shared"), F.col("ta"), F.col("tb")))
             .where(F.col("sim") >= threshold - 1e-12)
             .select("a", "b", "sim", "copies_a", "copies_b"))
 
@@ -122,7 +122,7 @@ def top_k(item_terms: DataFrame, k: int, frequent: int = 2000) -> DataFrame:
     ``frequent`` only decides which terms go through the pair join (held by at most that many items) and which
     through the frequent-term path.
     """
-    weighted = _with_total(weigh(item_terms).where("ic > 0"), item_terms)
+    weighted = cut(_with_total(weigh(item_terms).where("ic > 0"), item_terms))  # read four times below
     hot = F.col("n_items") > frequent
     sizes = weighted.groupBy("item").agg(
         F.sum("ic").alias("total"), F.first("n_total").alias("n_total"),
@@ -133,15 +133,16 @@ def top_k(item_terms: DataFrame, k: int, frequent: int = 2000) -> DataFrame:
     counted = (left.join(right, "term").where("item < other")
                .groupBy("item", "other").agg(F.sum("ic").alias("rare_shared")))
     hot_shared = _weight_of(F.array_intersect("hot_a", "hot_b"), F.col("n_total"))
+    any_hot = not weighted.where(hot).isEmpty()
     scored = (counted
               .join(sizes.select("item", "n_total", F.col("total").alias("ta"), F.col("hot_terms").alias("hot_a")), "item")
               .join(sizes.select(F.col("item").alias("other"), F.col("total").alias("tb"), F.col("hot_terms").alias("hot_b")), "other")
-              .withColumn("sim", gic(F.col("rare_shared") + hot_shared, F.col("ta"), F.col("tb")))
-              .select("item", "other", "sim"))
+              .withColumn("shared", F.col("rare_shared") + hot_shared if any_hot else F.col("rare_shared"))
+              .select("item", "other", gic(F.col("shared"), F.col("ta"), F.col("tb")).alias("sim")))
     both = scored.withColumn("way", F.explode(F.array(F.struct("item", "other"), F.struct(F.col("other").alias("item"), F.col("item").alias("other"))))) \
         .select("way.item", "way.other", "sim")
     first = _ranked(both, k)
-    if item_terms.groupBy("term").count().where(F.col("count") > frequent).isEmpty():
+    if not any_hot:
         return first
     first = cut(first)
     # Items whose k-th best so far could still lose to a partner sharing frequent terms only.
@@ -160,8 +161,8 @@ def top_k(item_terms: DataFrame, k: int, frequent: int = 2000) -> DataFrame:
             .join(heads.select(F.col("item").alias("other"), F.col("total").alias("tb"), F.col("hot_terms").alias("hot_b")), "hot_b")
             .where("item <> other")
             .withColumn("hot_a", F.col("hot_terms"))
-            .withColumn("sim", gic(hot_shared, F.col("ta"), F.col("tb")))
-            .select("item", "other", "sim"))
+            .withColumn("shared", hot_shared)
+            .select("item", "other", gic(F.col("shared"), F.col("ta"), F.col("tb")).alias("sim")))
     merged = first.select("item", "other", "sim").unionByName(late).groupBy("item", "other").agg(F.max("sim").alias("sim"))
     return _ranked(merged, k)
 
@@ -171,8 +172,8 @@ def score_pairs(pairs: DataFrame, item_terms: DataFrame, a: str = "a", b: str =
     base = _profiles(item_terms).select("item", "total", "terms", "n_total")
     out = (pairs.join(base.toDF(a, "_ta", "_sa", "_n"), a, "left").join(base.drop("n_total").toDF(b, "_tb", "_sb"), b, "left"))
     shared = _weight_of(F.array_intersect("_sa", "_sb"), F.col("_n"))
-    return (out.withColumn("sim", F.coalesce(gic(shared, F.col("_ta"), F.col("_tb")), F.lit(0.0)))
-            .drop("_ta", "_tb", "_sa", "_sb", "_n"))
+    return (out.withColumn("_s", shared).withColumn("sim", F.coalesce(gic(F.col("_s"), F.col("_ta"), F.col("_tb")), F.lit(0.0)))
+            .drop("_ta", "_tb", "_sa", "_sb", "_n", "_s"))
 
 
 def rank_of_pair(pairs: DataFrame, item_terms: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
