@@ -33,7 +33,7 @@ def read_graph_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
            .select(F.col("p.val").alias("alt"), "id"))
     live = terms.select("id")
     edges = (graph.select(F.explode("g.edges").alias("e")).where("e.pred = 'is_a'").select(curie(F.col("e.sub")).alias("child"), curie(F.col("e.obj")).alias("parent"))
-             .join(live.withColumnRenamed("id", "child"), "child", "left_semi").join(live.withColumnRenamed("id", "parent"), "parent", "left_semi"))
+             .join(live.withColumnRenamed("id", "child"), "child", "left_semi").join(live.withColumnRenamed("id", "parent"), "parent", "left_semi").select("child", "parent"))
     return {"terms": terms, "edges": edges, "alt_ids": alt}
 
 

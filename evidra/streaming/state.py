@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-DAY = 86400
+DAY_MS = 86_400_000
 
 
-def _ms(at) -> int:
-    return int(at.timestamp() * 1000)
+def _keyed(events: DataFrame, watermark: str, key: str):
+    """Grouped stream with the event time also as ``ms`` (epoch milliseconds), the only time the processors use."""
+    return events.withWatermark("at", watermark).withColumn("ms", F.unix_millis("at")).groupBy(key)
 
 
 class PresenceProcessor(StatefulProcessor):
@@ -26,41 +28,42 @@ class PresenceProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at timestamp, doing string, topic string")
+        self.last = handle.getValueState("last", "ms long, doing string, topic string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        at = doing = topic = None
+        ms = doing = topic = None
         if self.last.exists():
-            at, doing, topic = self.last.get()
+            ms, doing, topic = self.last.get()
         out = []
-        for r in sorted(rows, key=lambda r: (r.at, r.seq)):
-            if at is not None and r.at < at:
+        for r in sorted(rows, key=lambda r: (r.ms, r.seq)):
+            if ms is not None and r.ms < ms:
                 continue
-            repeated = doing == r.doing and at is not None and (r.at - at).total_seconds() < self.repeat
-            at, doing, topic = r.at, r.doing, r.topic if r.topic is not None else topic
+            repeated = doing == r.doing and ms is not None and r.ms - ms < self.repeat * 1000
+            ms, doing, topic = r.ms, r.doing, r.topic if r.topic is not None else topic
             if not repeated:
-                out.append(Row(actor=key[0], at=at, doing=doing, topic=topic, online=True))
-        if at is not None:
-            self.last.update((at, doing, topic))
-            for t in self.handle.listTimers():
+                out.append(Row(actor=key[0], ms=ms, doing=doing, topic=topic, online=True))
+        if ms is not None:
+            self.last.update((ms, doing, topic))
+            for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(_ms(at) + self.expire * 1000)
+            self.handle.registerTimer(ms + self.expire * 1000)
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.last.exists():
-            at, doing, topic = self.last.get()
+            ms, doing, topic = self.last.get()
             self.last.clear()
-            yield Row(actor=key[0], at=at, doing=doing, topic=topic, online=False)
+            yield Row(actor=key[0], ms=ms, doing=doing, topic=topic, online=False)
 
     def close(self) -> None:
         pass
 
 
 def presence(events: DataFrame, expire: int = 900, repeat: int = 10, watermark: str = "1 minute") -> DataFrame:
-    """Stream of state changes. events: actor, at (timestamp), seq, doing, topic."""
-    return (events.withWatermark("at", watermark).groupBy("actor")
-            .transformWithState(PresenceProcessor(expire, repeat), "actor long, at timestamp, doing string, topic string, online boolean", "Append", "EventTime"))
+    """Stream of state changes: actor, at, doing, topic, online. events: actor, at (timestamp), seq, doing, topic."""
+    out = (_keyed(events, watermark, "actor")
+           .transformWithState(PresenceProcessor(expire, repeat), "actor long, ms long, doing string, topic string, online boolean", "Append", "EventTime"))
+    return out.select("actor", F.timestamp_millis("ms").alias("at"), "doing", "topic", "online")
 
 
 class QuotaProcessor(StatefulProcessor):
@@ -70,7 +73,7 @@ class QuotaProcessor(StatefulProcessor):
         self.quota, self.leases, self.lease_seconds = quota, leases, lease_seconds
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "admitted array<double>, items array<string>, until array<double>")
+        self.state = handle.getValueState("state", "admitted array<bigint>, items array<string>, until array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         admitted, held = [], {}
@@ -78,16 +81,16 @@ class QuotaProcessor(StatefulProcessor):
             a, items, until = self.state.get()
             admitted, held = list(a), dict(zip(items, until))
         out = []
-        for r in sorted(rows, key=lambda r: (r.at, r.seq)):
-            now = r.at.timestamp()
-            admitted = [t for t in admitted if t > now - DAY]
+        for r in sorted(rows, key=lambda r: (r.ms, r.seq)):
+            now = r.ms
+            admitted = [t for t in admitted if t > now - DAY_MS]
             held = {k: u for k, u in held.items() if u > now}
             if r.kind == "release":
                 ok = held.pop(r.item, None) is not None
             elif r.kind == "lease":
                 ok = r.item in held or len(held) < self.leases
                 if ok:
-                    held[r.item] = now + self.lease_seconds
+                    held[r.item] = now + self.lease_seconds * 1000
             else:
                 ok = len(admitted) < self.quota
                 if ok:
@@ -105,7 +108,7 @@ def quotas(requests: DataFrame, quota: int = 5, leases: int = 3, lease_seconds:
 
     Requests of one actor are decided in event-time order within a micro-batch.
     """
-    return (requests.withWatermark("at", watermark).groupBy("actor")
+    return (_keyed(requests, watermark, "actor")
             .transformWithState(QuotaProcessor(quota, leases, lease_seconds), "actor long, seq long, kind string, ok boolean", "Append", "EventTime"))
 
 
@@ -121,10 +124,10 @@ class DailyRequestProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         out = []
-        for r in sorted(rows, key=lambda r: (r.at, r.seq)):
+        for r in sorted(rows, key=lambda r: (r.ms, r.seq)):
             if self.seen.containsKey((r.target,)):
                 continue
-            day = r.at.strftime("%Y-%m-%d")
+            day = r.day
             self.seen.updateValue((r.target,), (day,))
             n = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else 0
             if n < self.per_day:
@@ -138,7 +141,7 @@ class DailyRequestProcessor(StatefulProcessor):
 
 def unique_requests(requests: DataFrame, per_day: int = 10, watermark: str = "1 minute") -> DataFrame:
     """visitor, target, seq of the counted requests. requests: visitor, target (string), at, seq."""
-    return (requests.withWatermark("at", watermark).groupBy("visitor")
+    return (_keyed(requests.withColumn("day", F.date_format("at", "yyyy-MM-dd")), watermark, "visitor")
             .transformWithState(DailyRequestProcessor(per_day), "visitor long, target string, seq long", "Append", "EventTime"))
 
 
@@ -150,19 +153,19 @@ class GraceProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.touched = handle.getValueState("touched", "proposed timestamp, done boolean")
+        self.touched = handle.getValueState("touched", "proposed long, done boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         proposed, done = self.touched.get() if self.touched.exists() else (None, False)
-        for r in sorted(rows, key=lambda r: r.at):
+        for r in sorted(rows, key=lambda r: r.ms):
             if r.kind == "proposed" and proposed is None:
-                proposed = r.at
+                proposed = r.ms
                 if not done:
-                    self.handle.registerTimer(_ms(proposed) + self.wait * 1000)
+                    self.handle.registerTimer(proposed + self.wait * 1000)
             elif r.kind != "proposed":
                 done = True
         if done:
-            for t in self.handle.listTimers():
+            for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
         self.touched.update((proposed, done))
         return iter([])
@@ -179,5 +182,5 @@ class GraceProcessor(StatefulProcessor):
 
 def review_grace(events: DataFrame, wait: int = 600, watermark: str = "1 minute") -> DataFrame:
     """claim_id, proposed. events: claim_id, at, kind (proposed / review / challenge)."""
-    return (events.withWatermark("at", watermark).groupBy("claim_id")
-            .transformWithState(GraceProcessor(wait), "claim_id long, proposed timestamp", "Append", "EventTime"))
+    out = _keyed(events, watermark, "claim_id").transformWithState(GraceProcessor(wait), "claim_id long, proposed long", "Append", "EventTime")
+    return out.select("claim_id", F.timestamp_millis("proposed").alias("proposed"))
