@@ -39,16 +39,18 @@ def _prefixes(word) -> Column:
 def name_search(queries: DataFrame, index: DataFrame, n: int = 12) -> DataFrame:
     """query, kind, ref, score, rank: the n best entities per query.
 
-    Every kind of match needs each query word to begin some word of the name, so names are joined on the query's longest
-    word as a word prefix. An entity scores by its best name plus up to 3 x 3 points for further matching names.
+    Every kind of match needs each query word to begin some word of the name, so names are joined on the query's rarest
+    word prefix. An entity scores by its best name plus up to 3 x 3 points for further matching names.
     """
-    asked = (queries.select("query", plain("query").alias("q")).where("q <> ''").distinct()
-             .withColumn("tokens", F.split("q", " "))
-             .withColumn("block", F.array_max(F.transform("tokens", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]))
-    names = index.withColumn("norm", plain("text")).withColumn("words", F.split("norm", " ")).withColumn("nid", F.xxhash64("norm", "kind", "ref"))
-    blocked = (names.select("norm", "words", "kind", "ref", "prominence", F.explode(F.array_distinct(F.flatten(F.transform("words", _prefixes)))).alias("block"))
-               .join(asked.select("block").distinct(), "block", "left_semi"))
-    hits = blocked.join(asked, "block")
+    asked = queries.select("query", plain("query").alias("q")).where("q <> ''").distinct().withColumn("tokens", F.split("q", " "))
+    names = index.withColumn("norm", plain("text")).withColumn("words", F.split("norm", " "))
+    blocked = names.select("norm", "words", "kind", "ref", "prominence", F.explode(F.array_distinct(F.flatten(F.transform("words", _prefixes)))).alias("block"))
+    wanted = asked.select("query", F.explode(F.array_distinct("tokens")).alias("block"))
+    spread = blocked.join(wanted.select("block").distinct(), "block", "left_semi").groupBy("block").agg(F.count(F.lit(1)).alias("df"))
+    # a query word that begins no word of any name rules the query out
+    rarest = (wanted.join(spread, "block", "left").groupBy("query").agg(F.min_by("block", F.struct("df", "block")).alias("block"), F.count_if(F.col("df").isNull()).alias("unknown"))
+              .where("unknown = 0").select("query", "block"))
+    hits = blocked.join(asked.join(rarest, "query"), "block")
     over = (F.length("norm") - F.length("q")).cast("double")
     spaced = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
     all_begin = F.forall("tokens", lambda t: F.exists("words", lambda w: F.startswith(w, t)))

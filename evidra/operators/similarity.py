@@ -93,14 +93,21 @@ def similar_pairs(item_terms: DataFrame, threshold: float) -> DataFrame:
                                            F.first("terms").alias("terms")))
     exploded = sets.select("item", "total", "n_total", F.explode("terms").alias("term"))
     ic = -F.log(F.substring("term", 1, _WIDTH).cast("double") / F.col("n_total"))
-    seen = F.sum(ic).over(Window.partitionBy("item").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    prefix = (exploded.withColumn("ic", ic).withColumn("left", F.col("total") - seen + F.col("ic"))
-              .where(F.col("left") >= (threshold - 1e-9) * F.col("total")))
-    a = prefix.select("term", F.col("item").alias("a"), F.col("total").alias("ta"))
-    b = prefix.select("term", F.col("item").alias("b"), F.col("total").alias("tb"))
+    walk = Window.partitionBy("item").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = (threshold - 1e-9) * F.col("total")
+    walked = (exploded.withColumn("ic", ic).withColumn("left", F.col("total") - F.sum("ic").over(walk) + F.col("ic"))
+              .withColumn("rest", F.coalesce(F.max(F.when(F.col("left") < reach, F.col("left"))).over(Window.partitionBy("item")), F.lit(0.0))))
+    prefix = walked.where(F.col("left") >= reach)
+    a = prefix.select("term", "ic", F.col("item").alias("a"), F.col("total").alias("ta"), F.col("left").alias("la"), F.col("rest").alias("ra"))
+    b = prefix.select("term", F.col("item").alias("b"), F.col("total").alias("tb"), F.col("left").alias("lb"), F.col("rest").alias("rb"))
+    needed = (threshold / (1 + threshold) - 1e-9) * (F.col("ta") + F.col("tb"))  # shared weight a qualifying pair must reach
+    # At the first common term both sides' remaining weight bounds what they share; afterwards the common prefix weight
+    # plus the weight behind the shorter prefix does. Both bounds are safe, so only pairs near the threshold are verified.
     candidates = (a.join(b, "term")
                   .where((F.col("a") < F.col("b")) & (F.least("ta", "tb") >= (threshold - 1e-9) * F.greatest("ta", "tb")))
-                  .select("a", "b").distinct())
+                  .groupBy("a", "b").agg(F.sum("ic").alias("common"), F.max(F.least("la", "lb")).alias("first"),
+                                         F.first("ta").alias("ta"), F.first("tb").alias("tb"), F.greatest(F.first("ra"), F.first("rb")).alias("behind"))
+                  .where((F.col("first") >= needed) & (F.col("common") + F.col("behind") >= needed)).select("a", "b"))
     side = sets.select("item", "terms", "total", "copies")
     pairs = (candidates
              .join(side.toDF("a", "terms_a", "ta", "copies_a"), "a")

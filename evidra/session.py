@@ -23,7 +23,9 @@ def local_session(cores: int | str = 8, app: str = "evidra", **extra: str) -> Sp
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("EVIDRA_DRIVER_MEMORY", "12g"))
-               .config("spark.sql.shuffle.partitions", "8"))
+               .config("spark.sql.shuffle.partitions", "8")
+               # small test tables: keep every core busy instead of merging shuffle partitions up to 1 MB
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k"))
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -48,3 +50,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so an iterative plan stays short and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan with fewer splits than cores before CPU-heavy work; a large input has more and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidra.session import spread
+
+TEXTS = ("documents", "pages")  # scanned with heavy per-row text work
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
          "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -18,5 +21,6 @@ class Tables:
         if name not in NAMES:
             raise AttributeError(name)
         if name not in self._open:
-            self._open[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+            self._open[name] = spread(df) if name in TEXTS else df
         return self._open[name]
