@@ -100,29 +100,27 @@ def phrase_match(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     population, which only decide the priority: 0 a main phrase in the title, 1 in the population field, 2 elsewhere in the
     text, 3 only an alias. An ambiguous symbol counts only when it occurs with its exact spelling or a name occurs as well.
 
-    Blocking: a phrase is joined on its rarest word with that word's offset, then the whole word sequence is compared.
+    Blocking: a document is paired with a phrase only through the phrase's rarest word, then the whole word sequence is
+    looked for in the document's word string, which is built once per document.
     """
-    texts = docs.select("doc_id", words("text").alias("tokens"))
-    exploded = texts.select("doc_id", F.posexplode("tokens").alias("pos", "word"))
-    spread = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    def word_string(field):
+        return F.concat(F.lit(" "), F.array_join(words(field), " "), F.lit(" "))
+    texts = docs.select("doc_id", "text", word_string("text").alias("said"), word_string("title").alias("title"), word_string("population").alias("population"))
+    doc_words = docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
+    spread = doc_words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     p = (phrases.withColumn("want", words("phrase")).where(F.size("want") > 0)
-         .withColumn("pid", F.sha2(F.concat_ws("\x00", F.col("entity").cast("string"), "kind", "phrase"), 256)))
+         .withColumn("pid", F.sha2(F.concat_ws("\x00", F.col("entity").cast("string"), "kind", "phrase"), 256))
+         .withColumn("sequence", F.concat(F.lit(" "), F.array_join("want", " "), F.lit(" "))))
     # a word the documents never use rules its phrase out
-    spelled = p.select("pid", F.posexplode("want").alias("off", "word")).join(spread, "word", "left")
-    anchor = (spelled.groupBy("pid").agg(F.min(F.struct("df", "off", "word")).alias("a"), F.count_if(F.col("df").isNull()).alias("unknown"))
-              .where("unknown = 0").select("pid", F.col("a.off").alias("off"), F.col("a.word").alias("word")))
-    anchored = p.join(anchor, "pid")
-    spots = exploded.join(anchored.select("word", "off", "want", "pid"), "word").where("pos >= off")
-    found = (spots.join(texts, "doc_id")
-             .where(F.expr("slice(tokens, pos - off + 1, size(want)) = want")).select("doc_id", "pid").distinct())
-    hits = found.join(anchored.select("pid", "entity", "kind", "phrase", "ambiguous", "want"), "pid").join(docs, "doc_id")
-
-    def sequence_in(field):
-        return F.contains(F.concat(F.lit(" "), F.array_join(words(field), " "), F.lit(" ")),
-                          F.concat(F.lit(" "), F.array_join("want", " "), F.lit(" ")))
+    spelled = p.select("pid", F.explode(F.array_distinct("want")).alias("word")).join(spread, "word", "left")
+    anchor = (spelled.groupBy("pid").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.count_if(F.col("df").isNull()).alias("unknown"))
+              .where("unknown = 0").select("pid", "word"))
+    anchored = p.join(anchor, "pid").select("word", "entity", "kind", "phrase", "ambiguous", "sequence")
+    hits = doc_words.join(anchored, "word").join(texts, "doc_id").where(F.contains("said", F.col("sequence")))
     exact = F.regexp_instr("text", F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("phrase"), F.lit(r"\E(?![\p{L}\p{N}_])"))) > 0
     main = F.col("kind") != "alias"
-    level = F.when(main & sequence_in("title"), 0).when(main & sequence_in("population"), 1).when(main, 2).otherwise(3)
+    level = (F.when(main & F.contains("title", F.col("sequence")), 0).when(main & F.contains("population", F.col("sequence")), 1)
+             .when(main, 2).otherwise(3))
     return (hits.withColumn("firm", (F.col("kind") != "symbol") | ~F.col("ambiguous") | exact).withColumn("level", level)
             .groupBy("doc_id", "entity").agg(F.bool_or("firm").alias("firm"), F.min("level").alias("priority"))
             .where("firm").select("doc_id", "entity", "priority"))
