@@ -119,7 +119,8 @@ def similar_pairs(item_terms: DataFrame, threshold: float) -> DataFrame:
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("item").orderBy(F.desc("sim"), F.asc("other"))
+    # compared to 1e-9, so the summation order of a shuffle cannot flip a tie
+    w = Window.partitionBy("item").orderBy(F.desc(F.round("sim", 9)), F.asc("other"))
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -196,7 +197,7 @@ def rank_of_pair(pairs: DataFrame, item_terms: DataFrame, a: str = "a", b: str =
     shared = (seed_terms.join(weighted, "term").where("seed <> item")
               .groupBy("seed", "item").agg(F.sum("ic").alias("shared")))
     sims = (shared.join(totals, "item").join(totals.toDF("seed", "seed_total"), "seed")
-            .select("seed", "item", gic(F.col("shared"), F.col("seed_total"), F.col("total")).alias("s")))
+            .select("seed", "item", F.round(gic(F.col("shared"), F.col("seed_total"), F.col("total")), 9).alias("s")))
     asked = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
     target = (asked.join(sims.toDF("_a", "_b", "sim"), ["_a", "_b"], "left").select("_a", "_b", F.coalesce("sim", F.lit(0.0)).alias("sim")))
     better = (target.join(sims, F.col("_a") == F.col("seed")).where(F.col("s") > F.col("sim"))
