@@ -144,7 +144,6 @@ def best_sentence(docs: DataFrame, target: str, organization_words: str = ORGANI
     hit_end = F.col("hit") + F.length(F.regexp_substr("line", F.lit(pattern)))
     before = F.expr("substring(line, 1, hit)")
     s1 = F.when(F.contains(before, F.lit(". ")), F.length(before) - F.length(F.substring_index(before, ". ", -1))).otherwise(0)
-    nxt = F.locate(". ", F.col("line"), 1)
     rows = rows.withColumn("n", n).withColumn("hit_end", hit_end).withColumn("s1", s1)
     nxt = F.expr("locate('. ', line, hit_end + 1)")
     rows = rows.withColumn("e1", F.when(nxt > 0, nxt).otherwise(F.col("n")))

@@ -17,9 +17,6 @@ def coverage_report(t):
     return M.coverage(t.customer, counts)
 
 
-CALLS = "event_type AS task, CAST(user_id % 3 AS {s}) AS model, value AS reserved, CASE WHEN event_type = 'error' THEN NULL ELSE value * 0.8 END AS actual, ts AS at"
-
-
 def calls(t):
     return t.events.selectExpr("event_type AS task", "CAST(user_id % 3 AS STRING) AS model", "value AS reserved", "CASE WHEN event_type = 'error' THEN NULL ELSE value * 0.8D END AS actual", "ts AS at")
 

@@ -90,7 +90,6 @@ SELECT doc_id, coalesce(CASE WHEN recorded IS NULL THEN 'source is not archived'
   WHEN trim(regexp_replace(substring(text, start + 1, "end" - start), '\\s+', ' ', 'g')) <> trim(regexp_replace(quote, '\\s+', ' ', 'g')) THEN 'quote not at its offsets' END, 'ok') AS reason
 FROM ev LEFT JOIN src USING (source_id)""")
 def audit_quotes(t):
-    t.documents.createOrReplaceTempView("evidra_documents")
     ev = (t.labels.alias("l").join(t.documents.select("doc_id", "text").alias("d"), F.col("l.doc_id") == F.col("d.doc_id"))
           .selectExpr(*[x.strip() for x in ["l.doc_id AS doc_id", "CASE WHEN quality = 0 AND toxic = 1 THEN concat('missing-', l.doc_id) ELSE CAST(l.doc_id AS STRING) END AS source_id",
                       "CASE WHEN toxic = 1 THEN 'not in the text' ELSE replace(substring(d.text, 11, 60), ' ', '  ') END AS quote",
