@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, linededup, mixing
+from . import chat, fingerprints, linededup, mixing, ngram_join, packing, passages, quality, sequences, topk
 from .common import sha256, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +64,22 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query("""
+WITH v AS (
+    SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of highest inner product for each fiftieth vector, against all vectors."""
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda vec_id: vec_id % 50 == 0)
+
+
 @query()
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k fingerprints of all documents and of their edited texts, with the likeness to the edit and to the next document."""
@@ -90,6 +107,32 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", sha256(F.col("kept")).alias("kept_sha256"))
 
 
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of all documents, learnt outside the held-out fold."""
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                            table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+@query()
+def op6_pack_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of balanced cost."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of all documents that repeat an earlier passage."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op8_pack_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed id matrices with segment lengths and position resets."""
+    return sequences.pack_matrix(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query(r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -112,3 +155,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.chat_digests(chat.format_chats(turns.unionByName(odd)))
+
+
+@query()
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and the number of links of all documents, at a likeness of 0.8 of their five-word n-grams."""
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
