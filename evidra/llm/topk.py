@@ -37,8 +37,8 @@ class SlicedBlock:
         self.bits = max(int(kept.max()).bit_length(), 1)
         self.slices = np.empty((dims, self.bits, self.words), U)
         for b in range(self.bits):
-            plane = (padded >> U(b) & U(1)).astype(np.uint8).T.reshape(dims, self.words, 64)
-            self.slices[:, b] = np.packbits(plane, axis=2, bitorder="little").view(U).reshape(dims, self.words)
+            plane = np.ascontiguousarray((padded >> U(b) & U(1)).astype(np.uint8).T)
+            self.slices[:, b] = np.ascontiguousarray(np.packbits(plane, axis=1, bitorder="little")).view(U)
         self.present = np.packbits(np.arange(self.words * 64) < n, bitorder="little").view(U)
         middle = ((1 << self.drop) - 1) / 2
         self.rest = np.sqrt(((up - (kept.astype(np.int64) << self.drop) - middle) ** 2).sum(axis=1).max()) if n else 0.0
