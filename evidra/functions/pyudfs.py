@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 SKIPPED = {"script", "style", "noscript", "nav", "footer", "header"}
 LINE_ENDS = {"p", "div", "li", "h1", "h2", "h3", "h4", "tr", "br"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 @F.pandas_udf(T.StringType())
@@ -29,19 +30,23 @@ def strip_marks(text: pd.Series) -> pd.Series:
 class _Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.skip, self.out, self.title, self.in_title = 0, [], [], False
+        self.skip, self.out, self.title, self.in_title, self.open = 0, [], [], False, []
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.skip += 1
+        if tag not in VOID:
+            self.open.append(tag)
+            self.skip += tag in SKIPPED
         if tag == "title":
             self.in_title = True
         if tag == "br" and not self.skip:
             self.out.append("\n")
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED and self.skip:
-            self.skip -= 1
+        while tag in self.open:  # what was left open inside ends with its parent
+            last = self.open.pop()
+            self.skip -= last in SKIPPED
+            if last == tag:
+                break
         if tag == "title":
             self.in_title = False
         if tag in LINE_ENDS and not self.skip:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# every kind of blank, as the inside of a character class; Java's own \\s knows only the ASCII ones
+LINE_BLANK = " \t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = LINE_BLANK + "\n"
+
 # Directories and platforms that are not an organization's own site
 NOT_AN_ORGANIZATION = (
     "facebook.com", "instagram.com", "twitter.com", "x.com", "linkedin.com", "youtube.com", "tiktok.com", "wikipedia.org",
@@ -13,9 +19,27 @@ NOT_AN_ORGANIZATION = (
     "clevelandclinic.org", "healthline.com", "webmd.com")
 
 
+def _base_letters() -> tuple[str, str]:
+    """Letters with marks and the letters under them, by the Unicode decompositions of the European scripts."""
+    pairs = []
+    for code in (*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code):
+            pairs.append((chr(code), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, UNMARKED = _base_letters()
+
+
+def fold_marks(text) -> Column:
+    """Text without accents: loose combining marks go, letters with marks become their base letters."""
+    return F.translate(F.regexp_replace(text, "[\u0300-\u036f]+", ""), MARKED, UNMARKED)
+
+
 def plain(text) -> Column:
-    """Lower case, everything but ASCII letters and digits becomes one space."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    """Accents folded, lower case, everything but ASCII letters and digits becomes one space."""
+    return F.trim(F.regexp_replace(F.lower(fold_marks(text)), "[^a-z0-9]+", " "))
 
 
 def words(text) -> Column:
@@ -24,7 +48,7 @@ def words(text) -> Column:
 
 
 def one_space(text) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
 
 
 def capitalised(text) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.pyudfs import nfc
-from evidra.functions.strings import one_space, words
+from evidra.functions.strings import BLANK, LINE_BLANK, one_space, words
 
 MAX_QUOTE = 2000
 # Words that mark a sentence about an organization
@@ -17,9 +17,9 @@ def canonical_text(text) -> Column:
     """NFC, LF line ends, blanks collapsed and trimmed per line, at most one empty line, trimmed."""
     t = F.regexp_replace(nfc(text), "\r\n?", "\n")
     t = F.regexp_replace(t, "[ \t\u00a0\u2009\u202f]+", " ")
-    t = F.regexp_replace(t, r"[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n")
+    t = F.regexp_replace(t, f"[{LINE_BLANK}]*\n[{LINE_BLANK}]*", "\n")
     t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
+    return F.regexp_replace(t, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def canonical_quote(text) -> Column:
@@ -29,11 +29,11 @@ def canonical_quote(text) -> Column:
 def quote_pattern(quote) -> Column:
     """A literal pattern in which every blank of the quote matches any run of whitespace."""
     safe = F.replace(one_space(quote), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return F.concat(F.lit("\\Q"), F.replace(safe, F.lit(" "), F.lit("\\E\\s+\\Q")), F.lit("\\E"))
+    return F.concat(F.lit("\\Q"), F.replace(safe, F.lit(" "), F.lit(f"\\E[{BLANK}]+\\Q")), F.lit("\\E"))
 
 
 def _tokens(text) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    return F.filter(F.split(text, f"[{BLANK}]+"), lambda x: x != "")
 
 
 def locate_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -134,11 +134,10 @@ def best_sentence(docs: DataFrame, target: str, organization_words: str = ORGANI
     """
     pattern = rf"(?<![A-Za-z0-9]){target}(?![A-Za-z0-9])"
     lines = F.split(F.col("text"), "\n")
-    starts = F.aggregate(lines, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    rows = (docs.where(F.col("text").rlike(pattern))
-            .select("doc_id", F.posexplode(F.arrays_zip(lines.alias("line"), starts.alias("at"))).alias("pos", "z"))
-            .select("doc_id", "pos", F.col("z.line").alias("line"), F.col("z.at").alias("at"))
-            .where(F.col("line").isNotNull()).withColumn("hit", F.regexp_instr("line", F.lit(pattern)) - 1)
+    before_line = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (docs.where(F.col("text").rlike(pattern)).select("doc_id", F.posexplode(lines).alias("pos", "line"))
+            .withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before_line), F.lit(0)).cast("int"))
+            .withColumn("hit", F.regexp_instr("line", F.lit(pattern)) - 1)
             .where((F.col("hit") >= 0) & (F.length(F.trim("line")) >= 25)))
     n = F.length("line")
     hit_end = F.col("hit") + F.length(F.regexp_substr("line", F.lit(pattern)))

@@ -43,7 +43,7 @@ def typed_queries(t):
             .union(p.selectExpr("concat(lower(left(p_type, 4)), ' ', split_part(p_name, ' ', 2))"))).distinct()
 
 
-NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+NORM = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query("name_search", f"""WITH {INDEX}, q AS (SELECT query, {NORM.format("query")} AS q FROM ({TYPED})),

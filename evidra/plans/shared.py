@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.functions.strings import words
 from evidra.tables import Tables
 
 
@@ -33,13 +34,11 @@ sims AS (
 
 def doc_words(t: Tables) -> DataFrame:
     """item = document, term = distinct lower-case word."""
-    words = F.split(F.lower("text"), "[^a-z0-9]+")
-    return (t.documents.select(F.col("doc_id").alias("item"), F.explode(F.array_distinct(words)).alias("term"))
-            .where("term <> ''"))
+    return t.documents.select(F.col("doc_id").alias("item"), F.explode(F.array_distinct(words("text"))).alias("term"))
 
 
 DOC_WORDS = """item_terms AS (
-  SELECT * FROM (SELECT doc_id AS item, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS term
+  SELECT * FROM (SELECT doc_id AS item, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'))) AS term
                  FROM documents) WHERE term <> '')"""
 
 

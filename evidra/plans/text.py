@@ -3,59 +3,93 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.functions import strings
+from evidra.functions.strings import BLANK, LINE_BLANK
 from evidra.functions.pyudfs import html_text
 from evidra.operators import text as X
 from evidra.sources import archive as A
 
 from .registry import query
 
-# Documents as they might arrive: CRLF line ends, tabs between words, accents decomposed, blank lines around.
-DIRTY = "concat('\n\n ', replace(replace(replace(text, '\n', ' \r\n\r\n\r\n '), ' ', ' \t '), 'é', 'e\u0301'), ' \n')"
-CLEAN = """trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({}), '\r\n?', '\n', 'g'), '[ \t\u00a0\u2009\u202f]+', ' ', 'g'),
-  '[^\\S\n]*\n[^\\S\n]*', '\n', 'g'), '\n{{3,}}', '\n\n', 'g'), ' \n\t\r')"""
+# Documents as they might arrive: CRLF line ends, tabs and wide blanks between words and lines, accents decomposed, blank lines around.
+DIRTY = "concat('\n\u3000\n ', replace(replace(replace(text, '\n', '\u2003 \r\n\r\n\u2028\r\n '), ' ', ' \t\u00a0'), 'é', 'e\u0301'), ' \n\u3000')"
+CLEAN = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({}), '\r\n?', '\n', 'g'), '[ \t\u00a0\u2009\u202f]+', ' ', 'g'),
+  '[@L]*\n[@L]*', '\n', 'g'), '\n{{3,}}', '\n\n', 'g'), '^[@B]+|[@B]+$', '', 'g')""".replace("@L", LINE_BLANK).replace("@B", BLANK)
+
+
+def dirty():
+    return F.expr(DIRTY.replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t"))
 
 
 @query("canonical_text", f"""SELECT doc_id, sha256({CLEAN.format(DIRTY)}) AS text_hash, CAST(length({CLEAN.format(DIRTY)}) AS INTEGER) AS n_chars FROM documents""")
 def canonical_text(t):
-    clean = t.documents.select("doc_id", X.canonical_text(F.expr(DIRTY.replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t"))).alias("c"))
+    clean = t.documents.select("doc_id", X.canonical_text(dirty()).alias("c"))
     return clean.select("doc_id", F.sha2("c", 256).alias("text_hash"), F.length("c").alias("n_chars"))
 
 
-@query("normalize_text", """SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS norm_hash FROM documents""")
+@query("normalize_text", """SELECT doc_id, sha256(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))) AS norm_hash FROM documents""")
 def normalize_text(t):
     return t.documents.select("doc_id", F.sha2(strings.plain("text"), 256).alias("norm_hash"))
 
 
-@query("content_id", """SELECT c_custkey, concat('claim:sha256:', sha256(concat('{"c_custkey":', c_custkey, ',"c_mktsegment":"', c_mktsegment, '","c_name":"', c_name, '"}'))) AS claim_id FROM customer""")
+@query("content_id", """SELECT c_custkey, concat('claim:sha256:', sha256(concat('{"c_custkey":', c_custkey, ',"c_mktsegment":"', c_mktsegment, '","c_name":"', c_name, '","note":',
+  CASE WHEN c_acctbal < 0 THEN 'null' ELSE concat('"caf\u00e9 ', c_nationkey, '"') END, '}'))) AS claim_id FROM customer""")
 def content_id(t):
-    return t.customer.select("c_custkey", A.content_id("claim", ["c_name", "c_custkey", "c_mktsegment"]).alias("claim_id"))
+    """Claims with a field that is null for some and holds a decomposed accent for the others."""
+    note = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("cafe\u0301 "), F.col("c_nationkey")))
+    rows = t.customer.withColumn("note", note)
+    return rows.select("c_custkey", A.content_id("claim", ["c_name", "c_custkey", "c_mktsegment", "note"], ["note"]).alias("claim_id"))
 
 
-@query("content_archive", """SELECT concat('sha256:', sha256(text)) AS source_id, min(doc_id) AS doc_id, concat('sha256:', sha256(text)) AS raw_hash, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY text""")
+@query("content_archive", f"""WITH a AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, {DIRTY} FROM documents),
+h AS (SELECT doc_id, concat('sha256:', sha256(text)) AS raw_hash, concat('sha256:', sha256({CLEAN.format("text")})) AS source_id FROM a)
+SELECT source_id, min(doc_id) AS doc_id, arg_min(raw_hash, doc_id) AS raw_hash, CAST(count(*) AS BIGINT) AS copies FROM h GROUP BY source_id""")
 def content_archive(t):
-    return A.archive(t.documents, F.col("text"))
-
-
-FINGERPRINTED = {"customer": ["c_custkey", "c_name", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-                 "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"], "documents": ["doc_id", "text"]}
+    """Every document and a copy of it with other line ends, blanks and accents: one source for both."""
+    docs = t.documents.select("doc_id", "text")
+    both = docs.unionByName(docs.select((-1 - F.col("doc_id")).alias("doc_id"), dirty().alias("text")))
+    return A.archive(both, X.canonical_text(F.col("text")))
+
+
+# every column of every table; numbers with a point and times are spelled the same by any engine
+PLAIN, NUMBER, TIME, LIST = "{c}", "CAST(round({c} * 1e6) AS BIGINT)", "time", "list"
+FINGERPRINTED = {
+    "region": {"r_regionkey": PLAIN, "r_name": PLAIN}, "nation": {"n_nationkey": PLAIN, "n_name": PLAIN, "n_regionkey": PLAIN},
+    "customer": {"c_custkey": PLAIN, "c_name": PLAIN, "c_nationkey": PLAIN, "c_acctbal": NUMBER, "c_mktsegment": PLAIN},
+    "supplier": {"s_suppkey": PLAIN, "s_name": PLAIN, "s_nationkey": PLAIN, "s_acctbal": NUMBER},
+    "part": {"p_partkey": PLAIN, "p_name": PLAIN, "p_brand": PLAIN, "p_type": PLAIN, "p_size": PLAIN, "p_retailprice": NUMBER},
+    "orders": {"o_orderkey": PLAIN, "o_custkey": PLAIN, "o_orderstatus": PLAIN, "o_totalprice": NUMBER, "o_orderdate": TIME, "o_orderpriority": PLAIN},
+    "lineitem": {"l_orderkey": PLAIN, "l_partkey": PLAIN, "l_suppkey": PLAIN, "l_linenumber": PLAIN, "l_quantity": NUMBER, "l_extendedprice": NUMBER,
+                 "l_discount": NUMBER, "l_tax": NUMBER, "l_returnflag": PLAIN, "l_linestatus": PLAIN, "l_shipdate": TIME},
+    "events": {"event_id": PLAIN, "ts": TIME, "user_id": PLAIN, "event_type": PLAIN, "value": NUMBER, "props": PLAIN},
+    "documents": {"doc_id": PLAIN, "text": PLAIN, "lang": PLAIN, "source": PLAIN, "n_chars": PLAIN},
+    "embeddings": {"vec_id": PLAIN, "embedding": LIST, "label": PLAIN}, "pages": {"page_id": PLAIN, "url": PLAIN, "html": PLAIN},
+    "benchmark": {"item_id": PLAIN, "text": PLAIN}, "labels": {"doc_id": PLAIN, "quality": PLAIN, "toxic": PLAIN},
+    "conversations": {"conv_id": PLAIN, "turn": PLAIN, "role": PLAIN, "text": PLAIN}}
 
 
 def _digest_sql(name, cols):
-    return f"""SELECT '{name}' AS dataset, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CAST(concat('0x', left(sha256(concat_ws('|', {', '.join(cols)})), 12)) AS BIGINT)) AS VARCHAR) AS digest FROM {name}"""
+    spelled = {PLAIN: "CAST({c} AS VARCHAR)", NUMBER: f"CAST({NUMBER} AS VARCHAR)", TIME: "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')",
+               LIST: "array_to_string(list_transform({c}, lambda x: CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT)), ',')"}
+    cells = [spelled[kind].format(c=c) for c, kind in cols.items()]
+    row = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in cells)
+    return f"""SELECT '{name}' AS dataset, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CAST(concat('0x', left(sha256({row}), 12)) AS BIGINT)) AS VARCHAR) AS digest FROM {name}"""
 
 
 @query("dataset_fingerprint", " UNION ALL ".join(_digest_sql(n, c) for n, c in FINGERPRINTED.items()))
 def dataset_fingerprint(t):
     out = None
+    spelled = {TIME: "date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')",
+               LIST: "array_join(transform({c}, x -> CAST(round(CAST(x AS DOUBLE) * 1e6D) AS BIGINT)), ',')", NUMBER: "CAST(round({c} * 1e6D) AS BIGINT)"}
     for name, cols in FINGERPRINTED.items():
-        row = A.fingerprint(getattr(t, name), cols).select(F.lit(name).alias("dataset"), "n_rows", "digest")
+        rows = getattr(t, name).select(*[F.expr(spelled.get(kind, kind).format(c=c)).alias(c) for c, kind in cols.items()])
+        row = A.fingerprint(rows, list(cols)).select(F.lit(name).alias("dataset"), "n_rows", "digest")
         out = row if out is None else out.unionByName(row)
     return out
 
 
 LOCATED = """loc AS (SELECT item_id AS quote_id, doc_id, strpos(d.text, m) - 1 AS start, strpos(d.text, m) - 1 + length(m) AS "end", b.text AS quote, d.text AS text FROM (
-  SELECT item_id, doc_id, regexp_extract(d.text, regexp_replace(regexp_escape(regexp_replace(trim(b.text), '\\s+', ' ', 'g')), '\\\\? ', '\\\\s+', 'g')) AS m
-  FROM benchmark b, documents d) JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE m <> '')"""
+  SELECT item_id, doc_id, regexp_extract(d.text, regexp_replace(regexp_escape(regexp_replace(trim(b.text), '[@B]+', ' ', 'g')), '\\\\? ', '[@B]+', 'g')) AS m
+  FROM benchmark b, documents d) JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE m <> '')""".replace("@B", BLANK)
 
 
 def located(t):
