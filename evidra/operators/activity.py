@@ -47,14 +47,32 @@ def heartbeat(events: DataFrame, now: Column, alive: int = HEARTBEAT_SECONDS) ->
 
 
 def suppress_repeats(events: DataFrame, within: int = REPEAT_SECONDS) -> DataFrame:
-    """Drop an event that repeats the same actor's previous state within a few seconds.
+    """Drop an event whose actor, state and topic are those last shown less than ``within`` seconds ago. A dropped event does not restart
+    the clock, so steady activity shows again every ``within`` seconds. A missing topic means the actor's latest known one.
 
-    Hot actors are spread over day buckets; a bucket's first event looks back at the previous bucket's last one.
+    Hot actors are spread over days: what a day needs from the days before (last event, last topic, start of the running burst) comes
+    from one row per actor and day. Events of one state with gaps under ``within`` form a burst, whose first event is always shown; only
+    inside a burst is the rule applied in order. events: actor, at, seq, doing, topic.
     """
-    day = F.floor(F.unix_seconds("at") / 86400)
-    rows = events.withColumn("_d", day)
-    w = Window.partitionBy("actor", "_d").orderBy("at", "seq")
-    last = rows.groupBy("actor", (F.col("_d") + 1).alias("_d")).agg(F.max(F.struct("at", "seq", "doing")).alias("_l"))
-    prev = rows.join(last, ["actor", "_d"], "left").withColumn("_p", F.coalesce(F.lag(F.struct("at", "seq", "doing")).over(w), "_l"))
-    repeat = (F.col("_p.doing") == F.col("doing")) & (F.unix_seconds("at") - F.unix_seconds("_p.at") < within)
-    return prev.where(~F.coalesce(repeat, F.lit(False))).drop("_d", "_l", "_p")
+    rows = events.withColumn("_d", F.floor(F.unix_seconds("at") / 86400))
+    in_day = Window.partitionBy("actor", "_d").orderBy("at", "seq")
+    before = Window.partitionBy("actor").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    last_topic = F.max(F.when(F.col("topic").isNotNull(), F.struct("at", "seq", "topic")))["topic"]
+    days = (rows.groupBy("actor", "_d").agg(F.max(F.struct("at", "seq", "doing")).alias("_l"), last_topic.alias("_t"))
+            .select("actor", "_d", F.last("_l").over(before).alias("_l"), F.last("_t", ignorenulls=True).over(before).alias("_t")))
+    rows = rows.join(days, ["actor", "_d"]).withColumn("_topic", F.coalesce(F.last("topic", ignorenulls=True).over(in_day), "_t"))
+    shown = F.struct("at", "doing", F.col("_topic").alias("topic"))
+    rows = rows.withColumn("_p", F.coalesce(F.lag(shown).over(in_day), F.when(F.col("_l").isNotNull(), F.struct("_l.at", "_l.doing", F.col("_t").alias("topic")))))
+    span = F.lit(within * 1_000_000)
+    fresh = (F.col("_p").isNull() | ~F.col("_p.doing").eqNullSafe(F.col("doing")) | ~F.col("_p.topic").eqNullSafe(F.col("_topic"))
+             | (F.unix_micros("at") - F.unix_micros("_p.at") >= span))
+    rows = rows.withColumn("_f", F.when(fresh, F.struct("at", "seq")))
+    starts = (rows.groupBy("actor", "_d").agg(F.max("_f").alias("_s")).select("actor", "_d", F.last("_s", ignorenulls=True).over(before).alias("_s")))
+    rows = rows.join(starts, ["actor", "_d"]).withColumn("_burst", F.coalesce(F.last("_f", ignorenulls=True).over(in_day), "_s"))
+    burst = F.array_sort(F.collect_list(F.struct(F.unix_micros("at").alias("us"), "seq", F.struct(*events.columns).alias("row"))))
+    bursts = rows.groupBy("actor", "_burst").agg(burst.alias("b"))
+    state = "struct<us:bigint,kept:array<int>>"
+    kept = F.aggregate(F.sequence(F.lit(0), F.size("b") - 1), F.lit(None).cast(state), lambda acc, i: F.when(
+        acc.isNull() | (F.get("b", i)["us"] - acc["us"] >= span),
+        F.struct(F.get("b", i)["us"].alias("us"), F.concat(F.coalesce(acc["kept"], F.array().cast("array<int>")), F.array(i)).alias("kept"))).otherwise(acc))
+    return bursts.select(F.explode(F.transform(kept["kept"], lambda i: F.get("b", i)["row"])).alias("row")).select("row.*")

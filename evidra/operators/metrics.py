@@ -71,15 +71,35 @@ def progress_since(targets: DataFrame, findings: DataFrame, requests: DataFrame)
             .na.fill(0, ["n_findings", "n_requests"]))
 
 
-def distinct_requests(requests: DataFrame, per_day: int = 10) -> DataFrame:
-    """target, n: distinct visitors per target; a visitor's first request for a target counts, at most per_day new ones a day.
+def counted_requests(requests: DataFrame, per_day: int = 10) -> DataFrame:
+    """visitor, target, day: each target counts once per visitor, at most ``per_day`` a visitor and day. A request beyond that is refused
+    and leaves no trace, so the same target counts on a later day on which it is asked for again.
 
-    requests: visitor, target, at, seq.
+    A visitor's requests are first reduced to one row per day and target; a small state machine then goes through the visitor's
+    days. requests: visitor, target (string or long), at, seq.
     """
-    first = requests.groupBy("visitor", "target").agg(F.min(F.struct("at", "seq")).alias("f")).select("visitor", "target", "f.at", "f.seq")
-    w = Window.partitionBy("visitor", F.date_format("at", "yyyy-MM-dd")).orderBy("at", "seq")
-    kept = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_day)
-    return kept.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    day = F.date_format("at", "yyyy-MM-dd").alias("day")
+    asked = requests.groupBy("visitor", day, "target").agg(F.min(F.struct("at", "seq")).alias("f")).select("visitor", "day", "target", "f.at", "f.seq")
+
+    def admit(rows):
+        rows = rows.sort_values(["day", "at", "seq"])
+        counted, today, left, keep = set(), None, 0, []
+        for day, target in zip(rows["day"], rows["target"]):
+            if day != today:
+                today, left = day, per_day
+            new = left > 0 and target not in counted
+            if new:
+                counted.add(target)
+                left -= 1
+            keep.append(new)
+        return rows.loc[keep, ["visitor", "target", "day"]]
+
+    return asked.groupBy("visitor").applyInPandas(admit, asked.select("visitor", "target", "day").schema)
+
+
+def distinct_requests(requests: DataFrame, per_day: int = 10) -> DataFrame:
+    """target, n: distinct visitors whose request for the target counts (``counted_requests``)."""
+    return counted_requests(requests, per_day).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def latency(rows: DataFrame, by: str) -> DataFrame:

@@ -49,7 +49,13 @@ def activity_sessions(t):
     return A.sessions(events(t), 3600).select("actor", stamp("start").alias("start"), stamp("end").alias("end"), "n")
 
 
-@query("suppressed_feed", """WITH p AS (SELECT *, lag(event_type) OVER w AS pe, floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id AS seq FROM p WHERE NOT coalesce(pe = event_type AND d < 7200, false)""")
+@query("suppressed_feed", """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_type, CASE WHEN value > 60 THEN floor(value) END AS topic,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, n, event_id, ts AS told, event_type AS doing, topic, true AS shown FROM e WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, CASE WHEN shown THEN now_at ELSE told END, CASE WHEN shown THEN now_doing ELSE doing END, CASE WHEN shown THEN now_topic ELSE topic END, shown FROM (
+    SELECT e.user_id, e.n, e.event_id, s.told, s.doing, s.topic, e.ts AS now_at, e.event_type AS now_doing, coalesce(e.topic, s.topic) AS now_topic,
+      NOT (s.doing = e.event_type AND coalesce(e.topic, s.topic) IS NOT DISTINCT FROM s.topic AND e.ts < s.told + INTERVAL 7200 SECOND) AS shown
+    FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT event_id AS seq FROM s WHERE shown""")
 def suppressed_feed(t):
     return A.suppress_repeats(events(t), 7200).select("seq")

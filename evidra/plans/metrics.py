@@ -83,9 +83,11 @@ def progress_since(t):
     return M.progress_since(targets, rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus = 'O'"))
 
 
-@query("distinct_requests", """WITH f AS (SELECT user_id, CAST(floor(value) AS BIGINT) % 40 AS target, min((ts, event_id)) AS m FROM events GROUP BY ALL),
-g AS (SELECT user_id, target, m[1] AS ts, m[2] AS event_id FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS k FROM g)
-SELECT target, CAST(count(*) AS BIGINT) AS n FROM r WHERE k <= 3 GROUP BY target""".replace("min((ts, event_id)) AS m", "min(row(ts, event_id)) AS m"))
+@query("distinct_requests", """WITH RECURSIVE e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(floor(value) AS BIGINT) % 40 AS target, min(row(ts, event_id)) AS m FROM events GROUP BY ALL),
+d AS (SELECT user_id, list(target ORDER BY m) AS targets, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k FROM e GROUP BY user_id, day),
+s AS (SELECT user_id, k, targets[1:3] AS counted FROM d WHERE k = 1
+  UNION ALL SELECT d.user_id, d.k, list_concat(s.counted, list_filter(d.targets, lambda x: NOT list_contains(s.counted, x))[1:3]) FROM s JOIN d ON d.user_id = s.user_id AND d.k = s.k + 1)
+SELECT target, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(arg_max(counted, k)) AS target FROM s GROUP BY user_id) GROUP BY target""")
 def distinct_requests(t):
     return M.distinct_requests(t.events.selectExpr("user_id AS visitor", "CAST(floor(value) AS BIGINT) % 40 AS target", "ts AS at", "event_id AS seq"), 3)
 

@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CURIE = r"([A-Za-z]+)[_:]([0-9]+)$"
-# Evidence codes an annotation may rest on
-EVIDENCE_CODES = ("EXP", "IDA", "IPI", "IMP", "IGI", "IEP", "HDA", "HMP", "TAS", "IC")
+# Evidence codes an annotation may rest on (everything but electronic annotation and "no data")
+EVIDENCE_CODES = ("EXP", "IDA", "IPI", "IMP", "IGI", "IEP", "HTP", "HDA", "HMP", "HGI", "HEP", "IBA", "IBD", "IKR", "IRD", "ISS", "ISO", "ISA", "ISM",
+                  "IGC", "RCA", "TAS", "NAS", "IC")
+
+
+# Fixed value: a member of a complex, as the public table writes it
+MEMBER = r"([A-Z0-9]+)(?:-[A-Z0-9_]+)?\([0-9]+\)"
 
 
 def _first(values: Column) -> Column:
@@ -110,6 +115,23 @@ def read_dosage(spark: SparkSession, path: str) -> DataFrame:
             .select(F.get(p, 0).alias("symbol"), F.get(p, 4).alias("haploinsufficiency_score"), F.get(p, 12).alias("triplosensitivity_score")))
 
 
+def read_gene_phenotype(spark: SparkSession, path: str) -> DataFrame:
+    """Gene-phenotype CSV: record, gene, symbol, disease name and ids, allelic requirement, confidence, consequence, mechanism and its
+    support, phenotypes, papers, mined papers, panels, date of the last review."""
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    def text(name):
+        return F.coalesce(F.col(f"`{name}`"), F.lit(""))
+    def parts(name):
+        return F.filter(F.transform(F.split(text(name), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return raw.select(
+        text("g2p id").alias("record"), F.concat(F.lit("HGNC:"), "`hgnc id`").alias("gene"), text("gene symbol").alias("symbol"), text("disease name").alias("disease"),
+        F.nullif(text("disease MONDO"), F.lit("")).alias("mondo_id"), F.concat(F.lit("OMIM:"), F.nullif(text("disease mim"), F.lit(""))).alias("omim_id"),
+        text("allelic requirement").alias("allelic_requirement"), text("confidence").alias("confidence"), text("variant consequence").alias("consequence"),
+        text("molecular mechanism").alias("mechanism"), text("molecular mechanism support").alias("mechanism_support"), parts("phenotypes").alias("phenotypes"),
+        parts("publications").alias("pmids"), parts("additional mined publications").alias("mined_pmids"), parts("panel").alias("panels"),
+        F.substring(text("date of last review"), 1, 10).alias("reviewed"))
+
+
 def read_submissions(spark: SparkSession, path: str, prefix: str = "HGNC:") -> DataFrame:
     raw = read_table(spark, path, ["gene_curie", "disease_curie", "submitter_title", "classification_title", "submitted_as_pmids", "submitted_as_date"])
     return raw.where(F.col("gene_curie").startswith(prefix)).select(
@@ -154,12 +176,26 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---- gzip line formats ------------------------------------------------------------------------------------------------
-def read_gaf(spark: SparkSession, path: str, codes: tuple[str, ...] = EVIDENCE_CODES) -> DataFrame:
-    """symbol, term, aspect of trusted process and component annotations. A gzip file is one task; many files are many."""
+def read_gaf(spark: SparkSession, path: str, codes: tuple[str, ...] = EVIDENCE_CODES, symbols: DataFrame | None = None,
+             terms: DataFrame | None = None, alt_ids: DataFrame | None = None) -> DataFrame:
+    """symbol, term, aspect, code of trusted process and component annotations; of several codes for one the smallest.
+
+    With ``symbols`` (key, gene) the symbol is looked up in upper case and ``gene`` comes instead; with ``terms`` (id) and ``alt_ids``
+    (alt, id) old term ids become current ones and unknown ones go. A gzip file is one task; many files are many.
+    """
     p = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("!")).select(
         F.get(p, 2).alias("symbol"), F.get(p, 3).alias("qualifier"), F.get(p, 4).alias("term"), F.get(p, 6).alias("code"), F.get(p, 8).alias("aspect"))
-    return rows.where(F.col("aspect").isin("P", "C") & F.col("code").isin(*codes) & ~F.col("qualifier").startswith("NOT")).select("symbol", "term", "aspect").distinct()
+    rows = rows.where(F.col("aspect").isin("P", "C") & F.col("code").isin(*codes) & ~F.col("qualifier").startswith("NOT"))
+    who = "symbol"
+    if symbols is not None:
+        rows, who = rows.withColumn("key", F.upper("symbol")).join(symbols.select("key", "gene"), "key"), "gene"
+    if alt_ids is not None:
+        rows = (rows.join(alt_ids.select(F.col("alt").alias("term"), F.col("id").alias("current")), "term", "left")
+                .withColumn("term", F.coalesce("current", "term")).drop("current"))
+    if terms is not None:
+        rows = rows.join(terms.select(F.col("id").alias("term")).distinct(), "term", "left_semi")
+    return rows.groupBy(who, "term", "aspect").agg(F.min("code").alias("code"))
 
 
 def read_interactions(spark: SparkSession, links: str, info: str, floor: int = 700) -> DataFrame:
@@ -176,10 +212,12 @@ def read_pathways(spark: SparkSession, path: str, species: str = "Homo sapiens")
 
 
 def read_complexes(spark: SparkSession, path: str) -> DataFrame:
-    """complex, name, accession: the proteins inside one cell, taken with one pattern (isoform suffixes dropped)."""
-    rows = read_table(spark, path, ["#Complex ac", "Recommended name", "Expanded participant list"])
-    members = F.regexp_extract_all("Expanded participant list", F.lit(r"(?:^|\||\[|,)([A-Z0-9]{6,10})(?:-\d+|-PRO_\d+)?\("), 1)
-    return rows.select(F.col("#Complex ac").alias("complex"), F.col("Recommended name").alias("name"), F.explode(members).alias("accession")).distinct()
+    """complex, name, code, accession: the proteins inside one cell, taken with one pattern (suffixes of isoforms and chains dropped)."""
+    cell = "Identifiers (and stoichiometry) of molecules in complex"
+    rows = read_table(spark, path, ["#Complex ac", "Recommended name", "Evidence Code", cell])
+    members = F.regexp_extract_all(F.col(f"`{cell}`"), F.lit(MEMBER), 1)
+    return rows.select(F.col("#Complex ac").alias("complex"), F.col("Recommended name").alias("name"), F.col("Evidence Code").alias("code"),
+                       F.explode(members).alias("accession")).distinct()
 
 
 def crosswalk(members: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -208,6 +246,57 @@ def flatten_trials(raw: DataFrame) -> DataFrame:
                     F.slice(F.when(F.size(contacts) > 0, contacts).otherwise(F.coalesce(officials, F.array().cast("array<string>"))), 1, 3).alias("team"))
 
 
+def study_team(raw: DataFrame) -> DataFrame:
+    """Who runs a registered study (column ``body``): id, sponsor, collaborators, officials (name, affiliation, role), contacts (name, role,
+    email), sites, countries, updated, status.
+
+    Without named officials the responsible investigator stands in. The lists are cut as listings show them: 4 officials, 3 contacts, 5
+    collaborators, 10 countries.
+    """
+    schema = """protocolSection STRUCT<identificationModule: STRUCT<nctId: STRING>, statusModule: STRUCT<overallStatus: STRING, lastUpdatePostDateStruct: STRUCT<date: STRING>>,
+        sponsorCollaboratorsModule: STRUCT<leadSponsor: STRUCT<name: STRING>, collaborators: ARRAY<STRUCT<name: STRING>>,
+            responsibleParty: STRUCT<investigatorFullName: STRING, investigatorAffiliation: STRING>>,
+        contactsLocationsModule: STRUCT<centralContacts: ARRAY<STRUCT<name: STRING, role: STRING, email: STRING>>, locations: ARRAY<STRUCT<country: STRING>>,
+            overallOfficials: ARRAY<STRUCT<name: STRING, affiliation: STRING, role: STRING>>>>"""
+    p = raw.select(F.from_json("body", schema)["protocolSection"].alias("p")).select(
+        "p.identificationModule", "p.statusModule", F.col("p.sponsorCollaboratorsModule").alias("s"), F.col("p.contactsLocationsModule").alias("c"))
+    def role(c):
+        return F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("_"), F.lit(" "))
+    def given(c):
+        return F.coalesce(c, F.lit("")) != ""
+    def listed(c, kind):
+        return F.coalesce(c, F.array().cast(kind))
+    person = "array<struct<name:string,affiliation:string,role:string>>"
+    officials = F.transform(F.filter("c.overallOfficials", lambda o: given(o["name"])), lambda o: F.struct(
+        o["name"].alias("name"), o["affiliation"].alias("affiliation"), role(o["role"]).alias("role")))
+    lead = F.col("s.responsibleParty")
+    stand_in = F.when(given(lead["investigatorFullName"]), F.array(F.struct(
+        lead["investigatorFullName"].alias("name"), lead["investigatorAffiliation"].alias("affiliation"), F.lit("responsible investigator").alias("role"))))
+    contacts = F.transform(F.filter("c.centralContacts", lambda x: given(x["name"]) | given(x["email"])), lambda x: F.struct(
+        x["name"].alias("name"), role(x["role"]).alias("role"), x["email"].alias("email")))
+    return p.select(
+        F.col("identificationModule.nctId").alias("id"), F.col("s.leadSponsor.name").alias("sponsor"),
+        F.slice(listed(F.filter(F.transform("s.collaborators", lambda x: x["name"]), given), "array<string>"), 1, 5).alias("collaborators"),
+        F.when(F.size(listed(officials, person)) > 0, F.slice(officials, 1, 4)).otherwise(listed(stand_in, person)).alias("officials"),
+        F.slice(listed(contacts, "array<struct<name:string,role:string,email:string>>"), 1, 3).alias("contacts"),
+        F.size(listed("c.locations", "array<struct<country:string>>")).alias("sites"),
+        F.slice(F.array_sort(F.array_distinct(F.filter(listed(F.transform("c.locations", lambda x: x["country"]), "array<string>"), given))), 1, 10).alias("countries"),
+        F.col("statusModule.lastUpdatePostDateStruct.date").alias("updated"), F.col("statusModule.overallStatus").alias("status"))
+
+
+def flatten_projects(raw: DataFrame) -> DataFrame:
+    """Grant API pages (column ``body``): number, title, year, investigators, organization, amount, abstract, application."""
+    schema = """results ARRAY<STRUCT<project_num: STRING, project_title: STRING, fiscal_year: INT, principal_investigators: ARRAY<STRUCT<full_name: STRING>>,
+        organization: STRUCT<org_name: STRING>, award_amount: DOUBLE, abstract_text: STRING, appl_id: BIGINT>>"""
+    r = raw.select(F.explode(F.from_json("body", schema)["results"]).alias("r")).select("r.*")
+    def text(c):
+        return F.coalesce(c, F.lit(""))
+    people = F.transform("principal_investigators", lambda x: text(x["full_name"]))
+    return r.select(text("project_num").alias("number"), text("project_title").alias("title"), F.col("fiscal_year").alias("year"),
+                    F.coalesce(people, F.array().cast("array<string>")).alias("investigators"), text("organization.org_name").alias("organization"),
+                    F.col("award_amount").alias("amount"), text("abstract_text").alias("abstract"), F.col("appl_id").alias("application"))
+
+
 def read_cards(pages: DataFrame, card: str, fields: dict[str, str], keys: list[str]) -> DataFrame:
     """Repeated cards of listing pages: one row per match of ``card``, its fields by pattern, distinct by ``keys``."""
     cards = pages.select(F.explode(F.regexp_extract_all("html", F.lit(card), 0)).alias("card"))

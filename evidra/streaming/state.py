@@ -20,8 +20,16 @@ def _keyed(events: DataFrame, watermark: str, key: str):
     return events.withWatermark("at", watermark).withColumn("ms", F.unix_millis("at")).groupBy(key)
 
 
+def _forget_after(handle, ms: int) -> None:
+    """One timer per key, at ``ms``."""
+    for t in list(handle.listTimers()):
+        handle.deleteTimer(t)
+    handle.registerTimer(ms)
+
+
 class PresenceProcessor(StatefulProcessor):
-    """Last state per actor; the topic is carried forward, a repeat within ``repeat`` seconds is dropped, silence expires."""
+    """State last shown per actor. An event with the same state and topic less than ``repeat`` seconds after that is dropped and changes
+    nothing; a missing topic means the last one; silence expires."""
 
     def __init__(self, expire: int = 900, repeat: int = 10):
         self.expire, self.repeat = expire, repeat
@@ -38,11 +46,12 @@ class PresenceProcessor(StatefulProcessor):
         for r in sorted(rows, key=lambda r: (r.ms, r.seq)):
             if ms is not None and r.ms < ms:
                 continue
-            repeated = doing == r.doing and ms is not None and r.ms - ms < self.repeat * 1000
-            ms, doing, topic = r.ms, r.doing, r.topic if r.topic is not None else topic
-            if not repeated:
-                out.append(Row(actor=key[0], ms=ms, doing=doing, topic=topic, online=True))
-        if ms is not None:
+            now = r.topic if r.topic is not None else topic
+            if ms is not None and (doing, topic) == (r.doing, now) and r.ms - ms < self.repeat * 1000:
+                continue
+            ms, doing, topic = r.ms, r.doing, now
+            out.append(Row(actor=key[0], ms=ms, doing=doing, topic=topic, online=True))
+        if out:
             self.last.update((ms, doing, topic))
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
@@ -73,6 +82,7 @@ class QuotaProcessor(StatefulProcessor):
         self.quota, self.leases, self.lease_seconds = quota, leases, lease_seconds
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "admitted array<bigint>, items array<string>, until array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -97,8 +107,13 @@ class QuotaProcessor(StatefulProcessor):
                     admitted.append(now)
             out.append(Row(actor=key[0], seq=r.seq, kind=r.kind, ok=ok))
         self.state.update((admitted, list(held), list(held.values())))
+        _forget_after(self.handle, max([t + DAY_MS for t in admitted] + list(held.values()) + [timerValues.getCurrentWatermarkInMs() + 1]))
         return iter(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.state.clear()  # every admission is a day old and every lease has run out
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -113,28 +128,43 @@ def quotas(requests: DataFrame, quota: int = 5, leases: int = 3, lease_seconds:
 
 
 class DailyRequestProcessor(StatefulProcessor):
-    """A visitor's first request per target counts; at most ``per_day`` new targets a day."""
+    """A target counts once per visitor, at most ``per_day`` a day; a refused request leaves no trace. A visitor who has not been seen for
+    ``keep_days`` is forgotten."""
 
-    def __init__(self, per_day: int = 10):
-        self.per_day = per_day
+    def __init__(self, per_day: int = 10, keep_days: int = 400):
+        self.per_day, self.keep_days = per_day, keep_days
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.seen = handle.getMapState("seen", "target string", "day string")
         self.days = handle.getMapState("days", "day string", "n int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        out = []
+        out, last = [], 0
         for r in sorted(rows, key=lambda r: (r.ms, r.seq)):
             if self.seen.containsKey((r.target,)):
+                last = max(r.ms, last)
                 continue
             day = r.day
-            self.seen.updateValue((r.target,), (day,))
             n = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else 0
             if n < self.per_day:
+                self.seen.updateValue((r.target,), (day,))
                 self.days.updateValue((day,), (n + 1,))
                 out.append(Row(visitor=key[0], target=r.target, seq=r.seq))
+            last = max(r.ms, last)
+        if last:
+            newest = sorted(d[0] for d in self.days.keys())[-3:]
+            for d in [d[0] for d in self.days.keys()]:  # counters of days that no event can reach any more
+                if d not in newest:
+                    self.days.removeKey((d,))
+            _forget_after(self.handle, last + self.keep_days * DAY_MS)
         return iter(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.clear()
+        self.days.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -146,10 +176,11 @@ def unique_requests(requests: DataFrame, per_day: int = 10, watermark: str = "1
 
 
 class GraceProcessor(StatefulProcessor):
-    """Emits a claim once ``wait`` seconds of event time passed after its proposal without a review or challenge."""
+    """Emits a claim once ``wait`` seconds of event time passed after its proposal without a review or challenge. A settled claim is
+    forgotten ``keep`` seconds later."""
 
-    def __init__(self, wait: int):
-        self.wait = wait
+    def __init__(self, wait: int, keep: int = 30 * 86_400):
+        self.wait, self.keep = wait, keep
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -164,17 +195,20 @@ class GraceProcessor(StatefulProcessor):
                     self.handle.registerTimer(proposed + self.wait * 1000)
             elif r.kind != "proposed":
                 done = True
+            latest = r.ms
         if done:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
+            _forget_after(self.handle, latest + self.keep * 1000)
         self.touched.update((proposed, done))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         proposed, done = self.touched.get()
-        if not done:
-            self.touched.update((proposed, True))
-            yield Row(claim_id=key[0], proposed=proposed)
+        if done:
+            self.touched.clear()
+            return
+        self.touched.update((proposed, True))
+        _forget_after(self.handle, expiredTimerInfo.getExpiryTimeInMs() + self.keep * 1000)
+        yield Row(claim_id=key[0], proposed=proposed)
 
     def close(self) -> None:
         pass

@@ -105,17 +105,55 @@ def test_line_formats(spark, tmp_path):
     def gaf(sym, qual, term, code, aspect):
         return "\t".join(["UniProtKB", "P1", sym, qual, term, "PMID:1", code, "", aspect, "n"])
     text = "!gaf\n" + "\n".join([gaf("A", "involved_in", "GO:1", "IDA", "P"), gaf("A", "NOT|involved_in", "GO:2", "IDA", "P"), gaf("A", "enables", "GO:3", "IDA", "F"), gaf("A", "involved_in", "GO:4", "IEA", "P"), gaf("A", "involved_in", "GO:1", "IMP", "P")]) + "\n"
-    assert [tuple(r) for r in S.read_gaf(spark, put(tmp_path, "g.gaf.gz", text)).collect()] == [("A", "GO:1", "P")]
+    assert [tuple(r) for r in S.read_gaf(spark, put(tmp_path, "g.gaf.gz", text)).collect()] == [("A", "GO:1", "P", "IDA")]
+    more = text + "\n".join([gaf("a", "part_of", "GO:9", "IBA", "C"), gaf("Z", "part_of", "GO:1", "ISS", "C"), gaf("A", "part_of", "GO:77", "TAS", "C")]) + "\n"
+    symbols, terms = spark.createDataFrame([("A", "HGNC:1")], "key string, gene string"), spark.createDataFrame([("GO:1",), ("GO:8",)], "id string")
+    alt = spark.createDataFrame([("GO:9", "GO:8")], "alt string, id string")
+    got = S.read_gaf(spark, put(tmp_path, "m.gaf.gz", more), symbols=symbols, terms=terms, alt_ids=alt).collect()
+    assert sorted(tuple(r) for r in got) == [("HGNC:1", "GO:1", "P", "IDA"), ("HGNC:1", "GO:8", "C", "IBA")]
+    assert len(S.EVIDENCE_CODES) == 24 and "IEA" not in S.EVIDENCE_CODES
     links = put(tmp_path, "l.txt.gz", "protein1 protein2 combined_score\n9.a 9.b 800\n9.b 9.a 900\n9.a 9.c 100\n")
     info = put(tmp_path, "i.txt.gz", "#string_protein_id\tpreferred_name\tx\n9.a\tA\t1\n9.b\tB\t1\n9.c\tC\t1\n")
     assert [tuple(r) for r in S.read_interactions(spark, links, info).collect()] == [("A", "B", 900)]
-    cpx = put(tmp_path, "c.tsv", "#Complex ac\tRecommended name\tExpanded participant list\nCPX-1\tC\tP12345(1)|Q9ABC1-2(2)|CHEBI:1(1)\n")
+    cpx = put(tmp_path, "c.tsv", "#Complex ac\tRecommended name\tIdentifiers (and stoichiometry) of molecules in complex\tEvidence Code\tExpanded participant list\nCPX-1\tC\tP12345(1)|Q9ABC1-2(2)|Q8AAA1-PRO_0000001(0)|CHEBI:29105(1)\tECO:1\tX99999(1)\n")
     members = S.read_complexes(spark, cpx)
-    assert sorted(r.accession for r in members.collect()) == ["P12345", "Q9ABC1"]
+    assert sorted(r.accession for r in members.collect()) == ["29105", "P12345", "Q8AAA1", "Q9ABC1"]  # an id that is no accession finds no gene
     mapped = S.crosswalk(members, spark.createDataFrame([("P12345", "HGNC:1"), ("Q9ABC1", "HGNC:1")], "accession string, gene string"))
     assert [(r["complex"], r.gene) for r in mapped.collect()] == [("CPX-1", "HGNC:1")]
 
 
+def test_gene_phenotype(spark, tmp_path):
+    head = ("g2p id,gene symbol,gene mim,hgnc id,disease name,disease mim,disease MONDO,allelic requirement,confidence,variant consequence,molecular mechanism,"
+            "molecular mechanism support,phenotypes,publications,additional mined publications,panel,date of last review")
+    rows = ['G2P1,AAA,1,5,"a, disease",600001,MONDO:0000001,biallelic,strong,absent,loss of function,evidence,HP:1; HP:2,11;12,,DD; Eye,2020-01-02 10:00',
+            "G2P2,BBB,1,6,other,,,monoallelic,limited,,,,,,13,,"]
+    a, b = S.read_gene_phenotype(spark, put(tmp_path, "g2p.csv", "\n".join([head, *rows]) + "\n")).orderBy("record").collect()
+    assert (a.gene, a.disease, a.mondo_id, a.omim_id, a.phenotypes, a.pmids, a.panels, a.reviewed) == (
+        "HGNC:5", "a, disease", "MONDO:0000001", "OMIM:600001", ["HP:1", "HP:2"], ["11", "12"], ["DD", "Eye"], "2020-01-02")
+    assert (b.mondo_id, b.omim_id, b.mechanism, b.mined_pmids, b.reviewed) == (None, None, "", ["13"], "")
+
+
+def test_study_team_and_projects(spark):
+    section = {"identificationModule": {"nctId": "NCT1"}, "statusModule": {"overallStatus": "RECRUITING", "lastUpdatePostDateStruct": {"date": "2024-01"}},
+               "sponsorCollaboratorsModule": {"leadSponsor": {"name": "S"}, "collaborators": [{"name": n} for n in "ABCDEF"],
+                                              "responsibleParty": {"investigatorFullName": "R", "investigatorAffiliation": "U"}},
+               "contactsLocationsModule": {"centralContacts": [{"role": "CONTACT", "email": "x@y"}, {"role": "CONTACT"}],
+                                           "locations": [{"country": c} for c in ("France", "Chile", "France")]}}
+    named = {**section, "identificationModule": {"nctId": "NCT2"}, "contactsLocationsModule": {"overallOfficials": [
+        {"name": n, "affiliation": "V", "role": "PRINCIPAL_INVESTIGATOR"} for n in "abcde"]}}
+    raw = spark.createDataFrame([(json.dumps({"protocolSection": s}),) for s in (section, named, {"identificationModule": {"nctId": "NCT3"}})], "body string")
+    one, two, none = S.study_team(raw).orderBy("id").collect()
+    assert [tuple(o) for o in one.officials] == [("R", "U", "responsible investigator")] and [tuple(c) for c in one.contacts] == [(None, "contact", "x@y")]
+    assert (one.collaborators, one.sites, one.countries, one.updated) == (list("ABCDE"), 3, ["Chile", "France"], "2024-01")
+    assert [(o.name, o.role) for o in two.officials] == [(n, "principal investigator") for n in "abcd"]
+    assert (none.officials, none.contacts, none.sites, none.sponsor) == ([], [], 0, None)
+    page = {"results": [{"project_num": "5R01", "project_title": "T", "fiscal_year": 2024, "principal_investigators": [{"full_name": "P Q"}],
+                         "organization": {"org_name": "O"}, "award_amount": 10.5, "appl_id": 7}, {"project_num": "X"}]}
+    a, b = S.flatten_projects(spark.createDataFrame([(json.dumps(page),)], "body string")).orderBy("number").collect()
+    assert (a.number, a.year, a.investigators, a.organization, a.amount, a.application) == ("5R01", 2024, ["P Q"], "O", 10.5, 7)
+    assert (b.title, b.investigators, b.organization, b.amount) == ("", [], "", None)
+
+
 def test_trials_cards_and_manifest(spark, tmp_path):
     body = {"protocolSection": {"identificationModule": {"nctId": "NCT1", "briefTitle": "T"}, "statusModule": {"overallStatus": "RECRUITING"}, "contactsLocationsModule": {"overallOfficials": [{"name": n} for n in "ABCD"]}}}
     r = S.flatten_trials(spark.createDataFrame([(json.dumps(body),)], "body string")).first()
@@ -136,4 +174,5 @@ def test_archive_keeps_one_copy(spark, tmp_path):
     got = {r.doc_id: r.copies for r in A.archive(docs, clean).collect()}
     assert got == {1: 2, 3: 1}
     A.write_archive(docs, clean, str(tmp_path / "arch"))
-    assert spark.read.parquet(str(tmp_path / "arch")).count() == 2
+    A.write_archive(docs.union(spark.createDataFrame([(4, "d")], docs.schema)), clean, str(tmp_path / "arch"))
+    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "arch")).collect()) == [1, 3, 4]

@@ -135,5 +135,30 @@ def test_publish_only_touched_shards(spark, tmp_path):
 
 def test_suppress_repeats(spark):
     rows = [(1, at(0), 1, "a"), (1, at(5), 2, "a"), (1, at(14), 3, "a"), (1, at(30), 4, "b"), (1, at(31), 5, "a"), (1, at(86399), 6, "c"), (1, at(86403), 7, "c")]
-    df = spark.createDataFrame(rows, "actor long, at timestamp, seq long, doing string")
-    assert sorted(r.seq for r in A.suppress_repeats(df).collect()) == [1, 4, 5, 6]
+    df = spark.createDataFrame([(*r, None) for r in rows], "actor long, at timestamp, seq long, doing string, topic string")
+    assert sorted(r.seq for r in A.suppress_repeats(df).collect()) == [1, 3, 4, 5, 6]
+    assert A.suppress_repeats(df).columns == df.columns
+
+
+def steady(topics=lambda i: "x"):
+    return [(1, at(86_340 + 5 * i), i, "reading", topics(i)) for i in range(40)]
+
+
+def test_steady_activity_shows_again(spark, tmp_path):
+    """An event every 5 seconds is shown every 10, over midnight too; a changed topic is shown at once, a missing one is the last."""
+    schema = "actor long, at timestamp, seq long, doing string, topic string"
+    for name, rows, want in (("same", steady(), list(range(0, 40, 2))),
+                             ("topic", steady(lambda i: "x" if i < 3 else "y" if i == 3 else None), [0, 2, 3, *range(5, 40, 2)])):
+        assert sorted(r.seq for r in A.suppress_repeats(spark.createDataFrame(rows, schema)).collect()) == want
+        out = drain(state.presence(feed(spark, tmp_path / name, [rows[:15], rows[15:]], schema), watermark="1 hour"), f"steady_{name}")
+        assert sorted(r["at"] for r in out if r.online) == [rows[i][1] for i in want]
+
+
+def test_refused_today_counted_tomorrow(spark, tmp_path):
+    from evidra.operators.metrics import distinct_requests
+    schema = "visitor long, target string, at timestamp, seq long"
+    rows = [[(1, "a", at(0), 1), (1, "b", at(10), 2)], [(1, "b", at(86_400 + 5), 3), (1, "a", at(86_400 + 6), 4), (1, "c", at(86_400 + 7), 5)]]
+    flat = [r for b in rows for r in b]
+    assert {r.target: r.n for r in distinct_requests(spark.createDataFrame(flat, schema), 1).collect()} == {"a": 1, "b": 1}
+    out = drain(state.unique_requests(feed(spark, tmp_path, rows, schema), 1, "30 days"), "refused")
+    assert sorted((r.target, r.seq) for r in out) == [("a", 1), ("b", 3)]
