@@ -121,8 +121,8 @@ def test_machinery_top_is_exact_with_frequent_terms(spark):
     other = make_sets(8, 25)
     edges = spark.createDataFrame([(0, 1, 900), (2, 3, 800)], "a long, b long, score int")
     idx = {"complex": frame(spark, sets), "go": frame(spark, other)}
-    whole = N.Machinery(idx, edges).top(4, frequent=10 ** 6).orderBy("item", "rank").collect()
-    split = N.Machinery(idx, edges).top(4, frequent=3).orderBy("item", "rank").collect()
+    whole = N.Machinery(idx, edges, frequent=10 ** 6).top(4).orderBy("item", "rank").collect()
+    split = N.Machinery(idx, edges, frequent=3).top(4).orderBy("item", "rank").collect()
     assert [(r.item, r.other, round(r.mech, 6)) for r in whole] == [(r.item, r.other, round(r.mech, 6)) for r in split]
     sim1, sim2 = brute(sets), brute(other)
     row = next(r for r in whole if (r.item, r.other) == (0, 1) or (r.item, r.other) == (2, 3))
