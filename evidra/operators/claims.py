@@ -79,11 +79,26 @@ def schema_check(claims: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).drop("_subjects", "_objects", "_allowed")
 
 
-def missing_ids(references: DataFrame, registries: dict[str, DataFrame]) -> DataFrame:
+def missing_ids(references: DataFrame, registries: dict[str, DataFrame], composites: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Adds ``exists``: true / false for kinds with a registry, null (cannot tell, so passes) for the others.
 
-    references: kind, id. registries: kind -> DataFrame(id).
+    A kind in ``composites`` joins two registered ids with the first hyphen: its first half must exist, and so must the second where
+    there is one. references: kind, id. registries: kind -> DataFrame(id).
     """
+    if composites:
+        is_pair = F.col("kind").isin(*composites)
+        left, right = F.substring_index("id", "-", 1), F.expr("CASE WHEN locate('-', id) > 0 THEN substring(id, locate('-', id) + 1) END")
+        pairs = references.where(is_pair).select("kind", "id").distinct()
+        parts = None
+        for kind, (first, second) in composites.items():
+            mine = pairs.where(F.col("kind") == kind)
+            rows = (mine.select(F.col("kind").alias("of"), F.col("id").alias("whole"), F.lit(first).alias("kind"), left.alias("id"))
+                    .unionByName(mine.where(right.isNotNull() & (right != "")).select(F.col("kind").alias("of"), F.col("id").alias("whole"), F.lit(second).alias("kind"), right.alias("id"))))
+            parts = rows if parts is None else parts.unionByName(rows)
+        whole = (missing_ids(parts, registries).groupBy(F.col("of").alias("kind"), F.col("whole").alias("id"))
+                 .agg(F.bool_and("exists").alias("exists")))
+        single = missing_ids(references.where(~is_pair), registries)
+        return single.unionByName(references.where(is_pair).join(whole, ["kind", "id"], "left"), allowMissingColumns=True)
     known = None
     for kind, ids in registries.items():
         rows = ids.select(F.lit(kind).alias("kind"), "id").distinct()
@@ -120,6 +135,17 @@ def disputes(challenges: DataFrame, claims: DataFrame, reviews: DataFrame) -> Da
                  F.count(F.lit(1)).alias("n_objections")))
 
 
+def accepted_links(assertions: DataFrame, accepted: Sequence[str] = ("reviewed", "independently_reviewed", "human_reviewed")) -> DataFrame:
+    """alias, target of the identity claims that may be applied: of each (alias, target) the claim with the latest review decides, contested
+    and unreviewed claims do not take part, and the deciding one must be accepted.
+
+    assertions: alias, target, seq (of the last review, null if there is none), status, contested.
+    """
+    latest = (assertions.where(F.col("seq").isNotNull() & ~F.coalesce("contested", F.lit(False))).groupBy("alias", "target")
+              .agg(F.max(F.struct("seq", "status")).alias("m")))
+    return latest.where(F.col("m.status").isin(*accepted)).select("alias", "target")
+
+
 def resolve_aliases(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """alias, target, hops: follow unique links to the end; ambiguous ends and cycles stay unresolved.
 
@@ -160,6 +186,17 @@ def scope_fanout(listings: DataFrame, entities: DataFrame) -> DataFrame:
     return own.unionByName(wide)
 
 
+def scope_counts(listings: DataFrame, entities: DataFrame) -> DataFrame:
+    """item, n_listings, n_via of every entity that any listing reaches, as ``scope_fanout`` would list them, without writing them out:
+    the listings of a gene are counted once and an entity's own are taken off."""
+    own = listings.groupBy(F.col("subject").alias("item")).agg(F.count(F.lit(1)).alias("own"), F.count_if(F.col("scope") == "this_gene").alias("own_wide"))
+    mine = entities.join(own, "item", "left")
+    by_gene = mine.groupBy("gene").agg(F.coalesce(F.sum("own_wide"), F.lit(0)).alias("wide"))
+    via = F.col("wide") - F.coalesce("own_wide", F.lit(0))
+    counted = mine.join(by_gene, "gene").select("item", (F.coalesce("own", F.lit(0)) + via).alias("n_listings"), via.alias("n_via"))
+    return counted.where("n_listings > 0")
+
+
 def latest_checks(rechecks: DataFrame) -> DataFrame:
     """claim_id, check, result, checked: the latest of every kind of recheck. rechecks: claim_id, check, result, checked, seq."""
     return (rechecks.groupBy("claim_id", "check").agg(F.max(F.struct("seq", "result", "checked")).alias("m"))
@@ -231,16 +268,35 @@ def record_history(events: DataFrame, n_rechecks: int = 5) -> DataFrame:
     return base.join(last.withColumn("rechecks", F.reverse("rechecks")), "id", "left")
 
 
-def validate_decisions(decisions: DataFrame) -> DataFrame:
+def names_target(text: Column, names: Column) -> Column:
+    """Whether one of ``names`` occurs in the text as whole words, in any case and with any signs between the words.
+
+    A name of capitals and a number, as in "ABC3A", also counts at the end of a list under the same capitals ("ABC 1, 2 and 3A").
+    """
+    def spelled(name):
+        return F.concat(F.lit(r"(?iU)(?<!\w)"), F.array_join(F.regexp_extract_all(name, F.lit(r"(?U)\w+"), 0), r"[\W_]+"), F.lit(r"(?!\w)"))
+    numbered = r"^([A-Z]{2,})([0-9]+[A-Z]?)$"
+    def listed(name):
+        item = r"\s*(?:[0-9]+[A-Z]?\s*(?:,|/|and|or)\s*)*"
+        return F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_extract(name, numbered, 1), F.lit(item), F.regexp_extract(name, numbered, 2), F.lit(r"(?!\w)"))
+    usable = F.filter(names, lambda n: F.coalesce(F.rlike(n, F.lit(r"(?U)\w")), F.lit(False)))
+    return F.exists(usable, lambda n: F.rlike(text, spelled(n)) | (F.rlike(n, F.lit(numbered)) & F.rlike(text, listed(n))))
+
+
+def validate_decisions(decisions: DataFrame, broad: Sequence[str] = ()) -> DataFrame:
     """Adds ``reason``: the first rule a screening decision breaks, or null.
 
-    decisions: relevance, asset_type, secondary_types, reason_text, quotes (array of struct role, text), text, target.
+    decisions: relevance, asset_type, secondary_types, reason_text, quotes (array of struct role, text), text, target and, if there are
+    any, aliases (array). Aliases listed in ``broad`` (lower case) do not name the target.
     """
     kinds = F.array(*[F.lit(k) for k in QUALIFIER_DOMAINS["asset_type"]])
     positive = F.col("relevance") != "not_relevant"
     roles = F.array_distinct(F.flatten(F.transform("quotes", lambda q: F.when(q["role"] == "both", F.array(F.lit("population"), F.lit("asset_type"))).otherwise(F.array(q["role"])))))
     text = one_space(F.col("text"))
-    target = F.lower("target")
+    names = F.array("target")
+    if "aliases" in decisions.columns:
+        wide = F.array(*[F.lit(b) for b in broad]).cast("array<string>")
+        names = F.concat(names, F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda n: ~F.array_contains(wide, F.lower(n))))
     reason = F.coalesce(
         F.when(~F.col("relevance").isin("relevant", "broader_group", "not_relevant"), "relevance"),
         F.when(F.trim(F.coalesce("reason_text", F.lit(""))) == "", "missing reason"),
@@ -250,7 +306,7 @@ def validate_decisions(decisions: DataFrame) -> DataFrame:
         F.when((F.size("quotes") > 2) | (positive & (F.size("quotes") == 0)), "number of quotes"),
         F.when(F.exists("quotes", lambda q: ~q["role"].isin("population", "asset_type", "both")), "quote role"),
         F.when(positive & (F.size(roles) != 2), "quotes must support both roles"),
-        F.when(positive & ~F.exists("quotes", lambda q: q["role"].isin("population", "both") & F.contains(F.lower(q["text"]), target)), "target not named"),
+        F.when(positive & ~F.exists("quotes", lambda q: q["role"].isin("population", "both") & names_target(q["text"], names)), "target not named"),
         F.when(F.exists("quotes", lambda q: ~F.contains(text, one_space(q["text"]))), "quote not found"))
     return decisions.withColumn("reason", reason)
 

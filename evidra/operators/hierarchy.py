@@ -1,7 +1,7 @@
 """Hierarchies given as (child, parent) edges: closure, specificity, umbrellas, inheritance.
 
-The closure is built by path doubling with ``distinct`` every round, so diamonds never multiply paths and a hierarchy
-of depth d needs about log2(d) rounds. Each round is written to the checkpoint folder.
+The closure joins only the pairs that the round before has found, once per level of the hierarchy; known pairs are taken out before
+they are written, so diamonds never multiply paths and every pair is written once. Each round is written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -12,19 +12,35 @@ from pyspark.sql import functions as F
 from evidra.session import cut
 
 
-def strict_closure(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """id, ancestor for every proper ancestor."""
-    reach = cut(edges.where("child <> parent").select(F.col("child").alias("id"), F.col("parent").alias("ancestor")).distinct())
-    size = reach.count()
-    for _ in range(max_rounds):
-        step = reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
-        longer = reach.join(step, "ancestor").select("id", F.col("next").alias("ancestor")).where("id <> ancestor")
-        reach = cut(reach.unionByName(longer).distinct())
-        grown = reach.count()
-        if grown == size:
-            return reach
-        size = grown
-    raise ValueError("hierarchy deeper than 2**max_rounds")
+def strict_closure(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+    """id, ancestor for every proper ancestor.
+
+    Round r finds the pairs at distance 2**(r-1) + 1 .. 2**r: new pairs are extended by all pairs known so far, so a hierarchy of depth d
+    needs about log2(d) rounds, each one job.
+    """
+    known = cut(edges.where("child <> parent").select(F.col("child").alias("id"), F.col("parent").alias("ancestor")).distinct())
+    new = known
+    while not new.isEmpty():
+        if max_depth == 0:
+            raise ValueError("hierarchy too deep")
+        step = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
+        longer = new.join(step, "ancestor").select("id", F.col("next").alias("ancestor")).where("id <> ancestor").distinct()
+        new = cut(longer.join(known, ["id", "ancestor"], "left_anti"))
+        known = known.unionByName(new)
+        max_depth //= 2
+    return known
+
+
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, ancestor for the nodes below each of a few roots (column ancestor), roots included: a walk down from them, not a closure."""
+    down = edges.where("child <> parent").select(F.col("parent").alias("node"), F.col("child").alias("id"))
+    found = cut(roots.select(F.col("ancestor").alias("id"), "ancestor").distinct())
+    new = found
+    while not new.isEmpty():
+        below = new.select(F.col("id").alias("node"), "ancestor").join(down, "node").select("id", "ancestor").distinct()
+        new = cut(below.join(found, ["id", "ancestor"], "left_anti"))
+        found = found.unionByName(new)
+    return found
 
 
 def closure(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -40,9 +56,10 @@ def descendant_counts(above: DataFrame) -> DataFrame:
     return above.groupBy("ancestor").agg(F.count(F.lit(1)).alias("n_below"))
 
 
-def under_root(closed: DataFrame, root) -> DataFrame:
-    """Nodes that have ``root`` among their ancestors (self-inclusive), without the root itself."""
-    return closed.where((F.col("ancestor") == F.lit(root)) & (F.col("id") != F.lit(root))).select("id")
+def under_root(edges: DataFrame, root) -> DataFrame:
+    """Nodes that have ``root`` among their ancestors, without the root itself."""
+    start = edges.sparkSession.range(1).select(F.lit(root).alias("ancestor"))
+    return descendants(edges, start).where(F.col("id") != F.lit(root)).select("id")
 
 
 def expand_terms(item_terms: DataFrame, closed: DataFrame) -> DataFrame:

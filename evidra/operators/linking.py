@@ -53,10 +53,13 @@ def resolve_ids(rows: DataFrame, column: str, primary: DataFrame, xref: DataFram
 
 
 def symbol_index(approved: DataFrame, aliases: DataFrame) -> DataFrame:
-    """symbol (lower case), id, kind: an approved symbol beats an alias; the first id wins within a kind."""
-    rows = (approved.select(F.lower("symbol").alias("symbol"), "id", F.lit(0).alias("priority"))
-            .unionByName(aliases.select(F.lower("symbol").alias("symbol"), "id", F.lit(1).alias("priority"))))
-    return (rows.groupBy("symbol").agg(F.min(F.struct("priority", "id")).alias("b"))
+    """symbol (lower case), id, kind: an approved symbol beats an alias; within a kind the row that stands first in its table wins.
+
+    approved, aliases: symbol, id, pos (place in the table).
+    """
+    rows = (approved.select(F.lower("symbol").alias("symbol"), "id", "pos", F.lit(0).alias("priority"))
+            .unionByName(aliases.select(F.lower("symbol").alias("symbol"), "id", "pos", F.lit(1).alias("priority"))))
+    return (rows.groupBy("symbol").agg(F.min(F.struct("priority", "pos", "id")).alias("b"))
             .select("symbol", "b.id", F.when(F.col("b.priority") == 0, "approved").otherwise("alias").alias("kind")))
 
 

@@ -16,6 +16,11 @@ def coverage(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("n")) for n in counts])).alias("m")).select("m.*")
 
 
+def coverage_by(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
+    """metric, n: one count for every value of a column that occurs."""
+    return df.groupBy(F.concat(F.lit(prefix), F.col(column).cast("string")).alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def usage(calls: DataFrame) -> DataFrame:
     """task, model, calls, spent (actual where known, else reserved). calls: task, model, reserved, actual."""
     return calls.groupBy("task", "model").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.coalesce("actual", "reserved")).alias("spent"))

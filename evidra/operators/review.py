@@ -81,17 +81,31 @@ def plain_label(origin, status, contested) -> Column:
             .when(status == "reviewed", "Checked by an AI reviewer against its source").otherwise("Not yet checked"))
 
 
+def source_key(evidence, contributor) -> Column:
+    """What counts as one independent source: for each item of evidence the paper, else the archived source; without one the dataset of a
+    curated database, the contributor as an expert, or the type; distinct, sorted and joined.
+
+    evidence: array of struct type, source_id, pmid, dataset.
+    """
+    def one(e):
+        return (F.when(e["source_id"].isNotNull(), F.coalesce(F.nullif(e["pmid"], F.lit("")), e["source_id"])).when(e["type"] == "curated_database", e["dataset"])
+                .when(e["type"] == "expert_statement", F.concat(F.lit("expert:"), contributor)).otherwise(e["type"]))
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(evidence, one))), "|")
+
+
 def evidence_state(claims: DataFrame, contested: DataFrame) -> DataFrame:
-    """assertion_id, state, independent_sources, human_reviewed, types ('type:count', most frequent first).
+    """assertion_id, state, independent_sources, human_reviewed, types ('type:count' over all items of evidence, most frequent first).
 
-    claims: assertion_id, claim_id, origin, status, source_key, evidence_type. contested: assertion_id.
+    claims: assertion_id, claim_id, origin, status, contributor, evidence (see ``source_key``). contested: assertion_id.
     """
+    claims = claims.withColumn("source_key", source_key(F.col("evidence"), F.col("contributor").cast("string")))
     counted = (F.col("origin") == "reference") | ((F.col("origin") == "contributed") & F.col("status").isin(*STRONG))
     flagged = claims.withColumn("_counted", counted)
     base = flagged.groupBy("assertion_id").agg(
         F.bool_or(F.col("origin") == "reference").alias("curated"), F.bool_or(F.col("status") == "human_reviewed").alias("human_reviewed"),
         F.countDistinct(F.when(F.col("_counted"), F.col("source_key"))).alias("independent_sources"))
-    types = (flagged.where("_counted").groupBy("assertion_id", "evidence_type").agg(F.count(F.lit(1)).alias("n"))
+    items = flagged.where("_counted").select("assertion_id", F.explode(F.transform("evidence", lambda e: e["type"])).alias("evidence_type"))
+    types = (items.groupBy("assertion_id", "evidence_type").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("assertion_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("evidence_type").alias("type")))).alias("t"))
              .select("assertion_id", F.transform("t", lambda x: F.concat(x["type"], F.lit(":"), (-x["neg"]).cast("string"))).alias("types")))
     flags = contested.select("assertion_id").distinct().withColumn("_contested", F.lit(True))

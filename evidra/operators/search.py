@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.strings import plain
+from evidra.functions.strings import fold_marks, plain
 from evidra.functions.vocab import lookup
 from evidra.operators.linking import best_per_key, capped_list
 
@@ -67,15 +67,23 @@ def name_search(queries: DataFrame, index: DataFrame, n: int = 12) -> DataFrame:
     return (scored.select("query", "kind", "ref", total.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
 
 
-def term_search(queries: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
-    """query, id, score, rank: exact main name 0, exact other name 1, all words 2+, all but one word 5+.
+def term_search(queries: DataFrame, names: DataFrame, n: int = 10, shortest: int = 2, longest: int = 120) -> DataFrame:
+    """query, id, score, rank, reason: exact main name 0, exact other name 1, all words 2+, all but one word 5+.
 
-    A match shares all query words, or all but one, so it shares one of the query's two rarest words: names are joined on
-    those only. names: id, pos (0 = main name), name.
+    A query that is a term id (letters, colon, digits) finds that term only, with score 0. A query outside ``shortest`` .. ``longest``
+    characters gives one row with a reason and no id. A match shares all query words, or all but one, so it shares one of the query's two
+    rarest words: names are joined on those only. names: id (string), pos (0 = main name), name.
     """
     def word_set(text):
-        return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))
-    asked = queries.select("query", F.lower(F.trim("query")).alias("q")).where(F.length("q").between(2, 120)).distinct().withColumn("qw", word_set("q")).where(F.size("qw") > 0)
+        return F.array_distinct(F.filter(F.split(F.lower(fold_marks(text)), "[^a-z0-9]+"), lambda w: w != ""))
+    asked = queries.select("query", F.lower(F.trim("query")).alias("q")).distinct()
+    fits = F.length("q").between(shortest, longest)
+    refused = asked.where(~fits).select("query", F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("score"),
+                                        F.lit(None).cast("int").alias("rank"), F.lit(f"search with {shortest} to {longest} characters").alias("reason"))
+    is_id = F.col("q").rlike("^[a-z]+:[0-9]+$")
+    by_id = (asked.where(fits & is_id).join(names.where("pos = 0").select("id", F.lower("id").alias("q")), "q")
+             .select("query", "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("reason")))
+    asked = asked.where(fits & ~is_id).withColumn("qw", word_set("q")).where(F.size("qw") > 0)
     rows = names.select("id", "pos", F.lower("name").alias("n"), word_set("name").alias("nw"))
     main = names.where("pos = 0").select("id", F.length("name").alias("len"))
     spread = rows.select(F.explode("nw").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -88,25 +96,36 @@ def term_search(queries: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
              .when(both >= F.greatest(F.lit(1), F.size("qw") - 1), 5 + missing + extra * 0.1))
     best = hits.withColumn("score", score).where("score IS NOT NULL").groupBy("query", "id").agg(F.round(F.min("score"), 6).alias("score")).join(main, "id")
     w = Window.partitionBy("query").orderBy("score", "len", "id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query", "id", "score", "rank")
+    found = (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+             .select("query", "id", "score", "rank", F.lit(None).cast("string").alias("reason")))
+    return found.unionByName(by_id).unionByName(refused)
 
 
-def substring_search(queries: DataFrame, names: DataFrame, n: int = 20) -> DataFrame:
-    """query, id, exact, rank: names containing the query (3+ characters), exact names first, then by id.
+def substring_search(queries: DataFrame, names: DataFrame, n: int = 20, shortest: int = 2, longest: int = 200) -> DataFrame:
+    """query, id, exact, rank, reason: entities with a name that contains the query, exact ones first, then by the entity's title.
 
-    Joined on the query's rarest trigram. names: id, name.
+    Joined on the query's rarest trigram, or on the query itself if it has two characters. A query outside ``shortest`` .. ``longest``
+    characters gives one row with a reason and no id. names: id, name, title.
     """
-    def trigrams(text):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
-    low = names.select("id", F.lower("name").alias("name")).where(F.length("name") >= 3).distinct()
-    grams = low.select("id", "name", F.explode(trigrams(F.col("name"))).alias("gram"))
+    def grams_of(text):
+        def runs(size):
+            return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size))))
+        none = F.array().cast("array<string>")
+        return F.array_distinct(F.concat(F.coalesce(runs(2), none), F.coalesce(runs(3), none)))
+    low = names.select("id", "title", F.lower("name").alias("name")).where(F.length("name") >= shortest).distinct()
+    grams = low.select("id", "title", "name", F.explode(grams_of(F.col("name"))).alias("gram"))
     spread = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("query", F.lower(F.trim("query")).alias("q")).where(F.length("q") >= 3).distinct()
-    keys = (asked.select("query", "q", F.explode(trigrams(F.col("q"))).alias("gram")).join(spread, "gram").groupBy("query", "q")
+    asked = queries.select("query", F.lower(F.trim("query")).alias("q")).distinct()
+    fits = F.length("q").between(shortest, longest)
+    refused = asked.where(~fits).select("query", F.lit(f"search with {shortest} to {longest} characters").alias("reason"))
+    own = F.filter(grams_of(F.col("q")), lambda g: F.length(g) == F.least(F.lit(3), F.length("q")))
+    keys = (asked.where(fits).select("query", "q", F.explode(own).alias("gram")).join(spread, "gram").groupBy("query", "q")
             .agg(F.min_by("gram", F.struct("df", "gram")).alias("gram")))
-    hits = grams.join(keys, "gram").where(F.contains("name", F.col("q"))).groupBy("query", "id").agg(F.bool_or(F.col("name") == F.col("q")).alias("exact"))
-    w = Window.partitionBy("query").orderBy(F.desc("exact"), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    hits = (grams.join(keys, "gram").where(F.contains("name", F.col("q"))).groupBy("query", "id", "title")
+            .agg(F.bool_or(F.col("name") == F.col("q")).alias("exact")))
+    w = Window.partitionBy("query").orderBy(F.desc("exact"), "title", "id")
+    found = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query", "id", "exact", "rank")
+    return found.unionByName(refused, allowMissingColumns=True)
 
 
 def entity_pages(item_terms: DataFrame, flags: DataFrame, n: int = 120) -> DataFrame:

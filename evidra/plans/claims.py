@@ -63,13 +63,20 @@ def import_summary(t):
     return C.import_summary(C.schema_check(submissions(t)).select("claim_id", "reason"))
 
 
-@query("dangling_ids", """WITH r AS (SELECT DISTINCT 'customer' AS kind, o_custkey * 2 AS id FROM orders UNION SELECT 'part', l_partkey + 5 FROM lineitem UNION SELECT 'page', o_custkey FROM orders)
-SELECT kind, id, CASE kind WHEN 'customer' THEN CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = id) THEN 'yes' ELSE 'no' END
-  WHEN 'part' THEN CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey = id) THEN 'yes' ELSE 'no' END ELSE 'unknown' END AS found FROM r""")
+@query("dangling_ids", """WITH r AS (SELECT DISTINCT 'customer' AS kind, CAST(o_custkey * 2 AS VARCHAR) AS id, o_custkey * 2 AS c, 0 AS p, false AS both_parts FROM orders
+  UNION SELECT 'part', CAST(l_partkey + 5 AS VARCHAR), 0, l_partkey + 5, false FROM lineitem UNION SELECT 'page', CAST(o_custkey AS VARCHAR), 0, 0, false FROM orders
+  UNION SELECT 'order', concat(o_custkey * 2, '-', l_partkey + 5), o_custkey * 2, l_partkey + 5, true FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  UNION SELECT 'order', CAST(o_custkey * 2 AS VARCHAR), o_custkey * 2, 0, false FROM orders),
+f AS (SELECT r.*, c_custkey IS NOT NULL AS has_c, p_partkey IS NOT NULL AS has_p FROM r LEFT JOIN customer ON c_custkey = c LEFT JOIN part ON p_partkey = p)
+SELECT kind, id, CASE WHEN kind = 'page' THEN 'unknown' WHEN CASE kind WHEN 'customer' THEN has_c WHEN 'part' THEN has_p ELSE has_c AND (NOT both_parts OR has_p) END THEN 'yes' ELSE 'no' END AS found FROM f""")
 def dangling_ids(t):
+    lots = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     refs = (t.orders.selectExpr("'customer' AS kind", "o_custkey * 2 AS id").union(t.lineitem.selectExpr("'part'", "l_partkey + 5"))
-            .union(t.orders.selectExpr("'page'", "o_custkey"))).distinct()
-    out = C.missing_ids(refs, {"customer": t.customer.select(F.col("c_custkey").alias("id")), "part": t.part.select(F.col("p_partkey").alias("id"))})
+            .union(t.orders.selectExpr("'page'", "o_custkey"))).selectExpr("kind", "CAST(id AS STRING) AS id")
+    refs = (refs.union(lots.selectExpr("'order'", "concat(o_custkey * 2, '-', l_partkey + 5)"))
+            .union(t.orders.selectExpr("'order'", "CAST(o_custkey * 2 AS STRING)"))).distinct()
+    registries = {"customer": t.customer.selectExpr("CAST(c_custkey AS STRING) AS id"), "part": t.part.selectExpr("CAST(p_partkey AS STRING) AS id")}
+    out = C.missing_ids(refs, registries, {"order": ("customer", "part")})
     return out.select("kind", "id", F.when(F.col("exists").isNull(), "unknown").when(F.col("exists"), "yes").otherwise("no").alias("found"))
 
 
@@ -85,24 +92,27 @@ def disputes(t):
 LINK = """CASE WHEN p_size <= 5 THEN p_partkey + 1 WHEN p_size <= 10 THEN p_partkey - 1 ELSE p_partkey {div} 2 END"""
 
 
-@query("resolve_aliases", f"""WITH RECURSIVE link AS (SELECT p_partkey AS alias, {LINK.format(div="//")} AS target FROM part WHERE p_size <= 10 OR p_size > 40
-  UNION SELECT p_partkey, p_partkey // 5 FROM part WHERE p_size = 3),
-links AS (SELECT * FROM link WHERE alias <> target), uniq AS (SELECT alias, min(target) AS target FROM links GROUP BY alias HAVING count(*) = 1),
+@query("resolve_aliases", f"""WITH RECURSIVE link AS (SELECT p_partkey AS alias, {LINK.format(div="//")} AS target, p_size, p_type FROM part
+  UNION SELECT p_partkey, p_partkey // 5, p_size, p_type FROM part WHERE p_size = 3
+  UNION SELECT p_partkey, p_partkey // 7, p_size, p_type FROM part WHERE p_type = 'PROMO'),
+links AS (SELECT alias, target FROM link WHERE alias <> target AND p_type <> 'ECONOMY' AND NOT (p_type = 'PROMO' AND target = alias // 7) GROUP BY ALL), uniq AS (SELECT alias, min(target) AS target FROM links GROUP BY alias HAVING count(*) = 1),
 walk AS (SELECT alias, target, 1 AS hops FROM uniq UNION ALL SELECT w.alias, u.target, hops + 1 FROM walk w JOIN uniq u ON u.alias = w.target WHERE hops < 60)
 SELECT alias, target, CAST(hops AS BIGINT) AS hops FROM walk WHERE target NOT IN (SELECT alias FROM links)""")
 def resolve_aliases(t):
-    links = (t.part.where("p_size <= 10 OR p_size > 40").selectExpr("p_partkey AS alias", f"{LINK.format(div='div')} AS target")
-             .unionByName(t.part.where("p_size = 3").selectExpr("p_partkey AS alias", "p_partkey div 5 AS target")))
-    return C.resolve_aliases(links)
+    """Each part claims an alias; some claims are contested, some were rejected after an earlier acceptance."""
+    fate = ["p_type = 'ECONOMY' AS contested", "'reviewed' AS status", "1 AS seq"]
+    said = (t.part.selectExpr("p_partkey AS alias", f"{LINK.format(div='div')} AS target", *fate)
+            .unionByName(t.part.where("p_size = 3").selectExpr("p_partkey AS alias", "p_partkey div 5 AS target", *fate)))
+    rejected = t.part.where("p_type = 'PROMO'").selectExpr("p_partkey AS alias", "p_partkey div 7 AS target", "false AS contested", "'rejected' AS status", "2 AS seq")
+    return C.resolve_aliases(C.accepted_links(said.unionByName(rejected)))
 
 
-@query("scope_fanout", """WITH l AS (SELECT c_custkey AS subject, CASE WHEN c_mktsegment = 'BUILDING' THEN 'this_gene' ELSE 'this_condition' END AS scope, c_nationkey FROM customer WHERE c_acctbal > 9500),
+@query("scope_fanout", """WITH l AS (SELECT c_custkey AS subject, CASE WHEN c_mktsegment = 'BUILDING' THEN 'this_gene' ELSE 'this_condition' END AS scope, c_nationkey FROM customer),
 f AS (SELECT subject AS item, subject AS listing, NULL AS via FROM l UNION ALL SELECT c_custkey, subject, subject FROM l JOIN customer c ON c.c_nationkey = l.c_nationkey AND c_custkey <> subject WHERE scope = 'this_gene')
 SELECT item, CAST(count(*) AS BIGINT) AS n_listings, CAST(count(via) AS BIGINT) AS n_via FROM f GROUP BY item""")
 def scope_fanout(t):
-    listings = t.customer.where("c_acctbal > 9500").selectExpr("c_custkey AS subject", "c_custkey AS listing", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'this_gene' ELSE 'this_condition' END AS scope")
-    return (C.scope_fanout(listings, t.customer.selectExpr("c_custkey AS item", "c_nationkey AS gene")).groupBy("item")
-            .agg(F.count(F.lit(1)).alias("n_listings"), F.count("via").alias("n_via")))
+    listings = t.customer.selectExpr("c_custkey AS subject", "c_custkey AS listing", "CASE WHEN c_mktsegment = 'BUILDING' THEN 'this_gene' ELSE 'this_condition' END AS scope")
+    return C.scope_counts(listings, t.customer.selectExpr("c_custkey AS item", "c_nationkey AS gene"))
 
 
 def rechecks(t):
@@ -122,10 +132,10 @@ def superseded(t):
     return C.not_superseded(t.orders.selectExpr("o_orderkey AS claim_id", "o_custkey"), rechecks(t))
 
 
-@query("recheck_due", f"""WITH {RECHECKS}, a AS (SELECT o_orderkey AS claim_id, coalesce(date_diff('day', checked, DATE '2001-12-31'), 10000) AS age FROM orders LEFT JOIN chk ON chk.claim_id = o_orderkey AND chk = 'page' WHERE o_totalprice > 50000)
+@query("recheck_due", f"""WITH {RECHECKS}, a AS (SELECT o_orderkey AS claim_id, coalesce(date_diff('day', checked, DATE '2001-12-31'), 10000) AS age FROM orders LEFT JOIN chk ON chk.claim_id = o_orderkey AND chk = 'page')
 SELECT claim_id, CAST(age AS INTEGER) AS age FROM a WHERE age >= 30 ORDER BY age DESC, claim_id LIMIT 15""")
 def recheck_due(t):
-    return C.recheck_due(t.orders.where("o_totalprice > 50000").select(F.col("o_orderkey").alias("claim_id")), rechecks(t), F.to_date(F.lit("2001-12-31")))
+    return C.recheck_due(t.orders.select(F.col("o_orderkey").alias("claim_id")), rechecks(t), F.to_date(F.lit("2001-12-31")))
 
 
 @query("reuse_duplicates", """SELECT l_orderkey, l_linenumber, min(l_partkey) AS kept, CAST(count(*) AS BIGINT) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
@@ -174,7 +184,7 @@ def best_listing(t):
 @query("validate_decisions", """WITH b AS (SELECT l.doc_id, quality, toxic, text, lang, n_chars, substring(text, 1, 40) AS q FROM labels l JOIN documents USING (doc_id))
 SELECT doc_id, coalesce(CASE WHEN lang = 'de' THEN 'relevance' WHEN lang = 'es' THEN 'missing reason' WHEN quality = 0 AND toxic = 1 THEN 'negative with asset type'
   WHEN quality = 0 THEN NULL WHEN n_chars > 5000 THEN 'asset type' WHEN n_chars > 3000 THEN 'quotes must support both roles'
-  WHEN NOT contains(lower(q), lower(substring(text, 1, 1))) OR toxic = 1 THEN 'target not named' WHEN n_chars < 300 THEN 'quote not found' END, 'ok') AS reason FROM b""")
+  WHEN toxic = 1 THEN 'target not named' WHEN n_chars < 300 THEN 'quote not found' END, 'ok') AS reason FROM b""")
 def validate_decisions(t):
     b = t.labels.join(t.documents, "doc_id")
     q = F.substring("text", 1, 40)
@@ -185,7 +195,7 @@ def validate_decisions(t):
         F.array().cast("array<string>").alias("secondary_types"), F.when(F.col("lang") == "es", " ").otherwise("named").alias("reason_text"),
         F.when(F.col("quality") == 0, F.array().cast("array<struct<role:string,text:string>>")).otherwise(F.array(F.struct(
             role.alias("role"), F.when(F.col("n_chars") < 300, F.concat(q, F.lit(" zz"))).otherwise(q).alias("text")))).alias("quotes"),
-        F.when(F.col("toxic") == 1, "no such name").otherwise(F.substring("text", 1, 1)).alias("target"))
+        F.when(F.col("toxic") == 1, F.substring("text", 1, 1)).otherwise(F.regexp_extract("text", r"(?U)\w+", 0)).alias("target"))
     return C.validate_decisions(C.normalise_decision(d)).select("doc_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 

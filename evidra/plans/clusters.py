@@ -28,7 +28,7 @@ df AS (SELECT block, term, count(*) AS df FROM blocks GROUP BY ALL HAVING count(
 raw AS (SELECT block, item, term, ln(n / df) AS w FROM blocks JOIN df USING (block, term), n),
 len AS (SELECT block, item, sqrt(sum(w * w)) AS len FROM raw GROUP BY ALL),
 r AS (SELECT block, item, term, round(w / len / sqrt(2), 9) AS weight, row_number() OVER (PARTITION BY block, item ORDER BY round(w / len / sqrt(2), 9) DESC, term) AS rank FROM raw JOIN len USING (block, item) WHERE len > 0)
-SELECT block, item, term, round(weight, 4) AS weight, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+SELECT block, item, term, round(weight, 4) AS weight, CAST(rank AS INTEGER) AS rank FROM r""")
 def tfidf_profiles(t):
     from pyspark.sql import Window
     n = t.documents.agg(F.count(F.lit(1)).alias("n"))
@@ -36,7 +36,7 @@ def tfidf_profiles(t):
     both = (K.tfidf(doc_words(t), n).withColumn("block", F.lit("words")).unionByName(K.tfidf(origin, n).withColumn("block", F.lit("origin")))
             .withColumn("weight", F.round("weight", 9)))
     w = Window.partitionBy("block", "item").orderBy(F.desc("weight"), "term")
-    return (both.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("block", "item", "term", r4("weight").alias("weight"), "rank"))
+    return (both.withColumn("rank", F.row_number().over(w)).select("block", "item", "term", r4("weight").alias("weight"), "rank"))
 
 
 @query("knn_graph", f"WITH {KNN_SQL} SELECT a, b, round(weight, 4) AS weight FROM edge")

@@ -38,7 +38,7 @@ def descendant_counts(t):
 @query("under_root", f"""{WITH_DAG}
 SELECT id FROM above WHERE ancestor = 2""")
 def under_root(t):
-    return H.under_root(H.closure(edges(t)), 2)
+    return H.under_root(edges(t), 2)
 
 
 @query("most_specific", f"""{WITH_DAG}, {PART_TERMS}
@@ -83,23 +83,21 @@ def split_entities(t):
     return H.split_entities(links, terms)
 
 
-# Entities of the tree queries: the largest parts. A node's own terms: suppliers that shipped a big returned lot of it.
-BIG = "p_size > 45"
-LOT_TERMS = """lot_terms AS (SELECT DISTINCT l_partkey AS item, l_suppkey AS term FROM lineitem
-  WHERE l_returnflag = 'R' AND l_quantity >= 47)"""
+# Parts are the nodes; where a node may be no entity, the PROMO ones are the entities. A node's own terms: suppliers that shipped it more than once.
+LOT_TERMS = """lot_terms AS (SELECT l_partkey AS item, l_suppkey AS term FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) > 1)"""
 
 
 def lot_terms(t):
-    return (t.lineitem.where("l_returnflag = 'R' AND l_quantity >= 47")
-            .select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("term")).distinct())
+    return (t.lineitem.groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+            .where("n > 1").select("item", "term"))
 
 
 @query("inherit_terms", f"""{WITH_DAG}, {LOT_TERMS},
-only_one AS (SELECT ancestor, min(id) AS item FROM above JOIN part ON p_partkey = id AND {BIG} GROUP BY ancestor HAVING count(*) = 1)
+only_one AS (SELECT ancestor, min(id) AS item FROM above JOIN part ON p_partkey = id AND p_type = 'PROMO' GROUP BY ancestor HAVING count(*) = 1)
 SELECT o.item, t.term, min(o.ancestor) AS via FROM only_one o JOIN lot_terms t ON t.item = o.ancestor
 WHERE NOT EXISTS (SELECT 1 FROM lot_terms own WHERE own.item = o.item AND own.term = t.term) GROUP BY 1, 2""")
 def inherit_terms(t):
-    entities = t.part.where(BIG).select(F.col("p_partkey").alias("item"))
+    entities = t.part.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("item"))
     return H.inherit_terms(lot_terms(t), H.strict_closure(edges(t)), entities)
 
 
@@ -122,12 +120,12 @@ def broader_profile(t):
 
 
 @query("ancestor_groups", f"""{WITH_DAG},
-up AS (SELECT ancestor AS grp, id AS item FROM above JOIN part ON p_partkey = id AND {BIG}
-  UNION SELECT p_partkey, p_partkey FROM part WHERE {BIG} AND p_type = 'PROMO')
+up AS (SELECT ancestor AS grp, id AS item FROM above JOIN part ON p_partkey = id
+  UNION SELECT p_partkey, p_partkey FROM part WHERE p_type = 'PROMO')
 SELECT grp, CAST(count(*) AS BIGINT) AS n_members, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS members
 FROM up GROUP BY grp HAVING count(*) BETWEEN 2 AND 800""")
 def ancestor_groups(t):
-    entities = t.part.where(BIG).select(F.col("p_partkey").alias("item"), F.col("p_partkey").alias("node"),
+    entities = t.part.select(F.col("p_partkey").alias("item"), F.col("p_partkey").alias("node"),
                                         (F.col("p_type") == "PROMO").alias("synthetic"))
     return (H.ancestor_groups(entities, H.strict_closure(edges(t)))
             .withColumn("members", F.array_join(F.col("members").cast("array<string>"), ",")))
@@ -150,4 +148,4 @@ SELECT p_partkey AS node, coalesce((SELECT arg_min(name, position) FROM closed J
 FROM part""")
 def first_category(t):
     cats = t.spark.createDataFrame([(a, n, i) for i, (a, n) in enumerate(CATEGORIES)], "ancestor long, name string, position int")
-    return H.first_category(t.part.select(F.col("p_partkey").alias("node")), H.closure(edges(t)), cats)
+    return H.first_category(t.part.select(F.col("p_partkey").alias("node")), H.descendants(edges(t), cats.select("ancestor")), cats)

@@ -52,13 +52,13 @@ def resolve_ids(t):
 
 
 @query("symbol_index", """WITH s AS (
-  SELECT lower(concat(p_name, '-', p_size)) AS symbol, p_partkey AS id, 0 AS priority FROM part
-  UNION ALL SELECT lower(concat(split_part(p_name, ' ', 1), ' rod-', p_size)), p_partkey, 1 FROM part)
+  SELECT lower(concat(p_name, '-', p_size)) AS symbol, p_partkey AS id, 0 AS priority, -p_retailprice AS pos FROM part
+  UNION ALL SELECT lower(concat(split_part(p_name, ' ', 1), ' rod-', p_size)), p_partkey, 1, -p_retailprice FROM part)
 SELECT symbol, id, CASE priority WHEN 0 THEN 'approved' ELSE 'alias' END AS kind FROM (
-  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY priority, id) AS r FROM s) WHERE r = 1""")
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY priority, pos, id) AS r FROM s) WHERE r = 1""")
 def symbol_index(t):
-    approved = t.part.selectExpr("concat(upper(p_name), '-', p_size) AS symbol", "p_partkey AS id")
-    alias = t.part.selectExpr("concat(split(p_name, ' ')[0], ' Rod-', p_size) AS symbol", "p_partkey AS id")
+    approved = t.part.selectExpr("concat(upper(p_name), '-', p_size) AS symbol", "p_partkey AS id", "-p_retailprice AS pos")
+    alias = t.part.selectExpr("concat(split(p_name, ' ')[0], ' Rod-', p_size) AS symbol", "p_partkey AS id", "-p_retailprice AS pos")
     return L.symbol_index(approved, alias)
 
 
@@ -114,16 +114,16 @@ def weighted_vote(t):
     return L.weighted_vote(curated.unionByName(listed).unionByName(dosage))
 
 
-@query("overlay_claims", f"""WITH {LOT_TERMS}, entity AS (SELECT p_partkey AS item, p_partkey // 4 AS node FROM part WHERE p_size > 25),
-claims AS (SELECT l_partkey AS subject, l_suppkey AS term, concat('claim ', l_orderkey) AS source FROM lineitem WHERE l_returnflag = 'A' AND l_quantity = 50),
+@query("overlay_claims", f"""WITH {LOT_TERMS}, entity AS (SELECT p_partkey AS item, -1 - p_partkey // 4 AS node FROM part),
+claims AS (SELECT CASE WHEN l_returnflag = 'A' THEN l_partkey ELSE -1 - l_partkey // 4 END AS subject, l_suppkey AS term, concat('claim ', l_orderkey) AS source FROM lineitem),
 rows_ AS (SELECT item, term, 'base' AS source, false AS contributed FROM lot_terms
   UNION ALL SELECT subject, term, source, true FROM claims WHERE subject IN (SELECT item FROM entity)
   UNION ALL SELECT e.item, term, source, true FROM claims JOIN entity e ON e.node = subject WHERE subject NOT IN (SELECT item FROM entity))
 SELECT item, term, bool_or(contributed) AS contributed, array_to_string(list_sort(list(DISTINCT source))[1:6], '; ') AS sources FROM rows_ GROUP BY item, term""")
 def overlay_claims(t):
-    entity = t.part.where("p_size > 25").selectExpr("p_partkey AS item", "p_partkey div 4 AS node")
-    claims = (t.lineitem.where("l_returnflag = 'A' AND l_quantity = 50")
-              .selectExpr("l_partkey AS subject", "l_suppkey AS term", "concat('claim ', l_orderkey) AS source"))
+    entity = t.part.selectExpr("p_partkey AS item", "-1 - p_partkey div 4 AS node")
+    subject = "CASE WHEN l_returnflag = 'A' THEN l_partkey ELSE -1 - l_partkey div 4 END AS subject"
+    claims = t.lineitem.selectExpr(subject, "l_suppkey AS term", "concat('claim ', l_orderkey) AS source")
     return (L.overlay_claims(lot_terms(t).withColumn("source", F.lit("base")), claims, entity)
             .withColumn("sources", F.array_join("sources", "; ")))
 

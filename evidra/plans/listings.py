@@ -10,7 +10,7 @@ from .review import CLAIMS, STATUS, claims, reviews
 
 # A record = a part; owners = suppliers whose line was returned; its type by size.
 ASSETS = """asset AS (SELECT DISTINCT l_suppkey AS owner, l_partkey AS record, CASE WHEN p_size > 25 THEN 'registry' ELSE 'trial' END AS type, CASE WHEN p_size > 25 THEN 0 ELSE 2 END AS type_rank
-  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity >= 45),
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
 own AS (SELECT s_suppkey AS owner, s_suppkey // 2 AS gene, s_acctbal > 0 AS has_people FROM supplier),
 near AS (SELECT s_suppkey AS owner, s_suppkey + k AS partner, k AS near_rank FROM supplier, (SELECT unnest([2, 5, 9]) AS k))"""
 
@@ -23,7 +23,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY type_rank, near_r
 SELECT owner, partner, record, CAST(pos AS INTEGER) AS pos FROM g WHERE pos <= 3""")
 def shared_records(t):
     part = t.part.selectExpr("p_partkey AS l_partkey", "CASE WHEN p_size > 25 THEN 'registry' ELSE 'trial' END AS type", "CASE WHEN p_size > 25 THEN 0 ELSE 2 END AS type_rank")
-    assets = t.lineitem.where("l_returnflag = 'R' AND l_quantity >= 45").join(part, "l_partkey").selectExpr("l_suppkey AS owner", "l_partkey AS record", "type", "type_rank").distinct()
+    assets = t.lineitem.join(part, "l_partkey").selectExpr("l_suppkey AS owner", "l_partkey AS record", "type", "type_rank").distinct()
     owners = t.supplier.selectExpr("s_suppkey AS owner", "s_suppkey div 2 AS gene", "s_acctbal > 0 AS has_people")
     near = t.supplier.selectExpr("s_suppkey AS owner", "explode(array(2, 5, 9)) AS near_rank").selectExpr("owner", "owner + near_rank AS partner", "near_rank")
     return L.shared_records(assets, near, owners)

@@ -28,6 +28,15 @@ def claims(t):
         "date_format(o_orderdate, 'yyyy-MM') AS source_key", "o_orderdate AS created")
 
 
+def with_evidence(t, rows):
+    """One item of evidence per line of the order: papers with and without a number, datasets, experts, bare types."""
+    kind = "CASE l_linenumber WHEN 1 THEN 'publication' WHEN 2 THEN 'publication' WHEN 3 THEN 'curated_database' WHEN 4 THEN 'expert_statement' ELSE 'note' END"
+    lines = t.lineitem.selectExpr(
+        "l_orderkey AS claim_id", f"""named_struct('type', {kind}, 'source_id', CASE WHEN l_linenumber <= 2 THEN concat('src:', l_suppkey % 20) END,
+            'pmid', CASE WHEN l_linenumber = 1 THEN concat('PMID:', l_suppkey % 10) END, 'dataset', CASE WHEN l_linenumber = 3 THEN concat('set ', l_suppkey % 3) END) AS e""")
+    return rows.join(lines.groupBy("claim_id").agg(F.collect_list("e").alias("evidence")), "claim_id")
+
+
 def challenges(t):
     """Discounted lines object to their order, or to the whole assertion from the fourth line on."""
     return (t.lineitem.where("l_discount >= 0.1 AND l_returnflag = 'A'")
@@ -83,9 +92,13 @@ def visible_claims(t):
 
 
 @query("evidence_state", f"""WITH {STATUS}, {CLAIMS}, {CHALLENGES},
-c AS (SELECT *, origin = 'reference' OR status IN ('independently_reviewed', 'human_reviewed') AS counted FROM claim),
+item AS (SELECT l_orderkey AS claim_id, CASE l_linenumber WHEN 1 THEN 'publication' WHEN 2 THEN 'publication' WHEN 3 THEN 'curated_database' WHEN 4 THEN 'expert_statement' ELSE 'note' END AS evidence_type,
+  CASE l_linenumber WHEN 1 THEN concat('PMID:', l_suppkey % 10) WHEN 2 THEN concat('src:', l_suppkey % 20) WHEN 3 THEN concat('set ', l_suppkey % 3) WHEN 4 THEN concat('expert:', o_custkey) ELSE 'note' END AS key
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+k AS (SELECT claim_id, string_agg(DISTINCT key, '|' ORDER BY key) AS source_key FROM item GROUP BY claim_id),
+c AS (SELECT claim.* EXCLUDE (source_key, evidence_type), k.source_key, origin = 'reference' OR status IN ('independently_reviewed', 'human_reviewed') AS counted FROM claim JOIN k USING (claim_id)),
 ty AS (SELECT assertion_id, string_agg(concat(evidence_type, ':', n), ',' ORDER BY n DESC, evidence_type) AS types FROM (
-  SELECT assertion_id, evidence_type, count(*) AS n FROM c WHERE counted GROUP BY ALL) GROUP BY 1),
+  SELECT assertion_id, item.evidence_type, count(*) AS n FROM c JOIN item USING (claim_id) WHERE counted GROUP BY ALL) GROUP BY 1),
 a AS (SELECT assertion_id, bool_or(origin = 'reference') AS curated, bool_or(status = 'human_reviewed') AS human_reviewed,
   count(DISTINCT source_key) FILTER (counted) AS k FROM c GROUP BY 1)
 SELECT assertion_id, CASE WHEN assertion_id IN (SELECT target FROM challenge) THEN 'contested' WHEN curated THEN 'curated' WHEN k >= 2 THEN 'multiple_independent_sources'
@@ -93,7 +106,7 @@ SELECT assertion_id, CASE WHEN assertion_id IN (SELECT target FROM challenge) TH
 FROM a LEFT JOIN ty USING (assertion_id)""")
 def evidence_state(t):
     contested = challenges(t).select(F.col("target").alias("assertion_id"))
-    return (R.evidence_state(R.with_status(claims(t), reviews(t)), contested).withColumn("types", F.array_join("types", ",")))
+    return (R.evidence_state(with_evidence(t, R.with_status(claims(t), reviews(t))), contested).withColumn("types", F.array_join("types", ",")))
 
 
 @query("track_records", f"""WITH {STATUS}, {CLAIMS}, {CHALLENGES},

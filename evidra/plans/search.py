@@ -59,34 +59,45 @@ def name_search(t):
     return Q.name_search(typed_queries(t), index(t)).withColumn("score", F.round("score", 4))
 
 
-NAMES = """SELECT p_partkey AS id, 0 AS pos, concat(p_name, ' ', lower(p_type)) AS name FROM part UNION ALL SELECT p_partkey, 1, p_name FROM part UNION ALL SELECT p_partkey, 2, concat(lower(p_type), ' part size ', p_size) FROM part"""
+NAMES = """SELECT concat('PT:', p_partkey) AS id, 0 AS pos, concat(p_name, ' ', lower(p_type)) AS name FROM part UNION ALL SELECT concat('PT:', p_partkey), 1, p_name FROM part
+UNION ALL SELECT concat('PT:', p_partkey), 2, concat(lower(p_type), ' part size ', p_size) FROM part"""
 
 
-@query("term_search", f"""WITH q AS (SELECT DISTINCT concat(p_name, ' ', lower(p_type)) AS query FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT concat('size ', p_size, ' ', lower(p_type)) FROM part),
+@query("term_search", f"""WITH q AS (SELECT DISTINCT concat(p_name, ' ', lower(p_type)) AS query FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT concat('size ', p_size, ' ', lower(p_type)) FROM part
+  UNION SELECT concat('pt:', p_size) FROM part UNION SELECT left(p_type, 1) FROM part UNION SELECT repeat(p_type, 30) FROM part),
 ns AS ({NAMES}), w AS (SELECT id, pos, lower(name) AS n, list_distinct(regexp_split_to_array(lower(name), '[^a-z0-9]+')) AS nw FROM ns),
 m AS (SELECT query, id, CASE WHEN n = lower(query) AND pos = 0 THEN 0.0 WHEN n = lower(query) THEN 1.0
   WHEN len(list_intersect(qw, nw)) = len(qw) THEN 2 + (len(nw) - len(qw)) * 0.1
   WHEN len(list_intersect(qw, nw)) >= greatest(1, len(qw) - 1) THEN 5 + (len(qw) - len(list_intersect(qw, nw))) + (len(nw) - len(list_intersect(qw, nw))) * 0.1 END AS score
-  FROM w, (SELECT query, list_distinct(regexp_split_to_array(lower(query), '[^a-z0-9]+')) AS qw FROM q)),
+  FROM w, (SELECT query, list_distinct(regexp_split_to_array(lower(query), '[^a-z0-9]+')) AS qw FROM q WHERE length(query) BETWEEN 2 AND 120 AND NOT starts_with(query, 'pt:'))),
 b AS (SELECT query, id, round(min(score), 6) AS score FROM m WHERE score IS NOT NULL GROUP BY ALL),
-r AS (SELECT b.*, row_number() OVER (PARTITION BY query ORDER BY score, length(concat(p_name, ' ', p_type)), id) AS rank FROM b JOIN part ON p_partkey = id)
-SELECT query, id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+r AS (SELECT b.*, row_number() OVER (PARTITION BY query ORDER BY score, length(concat(p_name, ' ', p_type)), id) AS rank FROM b JOIN part ON concat('PT:', p_partkey) = id)
+SELECT query, id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank, '' AS reason FROM r WHERE rank <= 10
+UNION ALL SELECT query, id, 0.0::DOUBLE, 1, '' FROM q JOIN ns ON lower(id) = query AND pos = 0
+UNION ALL SELECT query, '', -1.0::DOUBLE, -1, 'search with 2 to 120 characters' FROM q WHERE length(query) NOT BETWEEN 2 AND 120""")
 def term_search(t):
     p = t.part
-    q = (p.selectExpr("concat(p_name, ' ', lower(p_type)) AS query").union(p.select("p_name")).union(p.selectExpr("concat('size ', p_size, ' ', lower(p_type))"))).distinct()
-    names = (p.selectExpr("p_partkey AS id", "0 AS pos", "concat(p_name, ' ', lower(p_type)) AS name").union(p.selectExpr("p_partkey", "1", "p_name"))
-             .union(p.selectExpr("p_partkey", "2", "concat(lower(p_type), ' part size ', p_size)")))
-    return Q.term_search(q, names)
-
-
-@query("substring_search", """WITH q AS (SELECT DISTINCT substring(p_name, 2, 5) AS query FROM part UNION SELECT DISTINCT p_name FROM part), n AS (SELECT DISTINCT p_partkey AS id, name FROM (SELECT p_partkey, p_name AS name FROM part UNION ALL SELECT p_partkey, concat(p_name, ' / ', p_brand) FROM part)),
-h AS (SELECT query, id, bool_or(lower(name) = lower(trim(query))) AS exact FROM q JOIN n ON contains(lower(name), lower(trim(query))) WHERE length(trim(query)) >= 3 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, id) AS rank FROM h)
-SELECT query, id, exact, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
+    q = (p.selectExpr("concat(p_name, ' ', lower(p_type)) AS query").union(p.select("p_name")).union(p.selectExpr("concat('size ', p_size, ' ', lower(p_type))"))
+         .union(p.selectExpr("concat('pt:', p_size)")).union(p.selectExpr("left(p_type, 1)")).union(p.selectExpr("repeat(p_type, 30)"))).distinct()
+    p = p.withColumn("id", F.concat(F.lit("PT:"), "p_partkey"))
+    names = (p.selectExpr("id", "0 AS pos", "concat(p_name, ' ', lower(p_type)) AS name").union(p.selectExpr("id", "1", "p_name"))
+             .union(p.selectExpr("id", "2", "concat(lower(p_type), ' part size ', p_size)")))
+    return Q.term_search(q, names).na.fill("", ["id", "reason"]).na.fill(-1.0, ["score"]).na.fill(-1, ["rank"])
+
+
+@query("substring_search", """WITH q AS (SELECT DISTINCT substring(p_name, 2, 5) AS query FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT left(p_name, 2) FROM part UNION SELECT left(p_name, 1) FROM part),
+n AS (SELECT DISTINCT p_partkey AS id, name FROM (SELECT p_partkey, p_name AS name FROM part UNION ALL SELECT p_partkey, concat(p_name, ' / ', p_brand) FROM part UNION ALL SELECT p_partkey, left(p_type, 2) FROM part)),
+h AS (SELECT query, id, bool_or(lower(name) = lower(trim(query))) AS exact FROM q JOIN n ON contains(lower(name), lower(trim(query))) WHERE length(trim(query)) >= 2 GROUP BY ALL),
+r AS (SELECT query, id, exact, row_number() OVER (PARTITION BY query ORDER BY exact DESC, concat(p_type, p_name), id) AS rank FROM h JOIN part ON p_partkey = id)
+SELECT query, id, exact, CAST(rank AS INTEGER) AS rank, '' AS reason FROM r WHERE rank <= 20
+UNION ALL SELECT query, -1, false, -1, 'search with 2 to 200 characters' FROM q WHERE length(trim(query)) < 2""")
 def substring_search(t):
     p = t.part
-    q = p.selectExpr("substring(p_name, 2, 5) AS query").union(p.select("p_name")).distinct()
-    return Q.substring_search(q, p.selectExpr("p_partkey AS id", "p_name AS name").union(p.selectExpr("p_partkey", "concat(p_name, ' / ', p_brand)")))
+    q = p.selectExpr("substring(p_name, 2, 5) AS query").union(p.select("p_name")).union(p.selectExpr("left(p_name, 2)")).union(p.selectExpr("left(p_name, 1)")).distinct()
+    title = "concat(p_type, p_name) AS title"
+    names = (p.selectExpr("p_partkey AS id", "p_name AS name", title).union(p.selectExpr("p_partkey", "concat(p_name, ' / ', p_brand)", title))
+             .union(p.selectExpr("p_partkey", "left(p_type, 2)", title)))
+    return Q.substring_search(q, names).na.fill(-1, ["id", "rank"]).na.fill(False, ["exact"]).na.fill("", ["reason"])
 
 
 @query("entity_pages", """WITH it AS (SELECT DISTINCT l_suppkey AS item, l_partkey AS term FROM lineitem), j AS (SELECT term, item, s_acctbal > 5000 AS flagged FROM it JOIN supplier ON s_suppkey = item),

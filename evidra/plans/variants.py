@@ -68,9 +68,9 @@ def conditional_summary(t):
 
 
 @query("gene_rows", f"""WITH {SUMMARY}, r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY CASE class WHEN 'P' THEN 0 WHEN 'LP' THEN 1 WHEN 'C' THEN 2 WHEN 'VUS' THEN 3 WHEN 'LB' THEN 4 ELSE 5 END, submitters DESC, stars DESC, variant) AS pos FROM v)
-SELECT gene, variant, class, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= 200""")
+SELECT gene, variant, class, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= 6000""")
 def gene_rows(t):
-    return V.gene_rows(gene_variants(t), 200).select("gene", "variant", "class", "pos")
+    return V.gene_rows(gene_variants(t), 6000).select("gene", "variant", "class", "pos")
 
 
 @query("class_mix", f"""WITH {TYPED}, c AS (SELECT l_partkey AS id, count(*) AS n, count(*) FILTER (type IN ('nonsense', 'frameshift', 'splice', 'start', 'large')) AS t, count(*) FILTER (type = 'missense') AS m

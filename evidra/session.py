@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -25,7 +25,10 @@ def local_session(cores: int | str = 8, app: str = "evidra", **extra: str) -> Sp
                .config("spark.driver.memory", os.environ.get("EVIDRA_DRIVER_MEMORY", "12g"))
                .config("spark.sql.shuffle.partitions", "8")
                # small test tables: keep every core busy instead of merging shuffle partitions up to 1 MB
-               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k"))
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+               # the sample tables have one row group each, which one task would read: deal their texts out
+               .config("spark.evidra.spreadTexts", "true")
+               .config("spark.checkpoint.dir", os.environ.get("EVIDRA_CHECKPOINT_DIR", "/tmp/evidra-checkpoints")))
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -34,15 +37,13 @@ def local_session(cores: int | str = 8, app: str = "evidra", **extra: str) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; only a local master may fall back to a temp folder."""
+    """Use the shared folder named by ``spark.checkpoint.dir``, which every executor must reach."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="evidra-checkpoint-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     sc.setCheckpointDir(shared)
 
 
@@ -53,6 +54,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out a scan with fewer splits than cores before CPU-heavy work; a large input has more and stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal a scan out over all cores where the session asks for it (``local_session`` does, a cluster's own session does not)."""
+    spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism) if spark.conf.get("spark.evidra.spreadTexts", "false") == "true" else df
