@@ -65,16 +65,21 @@ def knn(base: DataFrame, k: int, queries: DataFrame | None = None, block_rows: i
         out = []
         for start in range(0, len(left), 1024):
             part = left.iloc[start:start + 1024]
+            asking = part["id"].to_numpy()
             s = np.round(np.asarray(part["v"].tolist()) @ x.T, 9)
-            for i, q in enumerate(part["id"].to_numpy()):
-                row = s[i].copy()
-                keep = ids != q if self_join else np.ones(len(ids), bool)
-                cand = np.flatnonzero(keep)
-                if len(cand) > k:
-                    limit = -np.partition(-row[cand], k - 1)[k - 1]
-                    cand = cand[row[cand] >= limit]
-                order = cand[np.lexsort((ids[cand], -row[cand]))][:k]
-                out.append(pd.DataFrame({"id": q, "other": ids[order], "sim": row[order]}))
+            if self_join:
+                s[asking[:, None] == ids[None, :]] = -np.inf
+            # everything from the k-th best on, ties included, for all queries at once; then the order within each query
+            if s.shape[1] > k:
+                limit = -np.partition(-s, k - 1, axis=1)[:, k - 1:k]
+                q, c = np.nonzero((s >= limit) & (s > -np.inf))
+            else:
+                q, c = np.nonzero(s > -np.inf)
+            order = np.lexsort((ids[c], -s[q, c], q))
+            q, c = q[order], c[order]
+            best = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, c = q[best], c[best]
+            out.append(pd.DataFrame({"id": asking[q], "other": ids[c], "sim": s[q, c]}))
         return pd.concat(out)
 
     def search(routed: DataFrame) -> DataFrame:
@@ -94,10 +99,7 @@ def knn(base: DataFrame, k: int, queries: DataFrame | None = None, block_rows: i
         w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
         return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    first = ranked(search(asked.select("id", "v", "block")))
-    if m == 1:
-        return first.select("id", "other", "sim", "rank")
-    first = cut(first)
+    first = cut(ranked(search(asked.select("id", "v", "block"))))
     reach = first.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(-1.0).alias("kth"))
     order = sorted(radius)
     radii = np.asarray([radius[b] for b in order])
@@ -131,7 +133,8 @@ def map_edges(neighbors: DataFrame, k: int = 3) -> DataFrame:
 
 
 def communities(edges: DataFrame, rounds: int = 5, min_weight: float = 0.0) -> DataFrame:
-    """id, label: weighted label propagation, a fixed number of synchronous rounds, ties to the smallest label.
+    """id, label, changing: weighted label propagation, at most ``rounds`` synchronous rounds, ties to the smallest label. It ends early
+    when no label changes; ``changing`` tells which nodes still changed in the last round.
 
     A higher ``min_weight`` keeps only strong edges and gives the finer level. Votes are summed per (node, label) before the
     winner is taken, so a hub's edges are combined map-side.
@@ -139,18 +142,28 @@ def communities(edges: DataFrame, rounds: int = 5, min_weight: float = 0.0) -> D
     both = (edges.where(F.col("weight") >= min_weight).select("a", "b", "weight")
             .unionByName(edges.where(F.col("weight") >= min_weight).select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     both = cut(both)
-    labels = both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
+    labels = both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")).withColumn("changing", F.lit(True))
     for _ in range(rounds):
-        votes = (both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a", "label").agg(F.round(F.sum("weight"), 9).alias("w")))
-        labels = cut(votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("n"), "label")).alias("m"))
-                     .select(F.col("a").alias("id"), F.col("m.label").alias("label")))
+        votes = (both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a", "label").agg(F.round(F.sum("weight"), 9).alias("w")))
+        won = (votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("n"), "label")).alias("m"))
+               .select(F.col("a").alias("id"), F.col("m.label").alias("label")))
+        labels = cut(won.join(labels.select("id", F.col("label").alias("was")), "id")
+                     .select("id", "label", (F.col("label") != F.col("was")).alias("changing")))
+        if labels.where("changing").isEmpty():
+            break
     return labels
 
 
 def ordered_communities(labels: DataFrame) -> DataFrame:
-    """label, size, position (largest first, then smallest label). One row per community."""
+    """label, size, position (largest first, then smallest label). One row per community.
+
+    Communities are numbered within their size; how many are larger comes from one row per distinct size.
+    """
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.withColumn("position", F.row_number().over(Window.orderBy(F.desc("size"), "label")))
+    larger = (sizes.groupBy("size").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_larger", F.sum("_n").over(Window.orderBy(F.desc("size"))) - F.col("_n")).drop("_n"))
+    within = F.row_number().over(Window.partitionBy("size").orderBy("label"))
+    return sizes.withColumn("_w", within).join(larger, "size").select("label", "size", (F.col("_larger") + F.col("_w")).cast("int").alias("position"))
 
 
 def cluster_features(members: DataFrame, item_terms: DataFrame, n: int = 6, share: float = 0.15) -> DataFrame:

@@ -59,16 +59,17 @@ def _round(i):
   SELECT e.a, l.label, round(sum(weight), 9) AS w FROM both_ways e JOIN l{i} l ON l.id = e.b GROUP BY 1, 2) GROUP BY a)"""
 
 
-ROUNDS = 3
+ROUNDS = 5
 LABELS = "l0 AS (SELECT DISTINCT a AS id, a AS label FROM both_ways), " + ", ".join(_round(i) for i in range(ROUNDS))
 
 
 @query("communities", f"""WITH {KNN_SQL}, {LABELS},
 size AS (SELECT label, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) AS position FROM l{ROUNDS} GROUP BY label)
-SELECT id, CAST(position AS INTEGER) AS community, CAST(size AS BIGINT) AS size FROM l{ROUNDS} JOIN size USING (label)""")
+SELECT l{ROUNDS}.id, CAST(position AS INTEGER) AS community, CAST(size AS BIGINT) AS size, l{ROUNDS}.label <> p.label AS changing
+FROM l{ROUNDS} JOIN size USING (label) JOIN l{ROUNDS - 1} p ON p.id = l{ROUNDS}.id""")
 def communities(t):
     labels = K.communities(K.knn_edges(K.knn(vectors(t), KNN, block_rows=BLOCK)), ROUNDS)
-    return labels.join(K.ordered_communities(labels), "label").select("id", F.col("position").alias("community"), "size")
+    return labels.join(K.ordered_communities(labels), "label").select("id", F.col("position").alias("community"), "size", "changing")
 
 
 @query("cluster_features", f"""WITH {PART_TERMS}, m AS (SELECT s_suppkey AS item, s_nationkey AS cluster FROM supplier),
