@@ -5,56 +5,107 @@ from __future__ import annotations
 import base64
 import os
 import re
+import sys
+import types
+import unicodedata
+from array import array
 
-import numpy as np
-
-MOST_CHUNKS, LONGEST_CHUNK = 300_000, 64
+MOST_CHUNKS, LONGEST_CHUNK = 250_000, 64  # of each of two generations
 GAP = re.compile(r"(?= \S)")  # before a space that a word follows
 
 
+class Memory(dict):
+    """chunk -> ids. Two generations: when this one is full it becomes the old one, and what is met again moves up, so frequent chunks stay
+    and memory is bounded. Chunks longer than ``LONGEST_CHUNK`` are not kept."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, chunk):
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.make(chunk, self)
+        if len(chunk) <= LONGEST_CHUNK:
+            self[chunk] = ids
+        return ids
+
+    def make_room(self) -> None:
+        if len(self) > MOST_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+
+
 class ChunkEncoder:
-    """Text -> little-endian unsigned 32-bit ids. ``split`` cuts a text where no token can cross; ``encode`` takes a list of chunks."""
+    """Text -> little-endian unsigned 32-bit ids. ``split`` cuts a text where no token can cross; ``make`` encodes a chunk."""
 
-    def __init__(self, split, encode):
-        self.split, self.encode, self.known = split, encode, {}
+    def __init__(self, split, make):
+        self.split, self.memory = split, Memory(make)
 
     def ids(self, text: str | None) -> bytes:
-        chunks = self.split(text or "")
-        known = self.known
-        new = {c for c in chunks if c not in known}
-        if new:
-            if len(known) + len(new) > MOST_CHUNKS:
-                known.clear()
-                new = set(chunks)
-            extra = {}
-            new = list(new)
-            for chunk, ids in zip(new, self.encode(new)):
-                (known if len(chunk) <= LONGEST_CHUNK else extra)[chunk] = np.asarray(ids, "<u4").tobytes()
-            if extra:
-                return b"".join([known[c] if c in known else extra[c] for c in chunks])
-        return b"".join(map(known.__getitem__, chunks))
+        self.memory.make_room()
+        return b"".join(map(self.memory.__getitem__, self.split(text or "")))
 
 
-def word_encoder(path: str) -> ChunkEncoder:
-    """For a tokenizer file that drops white space: no token crosses an ASCII blank, and nothing before or after one changes it."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
+def _packed(ids) -> bytes:
+    return array("I", ids).tobytes()
 
-    def encode(chunks):
-        return [e.ids for e in tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
 
-    return ChunkEncoder(lambda text: text.encode().split(), encode)
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be seen, else one from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+def _for_this_worker(name: str, create):
+    """What ``create`` returns, made once in a Python worker and kept for its later tasks."""
+    kept = sys.modules.setdefault("_evidra_worker_memory", types.ModuleType("_evidra_worker_memory")).__dict__
+    if name not in kept:
+        kept[name] = create()
+    return kept[name]
+
+
+def word_encoder(path: str) -> ChunkEncoder:
+    """For a tokenizer file that drops white space and case: no token crosses an ASCII blank, nothing before or after one changes it, and
+    A-Z may be lower-cased before.
+
+    Runs of lower-case letters are one word to the tokenizer and go to its model directly, with a stop sign behind them as a word of its
+    own; everything else takes the whole way.
+    """
+    def create():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        tokenizer = Tokenizer.from_file(path)
+        model, letters = tokenizer.model, _byte_letters()
+
+        def make(chunk: bytes, memory: Memory) -> bytes:
+            if chunk.isalpha():
+                return _packed([t.id for t in model.tokenize(chunk.decode())])
+            if len(chunk) > 1 and chunk[-1] in b".,;:!?":
+                body = chunk[:-1].decode()
+                if body.isalpha():
+                    return memory[chunk[:-1]] + memory[chunk[-1:]]
+            word = chunk.decode()
+            if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
+                return _packed([t.id for t in model.tokenize("".join([letters[b] for b in chunk]))])
+            return _packed(tokenizer.encode(word, add_special_tokens=False).ids)
+
+        return ChunkEncoder(lambda text: text.encode().lower().split(), make)
+
+    return _for_this_worker(f"words {path}", create)
 
 
 def byte_encoder(path: str, pattern: str) -> ChunkEncoder:
     """For a rank file of byte-level pairs: a space before a word starts a token, so texts are cut there. Special tokens in a text
     are ordinary text."""
-    import tiktoken
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return ChunkEncoder(GAP.split, lambda chunks: [encoding.encode_ordinary(c) for c in chunks])
+    def create():
+        import tiktoken
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return ChunkEncoder(GAP.split, lambda chunk, _: _packed(encoding.encode_ordinary(chunk)))
+
+    return _for_this_worker(f"bytes {path} {pattern}", create)
 
 
 def byte_decoder(path: str):

@@ -13,7 +13,7 @@ from . import frames
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 NASTY = ["", " ", "a  b\t\nc", "it's they'll", "<|endoftext|> x<|startoftext|>y", "ΣΑΣ ΟΔΟΣ.", "é ́ a b　c d", "x\x0by\x0cz\x1cq\x85r",
-         "ﬁ İ ẞ", "1234567 12,3", "日本語 テスト", "a" * 5000, "👩‍👩‍👧 🇩🇪", None]
+         "ﬁ İ ẞ", "1234567 12,3", "日本語 テスト", "straße. ΟΔΟΣ ὀδός, ŉ. ǅ İi. naïve! e\u0301. x² ⅷ. ªº. don't, l'été; A.B. ...", "ab\u0301c. 你好! ﬀ. ẞ.", "a" * 5000, "👩‍👩‍👧 🇩🇪", None]
 
 
 @pytest.fixture(scope="module")
@@ -29,11 +29,12 @@ def test_chunks_give_the_tokenizers_ids(tokenizer):
 
 
 def test_memory_of_chunks_is_bounded(tokenizer, monkeypatch):
-    monkeypatch.setitem(tokens.ChunkEncoder.ids.__globals__, "MOST_CHUNKS", 10)
-    encoder = tokens.word_encoder(PATH)
+    monkeypatch.setattr(tokens, "MOST_CHUNKS", 10)
+    encoder = tokens.ChunkEncoder(tokens.word_encoder(PATH).split, tokens.word_encoder(PATH).memory.make)
     for i in range(30):
         text = " ".join(f"word{i} other{j}" for j in range(4))
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.memory) < 20
 
 
 def check(tokenizer, rows, got):
