@@ -56,10 +56,10 @@ def apportion(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: f
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0,
-        key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+        key: str = "doc_id", source: str = "source", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """How many copies of each document a mix of sources takes.
 
-    Returns ``row`` (the whole input row as a struct, so no column name can clash), ``size`` (words), ``source_size``,
+    Returns ``row`` (the columns ``carry`` of the input row, or all, as a struct, so no column name can clash), ``size`` (words), ``source_size``,
     ``target`` and ``copies``. Every document of a source has the same expected copies, target / source_size. Documents stand
     in a line by size class (largest first), slot and key; the prefix sum of expected copies plus one random offset per source
     crosses an integer once for each copy. Sizes in order make the sum of words taken follow the target closely.
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     rank in its own group. A null text has size 0, a null source is a source of its own, a null key ranks first; equal keys
     count separately. No rows: no rows. A source without words has target 0 and takes nothing.
     """
-    slim = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), _source_key(F.col(source)).alias("g"),
+    slim = docs.select(F.struct(*(carry or ["*"])).alias("row"), F.col(key).alias("k"), _source_key(F.col(source)).alias("g"),
                        word_count(F.col(text)).alias("size"))
     slim = slim.withColumn("cls", size_class(F.col("size"))).withColumn("slot", slot_of(F.col("k")))
     cells = slim.groupBy("g", "cls", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))

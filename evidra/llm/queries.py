@@ -60,7 +60,7 @@ FROM v""")
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at weights 5, 2, 1 over the sources, 150 % of all words, at most twice a source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
+    return mixing.mix(docs, carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
                                    (F.col("copies") * F.col("size")).alias("taken"))
 
 
