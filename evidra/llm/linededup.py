@@ -91,8 +91,9 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, min_docs: in
         runs.add(docs.filter(slot_text(F.col(key), batches) == b), key, text, min_chars)
     drop = (runs.repeated(docs, key, text, min_docs, min_chars)
             .groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("drop")))
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    rows = rows.join(drop, rows["key"].eqNullSafe(drop["k"]), "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"))
+    rows = (rows.join(drop, rows["key"].eqNullSafe(drop["k"]), "left")
+            .select("row", "drop", F.coalesce(F.col("row")[text], F.lit("")).alias("body")))
 
     def stays(line: Column) -> Column:
         k = line_key(line)
