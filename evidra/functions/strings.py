@@ -67,18 +67,32 @@ def organization_id(url, deny=NOT_AN_ORGANIZATION) -> Column:
     return F.when((slug != "") & ~denied, F.substring(F.concat(F.lit("org:"), slug), 1, 84))
 
 
+# Words that mark the part of an affiliation that names the institution, sure ones and possible ones, and words that a unit
+# inside an institution begins with
+SURE_INSTITUTION = "universit|hospital|college|school|clinic"
+ANY_INSTITUTION = "universit|hospital|institut|center|centre|college|school|clinic|foundation|laborator|academy|inserm|cnrs|nih"
+INNER_UNIT = "^(department|division)"
+
+
 def clean_affiliation(text, limit: int = 140) -> Column:
-    """Institution and its place: e-mails removed, department dropped."""
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\S+@\S+", ""), r"\s*Electronic address:?\s*", " ")
-    t = F.regexp_replace(F.trim(t), "[.;,: ]+$", "")
-    parts = F.filter(F.transform(F.split(t, ","), lambda p: F.trim(p)), lambda p: p != "")
-    strong = F.transform(parts, lambda p: F.lower(p).rlike("universit|hospital|college|school|clinic")
-                         & ~F.lower(p).startswith("department") & ~F.lower(p).startswith("division"))
-    weak = F.transform(parts, lambda p: F.lower(p).rlike(
-        "universit|hospital|institut|center|centre|college|school|clinic|foundation|laborator|academy|inserm|cnrs|nih"))
-    at = F.coalesce(F.nullif(F.array_position(strong, True), F.lit(0)), F.nullif(F.array_position(weak, True), F.lit(0)), F.lit(1))
-    kept = F.when(F.size(parts) > at, F.concat(F.slice(parts, at, 1), F.slice(parts, -1, 1))).otherwise(F.slice(parts, at, 1))
-    return F.when(F.size(parts) == 0, "").otherwise(F.substring(F.array_join(kept, ", "), 1, limit))
+    """Institution and its place: e-mails removed, department dropped.
+
+    Every comma-separated part gets a rank (0 surely an institution, 1 perhaps, 2 other); the first part of the best rank and the last part
+    of all, the place, remain.
+    """
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\S+@\S+", "")
+    bare = F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s*Electronic address:?\s*", " ")), "[.;,: ]+$", "")
+    parts = F.filter(F.transform(F.split(bare, ","), lambda p: F.trim(p)), lambda p: p != "")
+
+    def ranked(part, at):
+        low = F.lower(part)
+        rank = F.when(low.rlike(SURE_INSTITUTION) & ~low.rlike(INNER_UNIT), 0).when(low.rlike(ANY_INSTITUTION), 1).otherwise(2)
+        return F.struct(rank.alias("rank"), at.alias("at"), part.alias("part"))
+
+    best = F.array_min(F.transform(parts, ranked))
+    place = F.element_at(parts, -1)
+    named = F.when(best["at"] < F.size(parts) - 1, F.concat_ws(", ", best["part"], place)).otherwise(best["part"])
+    return F.when(F.size(parts) == 0, "").otherwise(F.substring(named, 1, limit))
 
 
 # Entity kinds by id shape, first match wins

@@ -42,12 +42,16 @@ def association_effect(text) -> Column:
             .when(t.contains("(gain of function)"), "gain_of_function"))
 
 
+# How clinical significance begins, first match wins, and the word that beats them all
+CONFLICTING = "conflicting"
+SIGNIFICANCE = (("pathogenic", "P"), ("likely pathogenic", "LP"), ("uncertain significance", "VUS"), ("likely benign", "LB"), ("benign", "B"))
+
+
 def classification(text) -> Column:
     """Clinical significance words to a class; conflicting wins over everything."""
     t = F.lower(text)
-    out = F.when(t.contains("conflicting"), "C")
-    for start, klass in (("pathogenic", "P"), ("likely pathogenic", "LP"), ("uncertain significance", "VUS"),
-                         ("likely benign", "LB"), ("benign", "B")):
+    out = F.when(t.contains(CONFLICTING), "C")
+    for start, klass in SIGNIFICANCE:
         out = out.when(t.startswith(start), klass)
     return out.otherwise("O")
 
@@ -62,13 +66,14 @@ def model_family(name) -> Column:
     return F.when((v == "openai") | v.startswith("openai-") | v.startswith("azure-openai") | v.startswith("gpt-"), "openai").otherwise(v)
 
 
+# Words in the description of an organization and the kind they stand for, first match wins
+ORGANIZATION_KINDS = (("patient", "patient_organization"), ("research", "research_program"), ("registry", "research_program"),
+                      ("information", "information_service"), ("professional", "professional_network"), ("company", "company"))
+
+
 def organization_kind(text) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
-    out = F.when(t.contains("patient"), "patient_organization")
-    for word, kind in (("research", "research_program"), ("registry", "research_program"), ("information", "information_service"),
-                       ("professional", "professional_network"), ("company", "company")):
-        out = out.when(t.contains(word), kind)
-    return out.otherwise("patient_organization")
+    return F.coalesce(*[F.when(t.contains(word), kind) for word, kind in ORGANIZATION_KINDS], F.lit("patient_organization"))
 
 
 def listing_scope(text) -> Column:
@@ -80,9 +85,13 @@ def study_group(status) -> Column:
     return lookup(status, OPEN_STATUS, "unknown")
 
 
+# What a listing says about whom a study takes
+SOME_PATIENTS, ASK_EXPERT, INCLUDED = "only some patients", "ask an expert", "includes your condition"
+
+
 def study_fit(restriction, verdict) -> Column:
-    return (F.when(F.coalesce(restriction, F.lit("")) != "", "only some patients")
-            .when(verdict == "supports_with_qualification", "ask an expert").otherwise("includes your condition"))
+    return (F.when(F.coalesce(restriction, F.lit("")) != "", SOME_PATIENTS)
+            .when(verdict == "supports_with_qualification", ASK_EXPERT).otherwise(INCLUDED))
 
 
 def rarity(count, rare: int = 50, uncommon: int = 400) -> Column:

@@ -87,19 +87,30 @@ def weighted_vote(votes: DataFrame) -> DataFrame:
             .select("id", "b.value", (-F.col("b.v")).alias("votes")))
 
 
-def overlay_claims(base: DataFrame, claims: DataFrame, entities: DataFrame, n_sources: int = 6) -> DataFrame:
+def overlay_claims(base: DataFrame, claims: DataFrame, entities: DataFrame, n_sources: int = 6, n_refs: int = 5) -> DataFrame:
     """Base profile plus accepted contributed claims; a claim names an entity or the node above several entities.
 
-    base: item, term, source. claims: subject, term, source. entities: item, node.
-    Returns item, term, contributed (whether a claim adds to it), sources.
+    base: item, term, source, ref, frequency. claims: subject, term, source, ref, frequency, claim_id. entities: item, node.
+    Returns item, term, contributed (whether a claim adds to it), sources, refs (the first ``n_refs`` in order), frequency (the base's, else that
+    of the first claim that gives one) and n_claims; the claims themselves are ``claim_targets``.
     """
-    direct = claims.join(entities.select(F.col("item").alias("subject")), "subject", "left_semi").select(F.col("subject").alias("item"), "term", "source")
+    rows = (base.select("item", "term", "source", "ref", "frequency", F.lit(None).cast("long").alias("claim_id"))
+            .unionByName(claim_targets(claims, entities)))
+    given = F.coalesce(F.col("frequency"), F.lit("")) != ""
+    facts = rows.groupBy("item", "term").agg(
+        F.bool_or(F.col("claim_id").isNotNull()).alias("contributed"), F.countDistinct("claim_id").alias("n_claims"),
+        F.coalesce(F.min(F.when(given, F.struct("claim_id", "frequency")))["frequency"], F.lit("")).alias("frequency"))
+    refs = capped_list(rows.where("ref IS NOT NULL").select("item", "term", "ref").distinct(), ["item", "term"], "ref", n_refs, name="refs")
+    return (facts.join(capped_list(rows, ["item", "term"], "source", n_sources, name="sources"), ["item", "term"])
+            .join(refs, ["item", "term"], "left"))
+
+
+def claim_targets(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """item, term, source, ref, frequency, claim_id: every claim at each entity that it reaches."""
+    kept = ["term", "source", "ref", "frequency", "claim_id"]
+    direct = claims.join(entities.select(F.col("item").alias("subject")), "subject", "left_semi").select(F.col("subject").alias("item"), *kept)
     rest = claims.join(entities.select(F.col("item").alias("subject")), "subject", "left_anti")
-    spread = rest.join(entities.select("item", F.col("node").alias("subject")), "subject").select("item", "term", "source")
-    rows = (base.select("item", "term", "source", F.lit(False).alias("contributed"))
-            .unionByName(direct.unionByName(spread).withColumn("contributed", F.lit(True))))
-    flags = rows.groupBy("item", "term").agg(F.bool_or("contributed").alias("contributed"))
-    return flags.join(capped_list(rows, ["item", "term"], "source", n_sources, name="sources"), ["item", "term"])
+    return direct.unionByName(rest.join(entities.select("item", F.col("node").alias("subject")), "subject").select("item", *kept))
 
 
 def id_overlap(variants: DataFrame, keys: DataFrame, generic: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.vocab import SUPPORTING, model_family
+from evidra.functions.vocab import SUPPORTING, lookup, model_family
 from evidra.operators.linking import capped_list
 
 ACCEPTED = ("reviewed", "independently_reviewed", "human_reviewed")
@@ -74,11 +74,15 @@ def visible(policy: str, origin, status, predicate) -> Column:
     raise ValueError(f"unknown policy {policy!r}")
 
 
+# The labels that readers see
+CONTESTED_LABEL, CURATED_LABEL, UNCHECKED_LABEL = "Contested: see both sides", "From a curated database", "Not yet checked"
+STATUS_LABELS = {"human_reviewed": "Reviewed by an expert", "independently_reviewed": "Checked by two independent AI reviewers",
+                 "reviewed": "Checked by an AI reviewer against its source"}
+
+
 def plain_label(origin, status, contested) -> Column:
-    return (F.when(contested, "Contested: see both sides").when(origin == "reference", "From a curated database")
-            .when(status == "human_reviewed", "Reviewed by an expert")
-            .when(status == "independently_reviewed", "Checked by two independent AI reviewers")
-            .when(status == "reviewed", "Checked by an AI reviewer against its source").otherwise("Not yet checked"))
+    """A contested claim says so first, a curated one names its kind of source, the others their review."""
+    return F.when(contested, CONTESTED_LABEL).when(origin == "reference", CURATED_LABEL).otherwise(lookup(status, STATUS_LABELS, UNCHECKED_LABEL))
 
 
 def source_key(evidence, contributor) -> Column:
@@ -129,10 +133,10 @@ def earned_quota(base: int, lvl) -> Column:
     return F.greatest(F.lit(5), F.bround(F.lit(base) * factor).cast("int"))
 
 
-def track_records(claims: DataFrame, reviews: DataFrame, challenges: DataFrame, base_quota: int = 20) -> DataFrame:
-    """One row per contributor of contributed claims.
+def track_records(claims: DataFrame, reviews: DataFrame, challenges: DataFrame, base_quota: int = 20, n_recent: int = 10) -> DataFrame:
+    """One row per actor: what became of the contributed claims, reviews given, challenges made, the latest claims (newest first), level and quota.
 
-    claims: claim_id, assertion_id, contributor, origin, kernel_ok. challenges: target (claim or assertion id).
+    claims: claim_id (long), assertion_id, contributor, origin, kernel_ok, seq. challenges: target (claim or assertion id), challenger.
     """
     mine = with_status(claims.where("origin = 'contributed'"), reviews)
     targets = challenges.select("target").distinct()
@@ -146,13 +150,18 @@ def track_records(claims: DataFrame, reviews: DataFrame, challenges: DataFrame,
         F.count_if(ok & status.isin(*ACCEPTED)).alias("accepted"), F.count_if(ok & (status == "rejected")).alias("rejected"),
         F.count_if(ok & (status == "review_disagreement")).alias("disputed"), F.count_if(ok & (status == "unreviewed")).alias("pending"),
         F.count_if(F.col("_c1").isNotNull() | F.col("_c2").isNotNull()).alias("challenged"))
+    given = reviews.groupBy(F.col("reviewer").alias("contributor")).agg(F.count(F.lit(1)).alias("reviews_given"))
+    made = challenges.groupBy(F.col("challenger").alias("contributor")).agg(F.count(F.lit(1)).alias("challenges_made"))
+    recent = recent_per_actor(mine, "contributor", "claim_id", [F.desc("seq")], n_recent, "recent")
+    out = (out.join(given, "contributor", "full").join(made, "contributor", "full")
+           .na.fill(0).join(recent, "contributor", "left").withColumn("recent", F.coalesce("recent", F.array().cast("array<bigint>"))))
     lvl = level(F.col("accepted"), F.col("rejected"))
     return out.withColumn("level", lvl).withColumn("quota", earned_quota(base_quota, F.col("level")))
 
 
-def recent_per_actor(claims: DataFrame, actor: str, item: str, order: list[Column], n: int = 10) -> DataFrame:
+def recent_per_actor(claims: DataFrame, actor: str, item: str, order: list[Column], n: int = 10, name: str | None = None) -> DataFrame:
     """actor, items: the latest n items of each actor, newest first."""
-    return capped_list(claims, [actor], item, n, order)
+    return capped_list(claims, [actor], item, n, order, name) if name else capped_list(claims, [actor], item, n, order)
 
 
 def reviewer_agreement(reviews: DataFrame, at_least: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions.vocab import CLASS_ORDER, lookup
 
+# Fixed value: how the public variant table writes a name: transcript, gene in brackets, coding change, protein change in brackets
 NAME = r"^([^\s(:]+)(?:\([^)]*\))?:([cmgn]\.\S+)(?:\s+\((p\.[^)]+)\))?"
 # One-letter to three-letter amino acids
 AMINO = {"A": "ala", "R": "arg", "N": "asn", "D": "asp", "C": "cys", "Q": "gln", "E": "glu", "G": "gly", "H": "his", "I": "ile", "L": "leu",

@@ -115,17 +115,24 @@ def weighted_vote(t):
 
 
 @query("overlay_claims", f"""WITH {LOT_TERMS}, entity AS (SELECT p_partkey AS item, -1 - p_partkey // 4 AS node FROM part),
-claims AS (SELECT CASE WHEN l_returnflag = 'A' THEN l_partkey ELSE -1 - l_partkey // 4 END AS subject, l_suppkey AS term, concat('claim ', l_orderkey) AS source FROM lineitem),
-rows_ AS (SELECT item, term, 'base' AS source, false AS contributed FROM lot_terms
-  UNION ALL SELECT subject, term, source, true FROM claims WHERE subject IN (SELECT item FROM entity)
-  UNION ALL SELECT e.item, term, source, true FROM claims JOIN entity e ON e.node = subject WHERE subject NOT IN (SELECT item FROM entity))
-SELECT item, term, bool_or(contributed) AS contributed, array_to_string(list_sort(list(DISTINCT source))[1:6], '; ') AS sources FROM rows_ GROUP BY item, term""")
+claims AS (SELECT CASE WHEN l_returnflag = 'A' THEN l_partkey ELSE -1 - l_partkey // 4 END AS subject, l_suppkey AS term, concat('claim ', l_orderkey) AS source,
+  CASE WHEN l_linenumber <= 4 THEN concat('PMID:', l_orderkey % 97) END AS ref, CASE WHEN l_discount > 0.05 THEN concat(l_linenumber, '/7') ELSE '' END AS frequency,
+  l_orderkey * 10 + l_linenumber AS claim_id FROM lineitem),
+rows_ AS (SELECT item, term, 'base' AS source, NULL AS ref, CASE WHEN item % 3 = 0 THEN '1/2' ELSE '' END AS frequency, NULL AS claim_id FROM lot_terms
+  UNION ALL SELECT subject, term, source, ref, frequency, claim_id FROM claims WHERE subject IN (SELECT item FROM entity)
+  UNION ALL SELECT e.item, term, source, ref, frequency, claim_id FROM claims JOIN entity e ON e.node = subject WHERE subject NOT IN (SELECT item FROM entity))
+SELECT item, term, bool_or(claim_id IS NOT NULL) AS contributed, array_to_string(list_sort(list(DISTINCT source))[1:6], '; ') AS sources,
+  coalesce(array_to_string(list_sort(list(DISTINCT ref) FILTER (ref IS NOT NULL))[1:5], '; '), '') AS refs, CAST(count(DISTINCT claim_id) AS BIGINT) AS n_claims,
+  coalesce(arg_min(frequency, (coalesce(claim_id, -1), frequency)) FILTER (frequency <> ''), '') AS frequency FROM rows_ GROUP BY item, term""".replace("(coalesce(claim_id, -1), frequency)", "row(coalesce(claim_id, -1), frequency)"))
 def overlay_claims(t):
     entity = t.part.selectExpr("p_partkey AS item", "-1 - p_partkey div 4 AS node")
     subject = "CASE WHEN l_returnflag = 'A' THEN l_partkey ELSE -1 - l_partkey div 4 END AS subject"
-    claims = t.lineitem.selectExpr(subject, "l_suppkey AS term", "concat('claim ', l_orderkey) AS source")
-    return (L.overlay_claims(lot_terms(t).withColumn("source", F.lit("base")), claims, entity)
-            .withColumn("sources", F.array_join("sources", "; ")))
+    claims = t.lineitem.selectExpr(
+        subject, "l_suppkey AS term", "concat('claim ', l_orderkey) AS source", "CASE WHEN l_linenumber <= 4 THEN concat('PMID:', l_orderkey % 97) END AS ref",
+        "CASE WHEN l_discount > 0.05 THEN concat(l_linenumber, '/7') ELSE '' END AS frequency", "l_orderkey * 10 + l_linenumber AS claim_id")
+    base = lot_terms(t).selectExpr("*", "'base' AS source", "CAST(NULL AS STRING) AS ref", "CASE WHEN item % 3 = 0 THEN '1/2' ELSE '' END AS frequency")
+    return (L.overlay_claims(base, claims, entity).withColumn("sources", F.array_join("sources", "; "))
+            .withColumn("refs", F.coalesce(F.array_join("refs", "; "), F.lit(""))))
 
 
 @query("id_overlap", """WITH v AS (SELECT DISTINCT l_orderkey AS variant, l_suppkey AS gene, unnest([p_brand, p_type, p_name]) AS id FROM lineitem JOIN part ON p_partkey = l_partkey),

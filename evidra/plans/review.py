@@ -116,11 +116,19 @@ r AS (SELECT contributor, count(*) AS submitted, count(*) FILTER (NOT kernel_ok)
   count(*) FILTER (kernel_ok AND status = 'unreviewed') AS pending,
   count(*) FILTER (claim_id IN (SELECT target FROM challenge) OR assertion_id IN (SELECT target FROM challenge)) AS challenged
   FROM claim WHERE origin = 'contributed' GROUP BY 1),
+g AS (SELECT reviewer, count(*) AS reviews_given FROM rev GROUP BY 1), m AS (SELECT challenger, count(*) AS challenges_made FROM challenge GROUP BY 1),
+w AS (SELECT contributor, string_agg(CAST(claim_id AS VARCHAR), ',' ORDER BY seq DESC) AS recent FROM (
+  SELECT *, row_number() OVER (PARTITION BY contributor ORDER BY seq DESC) AS k FROM claim WHERE origin = 'contributed') WHERE k <= 10 GROUP BY 1),
+a AS (SELECT contributor FROM r UNION SELECT reviewer FROM g UNION SELECT challenger FROM m),
+o AS (SELECT a.contributor, coalesce(submitted, 0) AS submitted, coalesce(quote_failed, 0) AS quote_failed, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected,
+  coalesce(disputed, 0) AS disputed, coalesce(pending, 0) AS pending, coalesce(challenged, 0) AS challenged, coalesce(reviews_given, 0) AS reviews_given,
+  coalesce(challenges_made, 0) AS challenges_made, coalesce(recent, '') AS recent
+  FROM a LEFT JOIN r USING (contributor) LEFT JOIN g ON g.reviewer = a.contributor LEFT JOIN m ON m.challenger = a.contributor LEFT JOIN w ON w.contributor = a.contributor),
 l AS (SELECT *, CASE WHEN accepted + rejected < 5 THEN 'new' WHEN accepted / (accepted + rejected) < 0.5 THEN 'unreliable'
-  WHEN accepted / (accepted + rejected) < 0.8 THEN 'mixed' WHEN accepted + rejected >= 10 THEN 'reliable' ELSE 'new' END AS level FROM r)
+  WHEN accepted / (accepted + rejected) < 0.8 THEN 'mixed' WHEN accepted + rejected >= 10 THEN 'reliable' ELSE 'new' END AS level FROM o)
 SELECT *, CAST(CASE level WHEN 'reliable' THEN 40 WHEN 'unreliable' THEN 5 ELSE 20 END AS INTEGER) AS quota FROM l""")
 def track_records(t):
-    return R.track_records(claims(t), reviews(t), challenges(t))
+    return R.track_records(claims(t), reviews(t), challenges(t)).withColumn("recent", F.array_join(F.col("recent").cast("array<string>"), ","))
 
 
 @query("reviewer_agreement", f"""WITH {REVIEWS},
