@@ -114,6 +114,8 @@ def knn(base: DataFrame, k: int, queries: DataFrame | None = None, block_rows: i
                 blocks = np.asarray(order)[bi]
                 other = blocks != b["block"].to_numpy()[qi]
                 qi, blocks = qi[other], blocks[other]
+                if not len(qi):
+                    continue
                 yield pd.DataFrame({"id": b["id"].to_numpy()[qi], "v": [x[i] for i in qi], "block": blocks})
 
     routed = cut(asked.join(reach, "id", "left").select("id", "v", "block", F.coalesce("kth", F.lit(-1.0)).alias("kth"))
