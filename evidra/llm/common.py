@@ -47,6 +47,24 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+BATCH_BYTES = "4m"
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """Have Spark hand texts to Python workers in batches of a few megabytes: a batch of 10,000 long texts would be held three times over, by
+    the executor and by the worker. A value that the session has set itself stays."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, BATCH_BYTES)
+    return df
+
+
+def slices(batch, rows: int = 256):
+    """An Arrow batch in short pieces, so that a worker holds few texts as Python strings at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def slot_text(key: Column, slots: int) -> Column:
     """A part number for each key from its text, the same for equal keys; null has one too."""
     return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(slots))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evidra.session import cut
 
+from .common import short_batches, slices
 from .shingles import minhash_bands, odd_numbers, set_hashes, shingle_sets
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -31,7 +32,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, key: str = "d
     factors = odd_numbers(5, bands * rows)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             pairs = [set_hashes(s) for s in sets]
             found = [minhash_bands(s, factors, bands) if len(s) else [] for s in sets]
@@ -40,7 +41,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, key: str = "d
                  pa.array([p[1] for p in pairs], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["k", "n", "h1", "h2", "bands"])
 
     rows_in = docs.select(F.col(key).cast("long").alias("k"), F.lower(F.col(text)).alias("text"))
-    return rows_in.mapInArrow(run, "k long, n long, h1 long, h2 long, bands array<long>")
+    return short_batches(rows_in).mapInArrow(run, "k long, n long, h1 long, h2 long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .common import short_batches, slices
 from .tokens import word_encoder
 
 CAPACITY, END_ID = 4096, 2
@@ -101,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         end = int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 36
         group, size = [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encoder.ids(body) + end
                 group.append((k, ids))
@@ -113,4 +114,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         if group:
             yield packed(group, sequence)[0]
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, fields)
+    return short_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, fields)

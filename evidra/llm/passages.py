@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import short_batches, slices
+
 LEAST_WORDS, RUN_WORDS = 4, 30
 # a unit ends at a line break, or behind a full stop, question or exclamation mark that white space follows
 UNIT = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
@@ -35,7 +37,7 @@ def text_units(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_
     names = ["k", "unit", "start", "length", "words", "h1", "h2"]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keys, rows = [], []
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 mine = [(i, *u) for i, u in enumerate(u for u in units_of(body) if u[2] >= least_words)]
@@ -46,7 +48,7 @@ def text_units(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_
                 [pa.array(keys, pa.int64()), *(pa.array([r[i] for r in rows], pa.int32()) for i in range(4)),
                  pa.array(np.ascontiguousarray(digest["a"])), pa.array(np.ascontiguousarray(digest["b"]))], names)
 
-    return (docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
+    return (short_batches(docs).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
             .mapInArrow(run, "k long, unit int, start int, length int, words int, h1 long, h2 int"))
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import short_batches, slices
+
 MOST_POSITIVES, MOST_UNLABELLED = 20_000, 40_000  # bounds of the sample that the model is fitted on
 THRESHOLD, FOLDS = 0.3, 5
 
@@ -115,11 +116,11 @@ def train(docs: DataFrame, labels: DataFrame, most_positives: int = MOST_POSITIV
 
     def run(batches):
         for batch in batches:
-            x = feature_rows(batch.column(0).to_pylist())
+            x = np.vstack([feature_rows(part.column(0).to_pylist()) for part in slices(batch)] or [np.zeros((0, N_FEATURES))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "positive", "drawn"])
 
-    got = sample.mapInArrow(run, "x array<double>, positive boolean, drawn boolean").toArrow()
+    got = short_batches(sample).mapInArrow(run, "x array<double>, positive boolean, drawn boolean").toArrow()
     if not got.num_rows:
         return None
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(got.num_rows, N_FEATURES)
@@ -134,11 +135,13 @@ def train(docs: DataFrame, labels: DataFrame, most_positives: int = MOST_POSITIV
 def score_documents(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, score): every row of ``docs`` as a struct, with the chance of label 1 from its whole text. Null and empty texts get the
     score of a text without words; without a model every score is 0.5."""
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(feature_rows(texts.tolist())) if model else np.full(len(texts), 0.5))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(i, 256).to_pylist() for i in range(0, len(texts), 256))
+        scores = [model.score(feature_rows(part)) if model else np.full(len(part), 0.5) for part in parts]
+        return pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
-    return docs.select(F.struct("*").alias("row"), score(F.col(text)).alias("score"))
+    return short_batches(docs).select(F.struct("*").alias("row"), score(F.col(text)).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:

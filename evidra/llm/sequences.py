@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .common import short_batches, slices
 from .tokens import byte_encoder
 
 LENGTH, END_ID, PAD_ID = 2048, 50256, 50256
@@ -120,7 +121,7 @@ def pack_matrix(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH,
         encoder = byte_encoder(ranks, pattern)
         end = int(end_id).to_bytes(4, "little")
         first, group, size = TaskContext.get().partitionId() << 36, [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 group.append((k, encoder.ids(body) + end))
                 size += len(group[-1][1]) // 4
@@ -130,7 +131,7 @@ def pack_matrix(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH,
         if group:
             yield from packed(group, first)
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return short_batches(docs).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def write_packed(sequences: DataFrame, path: str) -> None:

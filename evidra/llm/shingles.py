@@ -10,7 +10,7 @@ WORD_BYTE[[c for c in range(128) if chr(c).isalnum() or c == 95]] = True
 WORD_BYTE[128:] = True
 BASE = U(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
-STEP = 1 << 21  # bytes of text hashed together
+STEP = 1 << 18  # bytes of text hashed together
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -5,12 +5,10 @@ from __future__ import annotations
 import base64
 import os
 import re
-import sys
-import types
 import unicodedata
 from array import array
 
-MOST_CHUNKS, LONGEST_CHUNK = 250_000, 64  # of each of two generations
+MOST_CHUNKS, LONGEST_CHUNK = 200_000, 64  # of each of two generations
 GAP = re.compile(r"(?= \S)")  # before a space that a word follows
 
 
@@ -57,14 +55,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-def _for_this_worker(name: str, create):
-    """What ``create`` returns, made once in a Python worker and kept for its later tasks."""
-    kept = sys.modules.setdefault("_evidra_worker_memory", types.ModuleType("_evidra_worker_memory")).__dict__
-    if name not in kept:
-        kept[name] = create()
-    return kept[name]
-
-
 def word_encoder(path: str) -> ChunkEncoder:
     """For a tokenizer file that drops white space and case: no token crosses an ASCII blank, nothing before or after one changes it, and
     A-Z may be lower-cased before.
@@ -72,40 +62,34 @@ def word_encoder(path: str) -> ChunkEncoder:
     Runs of lower-case letters are one word to the tokenizer and go to its model directly, with a stop sign behind them as a word of its
     own; everything else takes the whole way.
     """
-    def create():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(path)
-        model, letters = tokenizer.model, _byte_letters()
-
-        def make(chunk: bytes, memory: Memory) -> bytes:
-            if chunk.isalpha():
-                return _packed([t.id for t in model.tokenize(chunk.decode())])
-            if len(chunk) > 1 and chunk[-1] in b".,;:!?":
-                body = chunk[:-1].decode()
-                if body.isalpha():
-                    return memory[chunk[:-1]] + memory[chunk[-1:]]
-            word = chunk.decode()
-            if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
-                return _packed([t.id for t in model.tokenize("".join([letters[b] for b in chunk]))])
-            return _packed(tokenizer.encode(word, add_special_tokens=False).ids)
-
-        return ChunkEncoder(lambda text: text.encode().lower().split(), make)
-
-    return _for_this_worker(f"words {path}", create)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    model, letters = tokenizer.model, _byte_letters()
+
+    def make(chunk: bytes, memory: Memory) -> bytes:
+        if chunk.isalpha():
+            return _packed([t.id for t in model.tokenize(chunk.decode())])
+        if len(chunk) > 1 and chunk[-1] in b".,;:!?":
+            body = chunk[:-1].decode()
+            if body.isalpha():
+                return memory[chunk[:-1]] + memory[chunk[-1:]]
+        word = chunk.decode()
+        if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
+            return _packed([t.id for t in model.tokenize("".join([letters[b] for b in chunk]))])
+        return _packed(tokenizer.encode(word, add_special_tokens=False).ids)
+
+    return ChunkEncoder(lambda text: text.encode().lower().split(), make)
 
 
 def byte_encoder(path: str, pattern: str) -> ChunkEncoder:
     """For a rank file of byte-level pairs: a space before a word starts a token, so texts are cut there. Special tokens in a text
     are ordinary text."""
-    def create():
-        import tiktoken
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return ChunkEncoder(GAP.split, lambda chunk, _: _packed(encoding.encode_ordinary(chunk)))
-
-    return _for_this_worker(f"bytes {path} {pattern}", create)
+    import tiktoken
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return ChunkEncoder(GAP.split, lambda chunk, _: _packed(encoding.encode_ordinary(chunk)))
 
 
 def byte_decoder(path: str):
