@@ -111,23 +111,30 @@ def excerpt_windows(t):
                        F.length(X.context_window(F.col("text"), F.col("start"), F.col("end"), 3000, 300)).alias("context_chars"))
 
 
-# Evidence that cites documents, with the kinds of mistakes a contributor makes.
-AUDITED = """SELECT l.doc_id, CASE WHEN quality = 0 AND toxic = 1 THEN concat('missing-', l.doc_id) ELSE CAST(l.doc_id AS STRING) END AS source_id,
-  CASE WHEN toxic = 1 THEN 'not in the text' ELSE replace(substring(d.text, 11, 60), ' ', '  ') END AS quote,
-  CASE WHEN quality = 0 AND toxic = 0 THEN -1 ELSE 10 END AS start, 70 AS `end`"""
-
-
-@query("audit_quotes", """WITH ev AS (""" + AUDITED.replace("STRING", "VARCHAR").replace("`end`", '"end"') + """ FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+# Evidence that cites every document somewhere in its text, with the kinds of mistakes a contributor makes: unknown sources, quotes that are
+# made up, negative offsets, offsets past the end of short texts, and quotes that are too long.
+CITED_AT = """CASE WHEN lang = 'fr' AND length(text) > 4000 THEN (d.doc_id * 7919) % (length(text) - 2600)
+  WHEN length(text) > 80 THEN (d.doc_id * 7919) % (length(text) - 70) ELSE 0 END"""
+CITED_CHARS = "CASE WHEN lang = 'fr' AND length(text) > 4000 THEN 2500 ELSE 60 END"
+AUDITED = """doc_id, CASE WHEN lang = 'es' AND length(text) < 400 THEN concat('missing-', doc_id) ELSE CAST(doc_id AS STRING) END AS source_id,
+  CASE WHEN toxic = 1 THEN 'not in the text' ELSE replace(substring(text, CAST(s + 1 AS INT), n), ' ', '  ') END AS quote,
+  CASE WHEN quality = 0 THEN -1 ELSE s END AS start, s + n AS `end`"""
+
+
+@query("audit_quotes", f"""WITH c AS (SELECT d.doc_id, text, lang, quality, toxic, {CITED_AT} AS s, {CITED_CHARS} AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+ev AS (SELECT {AUDITED.replace("STRING", "VARCHAR").replace("`end`", '"end"')} FROM c),
 src AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, text, sha256(text) AS h, sha256(CASE WHEN lang = 'de' THEN concat(text, '.') ELSE text END) AS recorded FROM documents)
 SELECT doc_id, coalesce(CASE WHEN recorded IS NULL THEN 'source is not archived' WHEN h <> recorded THEN 'source does not match its hashes'
-  WHEN NOT (start >= 0 AND start < "end" AND "end" <= length(text)) THEN 'offsets out of range'
-  WHEN trim(regexp_replace(substring(text, start + 1, "end" - start), '\\s+', ' ', 'g')) <> trim(regexp_replace(quote, '\\s+', ' ', 'g')) THEN 'quote not at its offsets' END, 'ok') AS reason
+  WHEN NOT (start >= 0 AND start < "end" AND "end" <= length(text)) THEN 'offsets out of range' WHEN length(quote) > 2000 THEN 'quote too long'
+  WHEN trim(regexp_replace(substring(text, CAST(start + 1 AS INTEGER), CAST("end" - start AS INTEGER)), '\\s+', ' ', 'g')) <> trim(regexp_replace(quote, '\\s+', ' ', 'g')) THEN 'quote not at its offsets' END, 'ok') AS reason
 FROM ev LEFT JOIN src USING (source_id)""")
 def audit_quotes(t):
-    ev = (t.labels.alias("l").join(t.documents.select("doc_id", "text").alias("d"), F.col("l.doc_id") == F.col("d.doc_id"))
-          .selectExpr(*[x.strip() for x in ["l.doc_id AS doc_id", "CASE WHEN quality = 0 AND toxic = 1 THEN concat('missing-', l.doc_id) ELSE CAST(l.doc_id AS STRING) END AS source_id",
-                      "CASE WHEN toxic = 1 THEN 'not in the text' ELSE replace(substring(d.text, 11, 60), ' ', '  ') END AS quote",
-                      "CASE WHEN quality = 0 AND toxic = 0 THEN -1 ELSE 10 END AS start", "70 AS end"]]))
+    cited = (t.documents.alias("d").join(t.labels.alias("l"), F.col("l.doc_id") == F.col("d.doc_id"), "left")
+             .selectExpr("d.doc_id AS doc_id", "text", "lang", "quality", "toxic", f"CAST({CITED_AT} AS INT) AS s", f"{CITED_CHARS} AS n"))
+    ev = cited.select("doc_id", *[F.expr(x) for x in (
+        "CASE WHEN lang = 'es' AND length(text) < 400 THEN concat('missing-', doc_id) ELSE CAST(doc_id AS STRING) END AS source_id",
+        "CASE WHEN toxic = 1 THEN 'not in the text' ELSE replace(substring(text, s + 1, n), ' ', '  ') END AS quote",
+        "CASE WHEN quality = 0 THEN -1 ELSE s END AS start", "s + n AS end")])
     src = t.documents.select(F.col("doc_id").cast("string").alias("source_id"), "text", F.col("text").alias("raw"),
                              F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("text_hash"), F.sha2("text", 256).alias("raw_hash"))
     return X.audit_quotes(ev, src).select("doc_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
