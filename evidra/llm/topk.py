@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK_ROWS, CHUNK_QUERIES = 8192, 256
+BLOCK_ROWS, CHUNK_QUERIES = 8192, 2048  # a group compares one block with one chunk
+STEP_QUERIES = 256  # queries whose bitmaps are added together, so that they stay in the cache
 ROW_BITS, QUERY_BITS = 6, 5  # bits of each component that the slices hold, of rows and of queries
 U = np.uint64
 ALL = U(0xFFFFFFFFFFFFFFFF)
@@ -156,12 +157,15 @@ def search_block(dims: int, k: int):
         matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, dims)
         values, asked = matrix(rows), matrix(queries)
         ids, query_ids = rows.column("id").to_numpy(), queries.column("id").to_numpy()
-        q, row, score = top_of_block(SlicedBlock(values), values, ids, asked, query_ids, k)
-        order = np.lexsort((ids[row], -score, q))
-        q, row, score = q[order], row[order], score[order]
-        first = np.searchsorted(q, q)
-        best = np.arange(len(q)) - first < k
-        return pa.table({"query_id": query_ids[q[best]], "vec_id": ids[row[best]], "score": score[best]})
+        block, out = SlicedBlock(values), []
+        for i in range(0, len(asked), STEP_QUERIES):
+            some = query_ids[i:i + STEP_QUERIES]
+            q, row, score = top_of_block(block, values, ids, asked[i:i + STEP_QUERIES], some, k)
+            order = np.lexsort((ids[row], -score, q))
+            q, row, score = q[order], row[order], score[order]
+            best = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append(pa.table({"query_id": some[q[best]], "vec_id": ids[row[best]], "score": score[best]}))
+        return pa.concat_tables(out)
     return run
 
 
