@@ -32,28 +32,29 @@ def units_of(text: str | None) -> list[tuple[int, int, int, bytes]]:
 
 
 def text_units(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, unit, start, length, words, h1, h2): the units of at least ``least_words`` words, numbered within their document, with 96
-    bits of digest."""
-    names = ["k", "unit", "start", "length", "words", "h1", "h2"]
+    """(k, t, unit, start, length, words, h1, h2): the units of at least ``least_words`` words, numbered within their text, with 96
+    bits of digest; ``t`` is a hash of the text, which tells texts under one key apart."""
+    names = ["k", "t", "unit", "start", "length", "words", "h1", "h2"]
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole)):
-            keys, rows = [], []
-            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys, texts, rows = [], [], []
+            for k, t, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 mine = [(i, *u) for i, u in enumerate(u for u in units_of(body) if u[2] >= least_words)]
                 keys.extend([k] * len(mine))
+                texts.extend([t] * len(mine))
                 rows.extend(mine)
             digest = np.frombuffer(b"".join(r[4] for r in rows), np.dtype([("a", "<i8"), ("b", "<i4")]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), *(pa.array([r[i] for r in rows], pa.int32()) for i in range(4)),
+                [pa.array(keys, pa.int64()), pa.array(texts, pa.int64()), *(pa.array([r[i] for r in rows], pa.int32()) for i in range(4)),
                  pa.array(np.ascontiguousarray(digest["a"])), pa.array(np.ascontiguousarray(digest["b"]))], names)
 
-    return (short_batches(docs).select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-            .mapInArrow(run, "k long, unit int, start int, length int, words int, h1 long, h2 int"))
+    return (short_batches(docs).select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+            .mapInArrow(run, "k long, t long, unit int, start int, length int, words int, h1 long, h2 int"))
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, least_words: int = LEAST_WORDS, key: str = "doc_id",
-                      text: str = "text") -> DataFrame:
+                      text: str = "text", by_text: bool = False) -> DataFrame:
     """The spans to remove: doc_id, start, length (code points of the original text), words, kept_doc_id, kept_start.
 
     Units are the sentences of each line. Their digests are grouped over all documents, and the occurrence that ranks first,
@@ -62,31 +63,35 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, least_words:
     headings, stay. Units of fewer than ``least_words`` words are not compared and do not interrupt a span. ``kept_doc_id`` and
     ``kept_start`` tell where the first unit of the span is kept.
 
-    A null or empty text has no units. Rows that share a key, and rows without a key (which rank first), count as one document
-    with the same offsets. No rows: no rows. Texts are not shuffled, only digests with their offsets; a frequent unit is
+    A null or empty text has no units. Rows without a key rank first. Rows that share a key (or have none) and the text count as
+    one document; different texts under one key are documents of their own, ordered by a hash of the text, whose spans
+    ``by_text`` tells apart in a last column ``text_hash``. No rows: no rows. Texts are not shuffled, only digests with their offsets; a frequent unit is
     reduced to one row per task before the grouping, and on the way back adaptive execution splits it.
     """
     units = text_units(docs, least_words, key, text)
-    kept = (units.groupBy("h1", "h2").agg(F.min(F.struct("k", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+    kept = (units.groupBy("h1", "h2").agg(F.min(F.struct("k", "t", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
             .filter("n > 1").select("h1", "h2", "first"))
     repeats = (units.join(kept, ["h1", "h2"])
-               .filter(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("start") == F.col("first.start"))))
-               .select("k", "unit", "start", "length", "words", "first"))
-    order = Window.partitionBy("k").orderBy("unit", "start")
-    spans = repeats.withColumn("island", F.col("unit") - F.row_number().over(order)).groupBy("k", "island").agg(
+               .filter(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("t") == F.col("first.t")) & (F.col("start") == F.col("first.start"))))
+               .select("k", "t", "unit", "start", "length", "words", "first"))
+    order = Window.partitionBy("k", "t").orderBy("unit")
+    once = repeats.withColumn("before", F.lag("unit").over(order)).filter("before IS NULL OR before <> unit")  # equal rows: one document
+    spans = once.withColumn("island", F.col("unit") - F.row_number().over(order)).groupBy("k", "t", "island").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("stop"), F.sum("words").alias("words"),
         F.min(F.struct("start", "first")).alias("head"))
     return spans.filter(F.col("words") >= run_words).select(
         F.col("k").alias("doc_id"), F.col("start").cast("long").alias("start"), (F.col("stop") - F.col("start")).cast("long").alias("length"),
         F.col("words").cast("long").alias("words"), F.col("head.first.k").alias("kept_doc_id"),
-        F.col("head.first.start").cast("long").alias("kept_start"))
+        F.col("head.first.start").cast("long").alias("kept_start"), *([F.col("t").alias("text_hash")] if by_text else []))
 
 
 def without_passages(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, kept): each document as a struct, and its text without the spans found for it."""
-    lists = spans.groupBy(F.col("doc_id").alias("k")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    """(row, kept): each document as a struct, and its text without the spans found for it. Where different texts share a key, the
+    spans must be those ``by_text``, so that each text loses its own."""
+    by_text = "text_hash" in spans.columns
+    lists = spans.groupBy(F.col("doc_id").alias("k"), (F.col("text_hash") if by_text else F.lit(0)).alias("t")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("body"))
-    rows = rows.join(lists, rows["key"].cast("long").eqNullSafe(lists["k"]), "left")
+    rows = rows.join(lists, rows["key"].cast("long").eqNullSafe(lists["k"]) & ((F.xxhash64(rows["body"]) if by_text else F.lit(0)) == lists["t"]), "left")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["start"] + s["length"]))
     starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.char_length("body").cast("long")))
     pieces = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda z: F.substr(

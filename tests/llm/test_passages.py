@@ -79,3 +79,22 @@ def test_awkward_rows(spark):
     spans = passages.repeated_passages(every)
     assert passages.without_passages(every, spans).count() == len(frames.EDGE)
     assert passages.repeated_passages(frames.docs(spark, [])).collect() == []
+
+
+def brute_by_text(rows):
+    """``brute`` with every different text of a key as a document of its own, in the order of the keys."""
+    texts = list(dict.fromkeys(rows))
+    numbers = {i: k for i, (k, _) in enumerate(texts)}
+    return sorted(((numbers[d], start, n, words, numbers[kd], ks) for d, start, n, words, kd, ks in brute([(i, t) for i, (_, t) in enumerate(texts)])), key=repr)
+
+
+def test_rows_that_share_a_key(spark):
+    six = " ".join(f"Row{i} has ten words in a row and no more." for i in range(6))
+    rows = [(r[0], r[1]) for r in frames.EDGE] + [(50, six), (51, six), (51, six), (52, six + " Other words here too."), (52, "Its own beginning is here. " + six)]
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    got = sorted((tuple(r) for r in passages.repeated_passages(frames.docs(spark, rows)).collect()), key=repr)
+    assert got == brute_by_text(rows) and len(got) == 3
+    nameless = [(None, six), (None, "Its own beginning is here. " + six), (7, "A row of four words. " + six)]
+    df = frames.docs(spark, nameless)
+    kept = [r.kept for r in passages.without_passages(df, passages.repeated_passages(df, by_text=True)).collect()]
+    assert sum(six in t for t in kept) == 1 and sorted(len(t) for t in kept)[:2] == [21, 27]
