@@ -4,30 +4,51 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from evidra.session import cut
+
 from .common import short_batches, slices
 
 LEAST_WORDS, RUN_WORDS = 4, 30
+LONG_WORDS, CUT_WORDS = 20, 4  # longer sentences are cut before words whose hash is the least of this many on either side
+FIRST_LOOK = 24  # words on either side of a run that the first round compares; each later round compares four times as many
 # a unit ends at a line break, or behind a full stop, question or exclamation mark that white space follows
 UNIT = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
 WORD = re.compile(r"\w+")
 
 
+def pieces_of(unit: str) -> list[tuple[int, int]]:
+    """(start, stop) of the parts of a sentence. A long one is cut where the words themselves say so, so that equal runs of words are
+    cut alike wherever they begin; no part has fewer than ``CUT_WORDS`` words."""
+    if unit.count(" ") < LONG_WORDS and len(unit) <= 2 * LONG_WORDS:
+        return [(0, len(unit))]
+    found = list(WORD.finditer(unit))
+    if len(found) <= LONG_WORDS:
+        return [(0, len(unit))]
+    h, c = [zlib.crc32(m.group().lower().encode()) for m in found], CUT_WORDS
+    at = [0, *(found[i].start() for i in range(c, len(h) - c) if h[i] < min(h[i - c:i]) and h[i] < min(h[i + 1:i + c + 1])), len(unit)]
+    return list(zip(at, at[1:]))
+
+
 def units_of(text: str | None) -> list[tuple[int, int, int, bytes]]:
-    """(start, length, words, digest) of each sentence of each line, offsets in code points. The digest is of the lower-cased
-    words alone, so white space and punctuation make no difference; units without words are left out."""
+    """(start, length, words, digest) of each sentence of each line, long sentences in parts, offsets in code points. The digest is of
+    the lower-cased words alone, so white space and punctuation make no difference; units without words are left out."""
     out = []
     for found in UNIT.finditer(text or ""):
-        unit = found.group()
-        words = WORD.findall(unit.lower())
-        if words:
-            blank = len(unit) - len(unit.lstrip())
-            out.append((found.start() + blank, len(unit) - blank, len(words),
-                        hashlib.blake2b(" ".join(words).encode(), digest_size=12).digest()))
+        whole = found.group()
+        for a, b in pieces_of(whole):
+            unit = whole[a:b] if b == len(whole) else whole[a:b].rstrip()
+            words = WORD.findall(unit.lower())
+            if words:
+                blank = len(unit) - len(unit.lstrip())
+                out.append((found.start() + a + blank, len(unit) - blank, len(words),
+                            hashlib.blake2b(" ".join(words).encode(), digest_size=12).digest()))
     return out
 
 
@@ -53,20 +74,116 @@ def text_units(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_
             .mapInArrow(run, "k long, t long, unit int, start int, length int, words int, h1 long, h2 int"))
 
 
+def windows(docs: DataFrame, asks: DataFrame) -> DataFrame:
+    """(k, t, at, n, w, base, part): the text around each place asked for: n words from ``at`` on, or -n words before it. ``w`` is the
+    number of the word at the place, ``base`` where the part begins. docs: k, t, text. asks: k, t, at, n."""
+    lists = asks.groupBy("k", "t").agg(F.collect_set(F.struct("at", "n")).alias("asks")).withColumnsRenamed({"k": "ak", "t": "at_text"})
+    rows = docs.join(lists, docs["k"].eqNullSafe(lists["ak"]) & (docs["t"] == lists["at_text"]))
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, 64)):
+            out = [[] for _ in range(7)]
+            for k, t, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                spans = [m.span() for m in WORD.finditer(text)]
+                starts = [a for a, _ in spans]
+                for place in places:
+                    at, n = place["at"], place["n"]
+                    w = bisect_left(starts, at)
+                    mine = spans[w:w + n] if n > 0 else spans[max(0, w + n):w]
+                    a, b = (mine[0][0], mine[-1][1]) if mine else (at, at)
+                    for column, value in zip(out, (k, t, at, n, w, a, text[a:b])):
+                        column.append(value)
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["k", "t", "at", "n", "w", "base", "part"])
+
+    found = short_batches(rows).select("k", "t", "text", "asks").mapInArrow(run, "k long, t long, at int, n int, w int, base int, part string")
+    return found.dropDuplicates(["k", "t", "at", "n"])
+
+
+def compared(edges: DataFrame) -> DataFrame:
+    """For each edge: ``same`` words that agree with the kept text, ``far`` (how far the run now reaches) and ``kept_far``, ``w``, and
+    ``more`` where both texts agree to the end of what was looked at and the look was full."""
+    names = ["w", "far", "kept_far", "same", "added", "more"]
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, 1024)):
+            out = [[] for _ in names]
+            for n, w, base, part, kept_base, kept_part, stop in zip(*(batch.column(name).to_pylist() for name in ("n", "w", "base", "part", "kept_base", "kept_part", "stop"))):
+                mine, theirs = list(WORD.finditer(part)), list(WORD.finditer(kept_part))
+                if n < 0:
+                    mine.reverse()
+                    theirs.reverse()
+                same = 0
+                for x, y in zip(mine, theirs):
+                    if x.group().lower() != y.group().lower():
+                        break
+                    same += 1
+                last, kept = (mine[same - 1], theirs[same - 1]) if same else (None, None)
+                if n < 0:
+                    values = (w - same, base + last.start() if same else None, kept_base + kept.start() if same else None, same, same)
+                else:
+                    added = sum(base + m.start() >= stop for m in mine[:same])
+                    values = (w + same, base + last.end() if added else None, None, same, added)
+                for column, value in zip(out, (*values, same == abs(n))):
+                    column.append(value)
+            fields = [f for f in batch.schema.names if f in KEEP]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), *(pa.array(c, pa.int32()) for c in out[:5]), pa.array(out[5], pa.bool_())], fields + names)
+
+    KEEP = ("k", "t", "start", "stop", "words", "first", "at", "n", "kk", "kt", "kat")
+    schema = ", ".join(f"{f} {edges.schema[f].dataType.simpleString()}" for f in KEEP)
+    return edges.select(*KEEP, "w", "base", "part", "kept_base", "kept_part").withColumnRenamed("w", "w_at").select(
+        *KEEP, F.col("w_at").alias("w"), "base", "part", "kept_base", "kept_part").mapInArrow(
+        run, schema + ", w int, far int, kept_far int, same int, added int, more boolean")
+
+
+def extended(docs: DataFrame, islands: DataFrame) -> DataFrame:
+    """islands (k, t, start, stop, words, head, tail), each grown word by word on both sides as far as its words are those around the
+    kept occurrence of its first and of its last unit. Rounds look ever further, until every edge has met a difference or an end."""
+    base = ["k", "t", "start", "stop", "words", F.col("head.first").alias("first")]
+    edges = cut(islands.select(*base, F.col("start").alias("at"), F.lit(-FIRST_LOOK).alias("n"), F.col("head.first.k").alias("kk"),
+                               F.col("head.first.t").alias("kt"), F.col("head.first.start").alias("kat"))
+                .unionByName(islands.select(*base, F.col("tail.start").alias("at"), (F.col("tail.words") + FIRST_LOOK).alias("n"),
+                                            F.col("tail.first.k").alias("kk"), F.col("tail.first.t").alias("kt"), F.col("tail.first.start").alias("kat"))))
+    done = None
+    while True:
+        asks = edges.select("k", "t", "at", "n").unionByName(edges.select(F.col("kk").alias("k"), F.col("kt").alias("t"), F.col("kat").alias("at"), "n")).distinct()
+        seen = cut(windows(docs, asks))
+        kept = seen.select(F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("at").alias("at2"), F.col("n").alias("n2"),
+                           F.col("base").alias("kept_base"), F.col("part").alias("kept_part"))
+        own = seen.withColumnsRenamed({"k": "k1", "t": "t1", "at": "at1", "n": "n1"})
+        pairs = (edges.join(own, F.col("k").eqNullSafe(F.col("k1")) & (F.col("t") == F.col("t1")) & (F.col("at") == F.col("at1")) & (F.col("n") == F.col("n1")))
+                 .join(kept, F.col("kk").eqNullSafe(F.col("k2")) & (F.col("kt") == F.col("t2")) & (F.col("kat") == F.col("at2")) & (F.col("n") == F.col("n2"))))
+        out = cut(compared(pairs))
+        done = out.filter("NOT more") if done is None else done.unionByName(out.filter("NOT more"))
+        edges = out.filter("more").select("k", "t", "start", "stop", "words", "first", "at", (F.col("n") * 4).alias("n"), "kk", "kt", "kat")
+        if edges.isEmpty():
+            break
+    grown = done.groupBy("k", "t", "start").agg(
+        F.max("stop").alias("stop"), F.max("words").alias("words"), F.max("first").alias("first"), F.sum("added").cast("long").alias("added"),
+        F.min(F.when(F.col("n") < 0, F.col("far"))).alias("back"), F.min(F.when(F.col("n") < 0, F.col("kept_far"))).alias("kept_back"),
+        F.max(F.when(F.col("n") > 0, F.col("far"))).alias("ahead"), F.min(F.when(F.col("n") < 0, F.col("w"))).alias("w0"),
+        F.max(F.when(F.col("n") > 0, F.col("w"))).alias("w1"))
+    return grown.select("k", "t", F.coalesce("back", "start").alias("start"), F.greatest("stop", "ahead").alias("stop"),
+                        (F.col("words") + F.col("added")).alias("words"), "w0", "w1", F.col("first.k").alias("kk"),
+                        F.coalesce("kept_back", "first.start").alias("ks"))
+
+
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, least_words: int = LEAST_WORDS, key: str = "doc_id",
                       text: str = "text", by_text: bool = False) -> DataFrame:
     """The spans to remove: doc_id, start, length (code points of the original text), words, kept_doc_id, kept_start.
 
-    Units are the sentences of each line. Their digests are grouped over all documents, and the occurrence that ranks first,
-    by document key and then by offset, is kept. The others are repeats; where consecutive units of a document are
-    repeats and have ``run_words`` words or more together, they are one span. Shorter repeats, such as common phrases and
-    headings, stay. Units of fewer than ``least_words`` words are not compared and do not interrupt a span. ``kept_doc_id`` and
-    ``kept_start`` tell where the first unit of the span is kept.
+    Units are the sentences of each line, long ones in parts. Their digests are grouped over all documents, and the occurrence that
+    ranks first, by document key and then by offset, is kept. The others are repeats; consecutive repeats of a document are one
+    run. Each run is extended word by word on both sides while its words are those of the kept text, runs that then meet are one, and
+    those of ``run_words`` words or more are spans. Shorter repeats, such as common phrases and headings, stay. Units of fewer than
+    ``least_words`` words are not compared by digest and do not interrupt a run. ``kept_doc_id`` and ``kept_start`` tell where the
+    beginning of the span is kept.
 
     A null or empty text has no units. Rows without a key rank first. Rows that share a key (or have none) and the text count as
     one document; different texts under one key are documents of their own, ordered by a hash of the text, whose spans
-    ``by_text`` tells apart in a last column ``text_hash``. No rows: no rows. Texts are not shuffled, only digests with their offsets; a frequent unit is
-    reduced to one row per task before the grouping, and on the way back adaptive execution splits it.
+    ``by_text`` tells apart in a last column ``text_hash``. No rows: no rows. The grouping shuffles digests with their offsets; a
+    frequent unit is reduced to one row per task before it, and on the way back adaptive execution splits it. For the extension,
+    each text with a run meets the places asked for in it once a round.
     """
     units = text_units(docs, least_words, key, text)
     kept = (units.groupBy("h1", "h2").agg(F.min(F.struct("k", "t", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -76,13 +193,20 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, least_words:
                .select("k", "t", "unit", "start", "length", "words", "first"))
     order = Window.partitionBy("k", "t").orderBy("unit")
     once = repeats.withColumn("before", F.lag("unit").over(order)).filter("before IS NULL OR before <> unit")  # equal rows: one document
-    spans = once.withColumn("island", F.col("unit") - F.row_number().over(order)).groupBy("k", "t", "island").agg(
+    islands = once.withColumn("island", F.col("unit") - F.row_number().over(order)).groupBy("k", "t", "island").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("stop"), F.sum("words").alias("words"),
-        F.min(F.struct("start", "first")).alias("head"))
+        F.min(F.struct("start", "first")).alias("head"), F.max(F.struct("start", "words", "first")).alias("tail"))
+    grown = extended(docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")), islands)
+    line = Window.partitionBy("k", "t").orderBy("start", "stop")
+    reach = F.coalesce(F.max("w1").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    spans = (grown.withColumn("reach", reach).withColumn("run", F.sum(F.when(F.col("w0") > F.col("reach"), 1).otherwise(0)).over(line))
+             .withColumn("words", F.greatest(F.col("words") - F.greatest(F.col("reach") - F.col("w0"), F.lit(0)), F.lit(0)))
+             .groupBy("k", "t", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"),
+                                           F.min(F.struct("start", "kk", "ks")).alias("head")))
     return spans.filter(F.col("words") >= run_words).select(
         F.col("k").alias("doc_id"), F.col("start").cast("long").alias("start"), (F.col("stop") - F.col("start")).cast("long").alias("length"),
-        F.col("words").cast("long").alias("words"), F.col("head.first.k").alias("kept_doc_id"),
-        F.col("head.first.start").cast("long").alias("kept_start"), *([F.col("t").alias("text_hash")] if by_text else []))
+        F.col("words").cast("long").alias("words"), F.col("head.kk").alias("kept_doc_id"),
+        F.col("head.ks").cast("long").alias("kept_start"), *([F.col("t").alias("text_hash")] if by_text else []))
 
 
 def without_passages(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -98,3 +98,20 @@ def test_rows_that_share_a_key(spark):
     df = frames.docs(spark, nameless)
     kept = [r.kept for r in passages.without_passages(df, passages.repeated_passages(df, by_text=True)).collect()]
     assert sum(six in t for t in kept) == 1 and sorted(len(t) for t in kept)[:2] == [21, 27]
+
+
+def test_passages_inside_sentences(spark):
+    rng = random.Random(31)
+    word = lambda: rng.choice("river stone light walk house green small far old new".split()) + str(rng.randrange(3000))
+    passage = [word() for _ in range(55)]
+    broken = " ".join(w + ("." if i in (9, 24, 40) else "") for i, w in enumerate(passage))  # begins and ends inside sentences
+    own = lambda n: " ".join(word() for _ in range(n))
+    rows = [(1, f"{own(12)} {broken} {own(9)}. {own(30)}."), (2, f"{own(5)} {broken} {own(14)}."), (3, f"{own(40)} {' '.join(passage)} {own(35)}."),
+            (4, f"{own(70)} {' '.join(passage)} {own(20)}."), (5, f"{own(30)}.")]
+    far = "Here it says this. " + "no one. " * 200  # the units are too short to be compared, the words are the same
+    rows += [(8, own(12) + ". " + far + own(12)), (9, own(12) + ". " + far + own(12))]
+    whole = dict(rows)
+    got = {(r.doc_id, whole[r.doc_id][r.start:r.start + r.length]): r for r in passages.repeated_passages(frames.docs(spark, rows)).collect()}
+    assert set(got) == {(2, broken), (3, " ".join(passage)), (4, " ".join(passage)), (9, far[:-2])}
+    assert got[2, broken].words == 55 and got[2, broken].kept_doc_id == 1 and got[2, broken].kept_start == whole[1].index(broken)
+    assert got[9, far[:-2]].words == 404
