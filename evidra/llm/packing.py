@@ -15,7 +15,6 @@ from .tokens import word_encoder
 CAPACITY, END_ID = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # a piece of n tokens costs LINEAR * n + QUADRATIC * n * n
 GROUP_TOKENS = 1 << 22  # documents of a task that are packed together
-LOOKS = 8  # sequences that a document is tried on whole, cheapest first, before it is cut
 
 
 def piece_cost(n: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> float:
@@ -28,42 +27,94 @@ def room_plan(total: int, capacity: int = CAPACITY) -> list[int]:
     return [capacity] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+class Buckets:
+    """Sequences by room: of those with at least n tokens of room, the cheapest (then the lowest number) in a logarithmic number of steps.
+
+    A segment tree over the possible rooms, 0 to ``capacity``; a leaf heaps its sequences as (cost, number), a node holds the least of
+    the leaves below it.
+    """
+
+    def __init__(self, capacity: int):
+        self.width = 1 << capacity.bit_length()
+        self.best: list[tuple | None] = [None] * (2 * self.width)
+        self.heaps: list[list | None] = [None] * self.width
+        self.most = capacity
+
+    def _refresh(self, room: int) -> None:
+        node, heap, best = room + self.width, self.heaps[room], self.best
+        best[node] = heap[0] if heap else None
+        while node > 1:
+            node >>= 1
+            a, b = best[2 * node], best[2 * node + 1]
+            least = a if b is None or a is not None and a < b else b
+            if best[node] == least:
+                return
+            best[node] = least
+
+    def put(self, room: int, cost: float, i: int) -> None:
+        if self.heaps[room] is None:
+            self.heaps[room] = []
+        heapq.heappush(self.heaps[room], (cost, i))
+        self._refresh(room)
+
+    def take(self, room: int) -> tuple:
+        out = heapq.heappop(self.heaps[room])
+        self._refresh(room)
+        return out
+
+    def cheapest(self, n: int) -> tuple | None:
+        """(cost, number) of the cheapest sequence with room for n; it stays in."""
+        if n > self.most:
+            return None
+        least, lo, hi = None, n + self.width, 2 * self.width
+        while lo < hi:
+            if lo & 1:
+                if self.best[lo] is not None and (least is None or self.best[lo] < least):
+                    least = self.best[lo]
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                if self.best[hi] is not None and (least is None or self.best[hi] < least):
+                    least = self.best[hi]
+            lo >>= 1
+            hi >>= 1
+        return least
+
+    def roomiest(self) -> int:
+        """The largest room of any sequence."""
+        node = 1
+        while node < self.width:
+            node = 2 * node + 1 if self.best[2 * node + 1] is not None else 2 * node
+        return node - self.width
+
+
 def balance(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple]:
     """(document, start, length, sequence, offset) for documents of these lengths.
 
-    The longest document left goes to the sequence of lowest cost that has room for it; of the ``LOOKS`` cheapest with none, the
-    roomiest takes as much as it can hold and the rest waits as a shorter document. The sequences together hold exactly all
-    tokens. Costs count per token of a sequence's length, so that short sequences fill alongside.
+    The longest document left goes to the sequence of lowest cost, of all, that has room for it; if none has, the roomiest (of equal
+    ones the cheapest) takes as much as it can hold and the rest waits as a shorter document. The sequences together hold exactly
+    all tokens. Costs count per token of a sequence's length, so that short sequences fill alongside.
     """
     room = room_plan(sum(lengths), capacity)
     size = list(room)
     used = [0] * len(room)
-    cheap = [(0.0, i) for i in range(len(room))]
+    free = Buckets(capacity)
+    for i, n in enumerate(room):
+        free.put(n, 0.0, i)
     waiting = [(-n, d, 0) for d, n in enumerate(lengths) if n > 0]
     heapq.heapify(waiting)
     out = []
     while waiting:
         n, doc, start = heapq.heappop(waiting)
         n = -n
-        passed, pick = [], None
-        for _ in range(min(LOOKS, len(cheap))):
-            cost, i = heapq.heappop(cheap)
-            if room[i] >= n:
-                pick = (cost, i)
-                break
-            passed.append((cost, i))
-        if pick is None:
-            best = max(range(len(passed)), key=lambda j: (room[passed[j][1]], -j))
-            pick = passed.pop(best)
-        cost, i = pick
+        found = free.cheapest(n)
+        cost, i = free.take(room[found[1]] if found else free.roomiest())
         took = min(n, room[i])
         out.append((doc, start, took, i, used[i]))
         used[i] += took
         room[i] -= took
         if room[i]:
-            heapq.heappush(cheap, (cost + piece_cost(took, linear, quadratic) / size[i], i))
-        for entry in passed:
-            heapq.heappush(cheap, entry)
+            free.put(room[i], cost + piece_cost(took, linear, quadratic) / size[i], i)
         if took < n:
             heapq.heappush(waiting, (took - n, doc, start + took))
     return out

@@ -85,3 +85,20 @@ def test_costs_are_balanced():
     usual = [c for s, c in cost.items() if size[s] == 4096]
     assert sum(size.values()) == sum(lengths) and len(placed) < 1.3 * len(lengths)
     assert np.std(usual) < 0.25 * np.mean(usual)
+
+
+def test_cut_only_where_nothing_has_room():
+    rng = random.Random(17)
+    for lengths in ([int(rng.lognormvariate(6, 1)) + 1 for _ in range(6000)], [int(rng.paretovariate(0.9) * 40) for _ in range(3000)], [1] * 50, [5000], []):
+        room = packing.room_plan(sum(lengths), 4096)
+        size, cost = list(room), [0.0] * len(room)
+        for doc, start, n, s, _ in packing.balance(lengths):
+            left = lengths[doc] - start
+            fits = [i for i, r in enumerate(room) if r >= left]
+            if fits:
+                assert n == left and s == min(fits, key=lambda i: (cost[i], i))
+            else:
+                assert n == room[s] == max(room)
+            room[s] -= n
+            cost[s] += packing.piece_cost(n) / size[s]
+        assert not any(room)
