@@ -52,7 +52,7 @@ def suppress_repeats(events: DataFrame, within: int = REPEAT_SECONDS) -> DataFra
 
     Hot actors are spread over days: what a day needs from the days before (last event, last topic, start of the running burst) comes
     from one row per actor and day. Events of one state with gaps under ``within`` form a burst, whose first event is always shown; only
-    inside a burst is the rule applied in order. events: actor, at, seq, doing, topic.
+    inside a burst is the rule applied in order, row by row over sorted partitions, so that no burst is held whole. events: actor, at, seq, doing, topic.
     """
     rows = events.withColumn("_d", F.floor(F.unix_seconds("at") / 86400))
     in_day = Window.partitionBy("actor", "_d").orderBy("at", "seq")
@@ -69,10 +69,21 @@ def suppress_repeats(events: DataFrame, within: int = REPEAT_SECONDS) -> DataFra
     rows = rows.withColumn("_f", F.when(fresh, F.struct("at", "seq")))
     starts = (rows.groupBy("actor", "_d").agg(F.max("_f").alias("_s")).select("actor", "_d", F.last("_s", ignorenulls=True).over(before).alias("_s")))
     rows = rows.join(starts, ["actor", "_d"]).withColumn("_burst", F.coalesce(F.last("_f", ignorenulls=True).over(in_day), "_s"))
-    burst = F.array_sort(F.collect_list(F.struct(F.unix_micros("at").alias("us"), "seq", F.struct(*events.columns).alias("row"))))
-    bursts = rows.groupBy("actor", "_burst").agg(burst.alias("b"))
-    state = "struct<us:bigint,kept:array<int>>"
-    kept = F.aggregate(F.sequence(F.lit(0), F.size("b") - 1), F.lit(None).cast(state), lambda acc, i: F.when(
-        acc.isNull() | (F.get("b", i)["us"] - acc["us"] >= span),
-        F.struct(F.get("b", i)["us"].alias("us"), F.concat(F.coalesce(acc["kept"], F.array().cast("array<int>")), F.array(i)).alias("kept"))).otherwise(acc))
-    return bursts.select(F.explode(F.transform(kept["kept"], lambda i: F.get("b", i)["row"])).alias("row")).select("row.*")
+    ordered = (rows.select(*events.columns, F.unix_micros("at").alias("_us"), F.unix_micros("_burst.at").alias("_b"), F.col("_burst.seq").alias("_q"))
+               .repartition("actor", "_b", "_q").sortWithinPartitions("actor", "_b", "_q", "_us", "seq", *events.columns))
+    width, limit = len(events.columns), within * 1_000_000
+
+    def show(batches):
+        import pyarrow as pa
+        burst, told = None, None
+        for batch in batches:
+            keep = []
+            actors = batch.column(batch.schema.get_field_index("actor")).to_pylist()
+            for us, *key in zip(batch.column(width).to_pylist(), actors, *(batch.column(width + i).to_pylist() for i in (1, 2))):
+                new = key != burst or us - told >= limit
+                if new:
+                    burst, told = key, us
+                keep.append(new)
+            yield batch.select(list(range(width))).filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(show, events.schema)

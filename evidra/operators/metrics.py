@@ -86,20 +86,25 @@ def counted_requests(requests: DataFrame, per_day: int = 10) -> DataFrame:
     day = F.date_format("at", "yyyy-MM-dd").alias("day")
     asked = requests.groupBy("visitor", day, "target").agg(F.min(F.struct("at", "seq")).alias("f")).select("visitor", "day", "target", "f.at", "f.seq")
 
-    def admit(rows):
-        rows = rows.sort_values(["day", "at", "seq"])
-        counted, today, left, keep = set(), None, 0, []
-        for day, target in zip(rows["day"], rows["target"]):
-            if day != today:
-                today, left = day, per_day
-            new = left > 0 and target not in counted
-            if new:
-                counted.add(target)
-                left -= 1
-            keep.append(new)
-        return rows.loc[keep, ["visitor", "target", "day"]]
-
-    return asked.groupBy("visitor").applyInPandas(admit, asked.select("visitor", "target", "day").schema)
+    def admit(batches):
+        import pyarrow as pa
+        who, counted, today, left, first = None, set(), None, 0, True
+        for batch in batches:
+            keep = []
+            for visitor, day, target in zip(*(batch.column(i).to_pylist() for i in (0, 2, 1))):
+                if first or visitor != who:
+                    who, counted, today, first = visitor, set(), None, False
+                if day != today:
+                    today, left = day, per_day
+                new = left > 0 and target not in counted
+                if new:
+                    counted.add(target)
+                    left -= 1
+                keep.append(new)
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    ordered = asked.select("visitor", "target", "day", "at", "seq").repartition("visitor").sortWithinPartitions("visitor", "day", "at", "seq", "target")
+    return ordered.mapInArrow(admit, asked.select("visitor", "target", "day").schema)
 
 
 def distinct_requests(requests: DataFrame, per_day: int = 10) -> DataFrame:

@@ -120,3 +120,23 @@ def test_parts_without_a_query(spark):
     said = spark.createDataFrame([(1, "t", "c1", f"P{i}", "1/3" if i else "", i) for i in range(8)], "subject long, term string, source string, ref string, frequency string, claim_id long")
     r = linking.overlay_claims(base, said, spark.createDataFrame([(1, 100)], "item long, node long")).first()
     assert (r.contributed, r.n_claims, r.frequency, list(r.refs)) == (True, 8, "1/3", [f"P{i}" for i in range(5)])
+
+
+def test_bursts_and_visitors_are_streamed(spark):
+    import contextlib
+    import io
+    from datetime import datetime, timedelta
+
+    from evidra.operators import activity, metrics
+    start = datetime(2024, 1, 1, 23)
+    rows = [(a, start + timedelta(seconds=3 * i), i, "reads", "x" if i == 0 else None) for a in (1, 2) for i in range(3000)]  # one burst each, over midnight
+    events = spark.createDataFrame(rows, "actor long, at timestamp, seq long, doing string, topic string")
+    shown = activity.suppress_repeats(events, 10)
+    assert sorted((r.actor, r.seq) for r in shown.collect()) == [(a, i) for a in (1, 2) for i in range(0, 3000, 4)]
+    requests = spark.createDataFrame([(a, i, at, i) for a, at, i, *_ in rows], "visitor long, target long, at timestamp, seq long")
+    counted = metrics.counted_requests(requests, 5)
+    assert sorted((r.visitor, r.target) for r in counted.collect()) == [(a, i) for a in (1, 2) for i in [*range(5), *range(1200, 1205)]]
+    for frame in (shown, counted):
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            frame.explain()
+        assert "collect_list" not in plan.getvalue() and "FlatMapGroupsInPandas" not in plan.getvalue()
