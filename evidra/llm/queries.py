@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, linededup, mixing, ngram_join, packing, passages, quality, sequences, topk
-from .common import sha256, table
+from . import chat, fingerprints, linededup, manifest, mixing, ngram_join, packing, passages, quality, sequences, topk
+from .common import LOWER, UPPER, sha256, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,63 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class and the number of links of all documents, at a likeness of 0.8 of their five-word n-grams."""
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(r"""
+WITH RECURSIVE bit AS (
+    SELECT doc_id, list_reduce(list_concat([4294967295::BIGINT], flatten([[CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+                                                                         FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+        lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS crc
+    FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+said AS (
+    SELECT d.doc_id, lang AS g, text,
+           coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+           coalesce(xor(crc, 4294967295) % 3 = 0, false) AS bent
+    FROM documents d LEFT JOIN bit ON d.doc_id = bit.doc_id),
+leaf AS (
+    SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+           sha256(head || coalesce(strlen(text) || ':' || CASE WHEN bent
+               THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS told
+    FROM said),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM leaf),
+lv AS (
+    SELECT g, 0 AS d, list(h ORDER BY pos) AS hs FROM placed GROUP BY g
+    UNION ALL
+    SELECT g, d + 1, [sha256(array_to_string(hs[8 * i + 1:8 * i + 8], '')) FOR i IN range(0, (len(hs) + 7) // 8)] FROM lv WHERE len(hs) > 1),
+sub AS (SELECT g, d AS height, hs[1] AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS place FROM lv WHERE len(hs) = 1),
+up AS (
+    SELECT 0 AS d, list(subroot ORDER BY place) AS hs FROM sub HAVING count(*) > 0
+    UNION ALL
+    SELECT d + 1, [sha256(array_to_string(hs[8 * i + 1:8 * i + 8], '')) FOR i IN range(0, (len(hs) + 7) // 8)] FROM up WHERE len(hs) > 1),
+stepped AS (
+    SELECT p.g, p.pos, lv.d, lv.hs AS hs, p.pos // CAST(pow(8, lv.d) AS BIGINT) AS i
+    FROM placed p JOIN lv ON p.g IS NOT DISTINCT FROM lv.g AND len(lv.hs) > 1
+    UNION ALL
+    SELECT p.g, p.pos, sub.height + up.d, up.hs, sub.place // CAST(pow(8, up.d) AS BIGINT)
+    FROM placed p JOIN sub ON p.g IS NOT DISTINCT FROM sub.g JOIN up ON len(up.hs) > 1),
+steps AS (
+    SELECT g, pos, d, array_to_string(hs[i - i % 8 + 1:i], '') AS before, array_to_string(hs[i + 2:i - i % 8 + 8], '') AS after FROM stepped),
+proof AS (SELECT g, pos, sha256(string_agg(before || after, '' ORDER BY d)) AS proof_sha256, count(*) AS n FROM steps GROUP BY g, pos),
+fold AS (
+    SELECT g, pos, 0 AS d, told AS h FROM placed
+    UNION ALL
+    SELECT f.g, f.pos, f.d + 1, sha256(s.before || f.h || s.after)
+    FROM fold f JOIN steps s ON f.g IS NOT DISTINCT FROM s.g AND f.pos = s.pos AND f.d = s.d),
+ended AS (SELECT g, pos, arg_max(h, d) AS folded_root FROM fold GROUP BY g, pos)
+SELECT p.doc_id, p.h AS leaf, sub.subroot, r.root, coalesce(proof.proof_sha256, sha256('')) AS proof_sha256, e.folded_root,
+       e.folded_root = r.root AS verified
+FROM placed p JOIN sub ON p.g IS NOT DISTINCT FROM sub.g CROSS JOIN (SELECT hs[1] AS root FROM up WHERE len(hs) = 1) r
+JOIN ended e ON p.g IS NOT DISTINCT FROM e.g AND p.pos = e.pos
+LEFT JOIN proof ON p.g IS NOT DISTINCT FROM proof.g AND p.pos = proof.pos""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of all documents, and whether a copy, lower-cased in a third of the documents, still leads to the root."""
+    docs = table(spark, sf_dir, "documents").select(*manifest.COLUMNS)
+    bent = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
+    lowered = F.when(bent, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    told = manifest.leaf_digest([lowered if c == "text" else F.col(c) for c in manifest.COLUMNS])
+    rows = manifest.manifest(docs.withColumn("told", F.when(bent, told)))
+    root = manifest.folded(F.coalesce("row.told", "leaf"), F.col("path"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), *[manifest.hex_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+                       F.sha2(manifest.siblings_text(F.col("path")), 256).alias("proof_sha256"), root.alias("folded_root"),
+                       (root == manifest.hex_text(F.col("root"))).alias("verified"))
