@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, linededup, manifest, mixing, ngram_join, packing, passages, quality, sequences, topk
+from . import chat, collocations, fingerprints, linededup, manifest, mixing, ngram_join, packing, passages, quality, sequences, topk
 from .common import LOWER, UPPER, sha256, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +163,39 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query(r"""
+WITH pieces AS (
+    SELECT lang, d, i, ps[i] AS piece
+    FROM (SELECT lang, d, ps, unnest(range(1, len(ps) + 1)) AS i
+          FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+                       regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+                FROM documents WHERE text IS NOT NULL))),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM said GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM said, (SELECT unnest([1, 2, 3, 4, 5]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+held AS (
+    SELECT DISTINCT s.lang, s.phrase
+    FROM f s JOIN (SELECT lang, f, array_to_string(ws[i:i + j - 1], ' ') AS part
+                   FROM (SELECT lang, f, ws, k, j, unnest(range(1, k - j + 2)) AS i FROM f, (SELECT unnest([2, 3, 4]) AS j) WHERE j < k)) b
+      ON s.lang = b.lang AND s.phrase = b.part AND 100 * b.f >= 100 * s.f),
+cuts AS (SELECT lang, phrase, f AS a, c, array_to_string(ws[1:c], ' ') AS x, array_to_string(ws[c + 1:], ' ') AS y
+         FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, t.n,
+           CAST(1000 * CAST(c.a AS HUGEINT) * t.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score, c.c
+    FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y JOIN total t ON t.lang = c.lang),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS o FROM scored) WHERE o = 1),
+ranked AS (
+    SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+    FROM best b LEFT JOIN held h ON b.lang = h.lang AND b.phrase = h.phrase WHERE h.phrase IS NULL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""")
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language of all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text")).withColumnRenamed("grp", "lang")
+
+
 @query(r"""
 WITH RECURSIVE bit AS (
     SELECT doc_id, list_reduce(list_concat([4294967295::BIGINT], flatten([[CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
