@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, collocations, fingerprints, linededup, manifest, mixing, ngram_join, packing, passages, quality, sequences, topk
+from . import chat, collocations, fingerprints, language, linededup, manifest, mixing, ngram_join, packing, passages, quality, sequences, topk
 from .common import LOWER, UPPER, sha256, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +163,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by the code length of their whole texts, learnt outside the held-out fold."""
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 @query(r"""
 WITH pieces AS (
     SELECT lang, d, i, ps[i] AS piece
