@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import short_batches, slices
-from .tokens import byte_encoder
+from .tokens import byte_encoder, largest_id
 
 LENGTH, END_ID, PAD_ID = 2048, 50256, 50256
 GROUP_TOKENS = 1 << 22
@@ -80,7 +80,7 @@ def pack_matrix(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH,
                 key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per sequence of ``length`` ids.
 
-    ``input_ids`` is the matrix row, little-endian unsigned 16-bit if every id fits, else 32-bit, padded with ``pad_id`` behind
+    ``input_ids`` is the matrix row, little-endian unsigned 16-bit if every id of the vocabulary, the end and the padding fit, else 32-bit, padded with ``pad_id`` behind
     ``n_tokens``; ``cu_seqlens`` are the cumulative segment lengths from 0; ``position_ids`` (16 or 32 bits as the length asks) start
     again at 0 with each segment and count on through the padding as a segment of its own. Segment i holds the ids of
     ``doc_ids[i]`` from ``starts[i]`` on. Every document ends with ``end_id``; a document longer than a row continues in others, no
@@ -90,7 +90,7 @@ def pack_matrix(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH,
     does the same again. A null text is empty and has the end id only; null keys stay null; rows that share a key are packed
     each. No rows: no rows.
     """
-    kind = "<u2" if max(end_id, pad_id) < 1 << 16 else "<u4"
+    kind = "<u2" if max(end_id, pad_id, largest_id(ranks)) < 1 << 16 else "<u4"
     place = "<u2" if length <= 1 << 16 else "<u4"
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
@@ -139,14 +139,12 @@ def write_packed(sequences: DataFrame, path: str) -> None:
     sequences.write.mode("errorifexists").parquet(path)
 
 
-def read_documents(sequences: DataFrame, length: int = LENGTH, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
-    """(doc_id, start, ids array<int>): the segments of packed rows, read back."""
-    kind = "<u2" if max(end_id, pad_id) < 1 << 16 else "<u4"
-
+def read_documents(sequences: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, start, ids array<int>): the segments of packed rows, read back; a row's bytes tell the width of its ids."""
     def run(batches):
         for batch in batches:
             rows = batch.to_pydict()
-            out = [(d, s, np.frombuffer(m, kind)[a:b].astype(np.int32))
+            out = [(d, s, np.frombuffer(m, f"<u{len(m) // length}")[a:b].astype(np.int32))
                    for ds, ss, cs, m in zip(rows["doc_ids"], rows["starts"], rows["cu_seqlens"], rows["input_ids"])
                    for d, s, a, b in zip(ds, ss, cs, cs[1:])]
             yield pa.RecordBatch.from_arrays(

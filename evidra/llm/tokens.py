@@ -82,6 +82,12 @@ def word_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(lambda text: text.encode().lower().split(), make)
 
 
+def largest_id(path: str) -> int:
+    """The largest id of a rank file."""
+    with open(path, "rb") as lines:
+        return max(int(line.split()[1]) for line in lines)
+
+
 def byte_encoder(path: str, pattern: str) -> ChunkEncoder:
     """For a rank file of byte-level pairs: a space before a word starts a token, so texts are cut there. Special tokens in a text
     are ordinary text."""

@@ -56,6 +56,24 @@ def test_round_trip(spark, tmp_path):
     assert sequences.pack_matrix(frames.docs(spark, []), RANKS, PATTERN).collect() == []
 
 
+def test_ids_of_a_large_vocabulary(spark, tmp_path):
+    ranks = tmp_path / "large.tiktoken"  # the same merges, ids from 256 on moved up by 50,000
+    lines = [line.split() for line in open(RANKS, "rb")]
+    ranks.write_bytes(b"".join(b"%s %d\n" % (a, int(b) if int(b) < 256 else int(b) + 50_000) for a, b in lines))
+    rows = [(i, f"A sentence of ordinary words, number {i}, with supercalifragilistic ones.") for i in range(40)]
+    packed = sequences.pack_matrix(frames.docs(spark, rows), str(ranks), PATTERN, length=128, end_id=0, pad_id=0).collect()
+    assert all(len(r.input_ids) == 4 * 128 for r in packed)
+    decode, parts, most = tokens.byte_decoder(str(ranks)), defaultdict(dict), 0
+    back = sequences.read_documents(spark.createDataFrame(packed, sequences.SCHEMA), 128).collect()
+    for r in back:
+        parts[r.doc_id][r.start] = r.ids
+        most = max(most, *r.ids)
+    assert most > 1 << 16
+    for key, text in rows:
+        ids = [i for _, part in sorted(parts[key].items()) for i in part]
+        assert ids[-1] == 0 and decode(ids[:-1]).decode() == text
+
+
 def test_best_fit_takes_the_tightest_row():
     rng = random.Random(5)
     lengths = [rng.randrange(1, 200) for _ in range(400)]
