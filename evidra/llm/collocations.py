@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidra.session import cut
 
-from .common import short_batches
+from .common import short_batches, small
 from .shingles import U, mix, odd_numbers, powers
 
 MOST_WORDS, LEAST_COUNT, MOST_PER_GROUP = 5, 100, 2000
@@ -257,7 +257,7 @@ def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least_count: int
     cuts = (cuts.withColumns({"left": F.slice("words", F.lit(1), F.col("k")), "rest": F.slice("words", F.col("k") + 1, F.col("size") - F.col("k"))})
             .join(counted.withColumnsRenamed({"part": "left", "part_f": "l"}), ["grp", "left"])
             .join(counted.withColumnsRenamed({"part": "rest", "part_f": "r"}), ["grp", "rest"])
-            .join(totals, "grp"))
+            .join(small(totals), "grp"))
     best = cuts.groupBy("grp", "words", "a").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r", "n")).alias("b"))
     line = Window.partitionBy("grp").orderBy(F.desc("b.score"), F.desc("a"), "phrase")
     return (best.withColumn("phrase", F.array_join("words", " ")).withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= top)

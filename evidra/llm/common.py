@@ -65,6 +65,14 @@ def slices(batch, rows: int = 256):
         yield batch.slice(i, rows)
 
 
+MOST_BROADCAST = 10_000  # rows
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` marked for broadcasting if it has at most ``most`` rows, else as it is; it is counted, so it should be cheap or written."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def slot_text(key: Column, slots: int) -> Column:
     """A part number for each key from its text, the same for equal keys; null has one too."""
     return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(slots))

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import small
+
 BLOCK_ROWS, CHUNK_QUERIES = 8192, 2048  # a group compares one block with one chunk
 STEP_QUERIES = 256  # queries whose bitmaps are added together, so that they stay in the cache
 ROW_BITS, QUERY_BITS = 6, 5  # bits of each component that the slices hold, of rows and of queries
@@ -149,12 +151,15 @@ def top_of_block(block: SlicedBlock, values: np.ndarray, ids: np.ndarray, querie
     return q, row, score
 
 
-def search_block(dims: int, k: int):
+def search_block(k: int):
     def run(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not rows.num_rows or not queries.num_rows:
             return none
-        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, dims)
+        def matrix(t: pa.Table) -> np.ndarray:
+            flat = t.column("v").combine_chunks().flatten().to_numpy()
+            return flat.reshape(t.num_rows, -1) if len(flat) else np.zeros((t.num_rows, 1), np.int64)
+
         values, asked = matrix(rows), matrix(queries)
         ids, query_ids = rows.column("id").to_numpy(), queries.column("id").to_numpy()
         block, out = SlicedBlock(values), []
@@ -178,24 +183,22 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5,
     held as bit slices, the weighted sum of all slices is formed with bitmap adders, the k-th sum is found from the top slice down,
     and rows near it are scored exactly. What leaves a group is k rows a query.
 
-    Vectors null or with null or non-finite components take no part, nor do rows with a null key or of another length than the longest.
+    Vectors null or with null or non-finite components take no part, nor do rows with a null key. Vectors of several lengths are indexes
+    of their own: a query meets the rows of its length, an empty vector scores 0 with all empty ones.
     Rows that share a key are candidates each, and queries each: their best rows then merge. No rows, or no query: no rows.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), whole_numbers(F.col(vector), scale).alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).withColumn("dims", F.size("v"))
-    asked = rows.filter(F.coalesce(is_query(F.col("id")), F.lit(False)))
-    n, dims = rows.agg(F.count(F.lit(1)), F.max("dims")).first()
-    n_asked = asked.count()
-    result = "query_id long, vec_id long, score long"
-    if not n or not n_asked or not dims:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    blocks, chunks = -(-n // block_rows), -(-n_asked // chunk_queries)
-    rows, asked = rows.filter(F.col("dims") == dims), asked.filter(F.col("dims") == dims)
-    part = lambda m, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(m)).cast("int")
-    left = rows.select("id", "v", part(blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"))
-    right = asked.select("id", "v", part(chunks, 2).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    found = (left.groupBy("b", "c").cogroup(right.select("id", "v", "b", "c").groupBy("b", "c"))
-             .applyInArrow(search_block(dims, k), result))
+    asked = F.coalesce(is_query(F.col("id")), F.lit(False))
+    sizes = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("n_asked")).filter("n_asked > 0").select(
+        "dims", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), F.ceil(F.col("n_asked") / chunk_queries).cast("int").alias("chunks"))
+    rows = rows.join(small(sizes), "dims")
+    part = lambda m, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    left = rows.select("id", "v", "dims", part("blocks", 1).alias("b"), every("chunks").alias("c"))
+    right = rows.filter(asked).select("id", "v", "dims", part("chunks", 2).alias("c"), every("blocks").alias("b"))
+    found = (left.groupBy("dims", "b", "c").cogroup(right.select("id", "v", "dims", "b", "c").groupBy("dims", "b", "c"))
+             .applyInArrow(search_block(k), "query_id long, vec_id long, score long"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

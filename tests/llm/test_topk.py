@@ -11,12 +11,11 @@ def brute(rows, k):
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             good.append((i, [math.floor(256 * x) for x in v]))
-    good = [g for g in good if len(g[1]) == max(len(x[1]) for x in good)]
     out = []
     for q, a in dict(good).items():
         if q % 50 == 0:
             asked = [v for i, v in good if i == q]
-            scores = sorted((-sum(x * y for x, y in zip(s, v)), i) for s in asked for i, v in good if i != q)
+            scores = sorted((-sum(x * y for x, y in zip(s, v)), i) for s in asked for i, v in good if i != q and len(v) == len(s))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -38,6 +37,14 @@ def test_like_brute_force_with_ties_and_bad_rows(spark, blocks):
     assert run(spark, full, k=5, **blocks) == brute(rows, 5)
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.3, 4)]) for i in range(60)] + [(1000, [0.5] * 5)]
+    rows += [(1050 + 50 * i, [0.25 * i] * 5) for i in range(4)] + [(2000, []), (2001, []), (2003, [])]
+    got = run(spark, [(*r, 1, 2, 3, 4, 5, 6) for r in rows], k=5)
+    assert got == brute(rows, 5) and len({r[0] for r in got if r[0] < 1000}) == 2 and [r[2:] for r in got if r[0] == 2000] == [(2001, 0), (2003, 0)]
+
+
 def test_few_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0, 2.0], 1, 2, 3, 4, 5, 6)]) == []
