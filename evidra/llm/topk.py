@@ -197,7 +197,8 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5,
     every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
     left = rows.select("id", "v", "dims", part("blocks", 1).alias("b"), every("chunks").alias("c"))
     right = rows.filter(asked).select("id", "v", "dims", part("chunks", 2).alias("c"), every("blocks").alias("b"))
-    found = (left.groupBy("dims", "b", "c").cogroup(right.select("id", "v", "dims", "b", "c").groupBy("dims", "b", "c"))
+    right = right.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own, though made from the same rows
+    found = (left.groupBy("dims", "b", "c").cogroup(right.groupBy("dims", "b", "c"))
              .applyInArrow(search_block(k), "query_id long, vec_id long, score long"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
