@@ -359,17 +359,45 @@ def calibration_sample(cases: DataFrame, n: int = 60, seed: str = "7") -> DataFr
     return ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n // 2)
 
 
-def swapped_negatives(positives: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Certain negatives: each positive's quote with the term of the next positive in hash order that differs.
+RING, LOOKS = 4096, 8  # cases of one ring, partners that a case looks at in it
 
-    positives: case_id, quote, term. The order is cut into hash buckets so no task sees all cases; inside a bucket the
-    partner is the next case by hash. Cases whose partner's term is named in the quote are left out.
+
+def swapped_negatives(positives: DataFrame, ring: int = RING) -> DataFrame:
+    """Certain negatives: each positive's quote with another case's term that differs from its own and is not named in the quote.
+
+    positives: case_id, quote, term. Returns one row per case: case_id, quote, term, answer; ``term`` and ``answer`` are null where no term
+    of any case fits. Cases stand in hash order on rings of about ``ring``, so that no task sees all, and each looks at the next
+    ``LOOKS`` partners. Those that find none look at the distinct terms in hash order, ever more of them until all were looked at. A case
+    left after m terms names at least m - 1 of them, so the list grows only while some quote names all of it.
     """
     h = F.xxhash64("case_id")
-    w = Window.partitionBy("_b").orderBy(h, "case_id")
-    out = positives.withColumn("_b", F.pmod(h, F.lit(buckets))).withColumn("other_term", F.coalesce(F.lead("term").over(w), F.first("term").over(w)))
-    return (out.where((F.col("other_term") != F.col("term")) & ~F.contains(F.lower("quote"), F.lower("other_term")))
-            .select("case_id", "quote", F.col("other_term").alias("term"), F.lit("reject").alias("answer")))
+    rings = max(positives.count() // ring, 1)
+    w = Window.partitionBy("_r").orderBy(h, "case_id")
+    dealt = positives.select("case_id", "quote", "term").withColumn("_r", F.pmod(F.xxhash64(F.lit(1), "case_id"), F.lit(rings)))
+    numbered = dealt.withColumn("_i", F.row_number().over(w))
+    heads = numbered.where(F.col("_i") <= LOOKS).groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("_i", "term"))).alias("_h"))
+    ahead = F.array(*[F.lead("term", k).over(w) for k in range(1, LOOKS + 1)])
+    said = F.lower(F.coalesce("quote", F.lit("")))
+    fits = lambda x: x.isNotNull() & ~x.eqNullSafe(F.col("term")) & ~F.contains(said, F.lower(x))
+    looked = (numbered.withColumn("_a", ahead).join(heads, "_r")
+              .withColumn("other", F.get(F.filter(F.concat("_a", F.transform("_h", lambda s: s["term"])), fits), F.lit(0))))
+    found = cut(looked.select("case_id", "quote", "term", "other"))
+    terms = positives.select("term").where("term IS NOT NULL").distinct()
+    done, left = found.where("other IS NOT NULL"), found.where("other IS NULL").select("case_id", "quote", "term")
+    n, n_terms = 4 * LOOKS, None
+    while not left.isEmpty():
+        if n_terms is None:
+            terms = cut(terms.withColumn("_h", F.xxhash64("term")))
+            n_terms = terms.count()
+        some = terms.orderBy("_h", "term").limit(n).agg(F.array_sort(F.collect_list(F.struct("_h", "term"))).alias("_t"))
+        tried = cut(left.join(F.broadcast(some)).withColumn("other", F.get(F.filter(F.transform("_t", lambda s: s["term"]), fits), F.lit(0)))
+                    .select("case_id", "quote", "term", "other"))
+        last = n >= n_terms
+        done = done.unionByName(tried if last else tried.where("other IS NOT NULL"))
+        if last:
+            break
+        left, n = tried.where("other IS NULL").select("case_id", "quote", "term"), n * 4
+    return done.select("case_id", "quote", F.col("other").alias("term"), F.when(F.col("other").isNotNull(), "reject").alias("answer"))
 
 
 def calibration_scores(answers: DataFrame, key: DataFrame, passing: float = 0.8) -> DataFrame:

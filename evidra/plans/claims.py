@@ -238,6 +238,22 @@ def calibration_sample(t):
     return C.calibration_sample(cases).select("case_id", "answer", "pos")
 
 
+# every seventh quote names all priorities, so that only the rare terms fit it
+SWAP_QUOTE = "concat('Sent as ', o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN ' or 1-urgent, 2-high, 3-medium, 4-not specified, 5-low' ELSE '' END)"
+SWAP_TERM = "CASE WHEN o_custkey % 50 = 0 THEN concat('Customer ', o_custkey) ELSE o_orderpriority END"
+
+
+@query("swapped_negatives", f"""WITH cases AS (SELECT o_orderkey AS case_id, {SWAP_QUOTE} AS quote, {SWAP_TERM} AS term FROM orders), terms AS (SELECT DISTINCT term FROM cases)
+SELECT case_id, quote, bool_or(t.term <> c.term AND NOT contains(lower(quote), lower(t.term))) AS swapped, true AS sound FROM cases c, terms t GROUP BY case_id, quote""")
+def swapped_negatives(t):
+    cases = t.orders.selectExpr("o_orderkey AS case_id", f"{SWAP_QUOTE} AS quote", f"{SWAP_TERM} AS term")
+    swapped = C.swapped_negatives(cases).select("case_id", "quote", F.col("term").alias("other"), "answer")
+    known = cases.select("term").distinct().select(F.col("term").alias("known"))
+    both = swapped.join(cases.select("case_id", "term"), "case_id").join(known, F.col("other") == F.col("known"), "left")
+    sound = F.col("other").isNull() | (F.col("known").isNotNull() & (F.col("other") != F.col("term")) & ~F.contains(F.lower("quote"), F.lower("other")) & (F.col("answer") == "reject"))
+    return both.select("case_id", "quote", F.col("other").isNotNull().alias("swapped"), sound.alias("sound"))
+
+
 @query("calibration_scores", """SELECT source AS agent, CAST(count(*) AS BIGINT) AS answered, CAST(count(*) FILTER ((n_chars > 800) = (quality = 1)) AS BIGINT) AS correct,
   round(count(*) FILTER ((n_chars > 800) = (quality = 1)) / count(*), 4) AS score, round(count(*) FILTER ((n_chars > 800) = (quality = 1)) / count(*), 4) >= 0.8 AS passed
 FROM labels JOIN documents USING (doc_id) GROUP BY source""")

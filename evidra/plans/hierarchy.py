@@ -83,32 +83,37 @@ def split_entities(t):
     return H.split_entities(links, terms)
 
 
-# Parts are the nodes; where a node may be no entity, the PROMO ones are the entities. A node's own terms: suppliers that shipped it more than once.
-LOT_TERMS = """lot_terms AS (SELECT l_partkey AS item, l_suppkey AS term FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) > 1)"""
+# Parts are the nodes. A node's own terms: the suppliers that shipped it.
+LOT_TERMS = """lot_terms AS (SELECT DISTINCT l_partkey AS item, l_suppkey AS term FROM lineitem)"""
 
 
 def lot_terms(t):
-    return (t.lineitem.groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-            .where("n > 1").select("item", "term"))
+    return t.lineitem.select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("term")).distinct()
 
 
+# A customer is an entity below the part of its number.
 @query("inherit_terms", f"""{WITH_DAG}, {LOT_TERMS},
-only_one AS (SELECT ancestor, min(id) AS item FROM above JOIN part ON p_partkey = id AND p_type = 'PROMO' GROUP BY ancestor HAVING count(*) = 1)
-SELECT o.item, t.term, min(o.ancestor) AS via FROM only_one o JOIN lot_terms t ON t.item = o.ancestor
-WHERE NOT EXISTS (SELECT 1 FROM lot_terms own WHERE own.item = o.item AND own.term = t.term) GROUP BY 1, 2""")
+under AS (SELECT -1 - c_custkey AS item, c_custkey AS node FROM customer),
+reach AS (SELECT item, node AS ancestor FROM under UNION SELECT item, above.ancestor FROM under JOIN above ON above.id = node),
+only_one AS (SELECT ancestor, min(item) AS item FROM reach GROUP BY ancestor HAVING count(*) = 1)
+SELECT o.item, t.term, min(o.ancestor) AS via FROM only_one o JOIN lot_terms t ON t.item = o.ancestor GROUP BY 1, 2""")
 def inherit_terms(t):
-    entities = t.part.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("item"))
-    return H.inherit_terms(lot_terms(t), H.strict_closure(edges(t)), entities)
+    under = t.customer.select((-1 - F.col("c_custkey")).alias("child"), F.col("c_custkey").alias("parent"))
+    return H.inherit_terms(lot_terms(t), H.strict_closure(edges(t).unionByName(under)), under.select(F.col("child").alias("item")))
 
 
-@query("broader_profile", f"""WITH RECURSIVE {EDGES}, {ABOVE}, {LOT_TERMS},
-up AS (SELECT p_partkey AS item, p_partkey AS source, 0 AS depth FROM part WHERE p_partkey NOT IN (SELECT item FROM lot_terms)
+# An order is an entity without terms of its own, a child of the first part in it.
+FIRST_PART = "SELECT -1 - l_orderkey AS child, min(l_partkey) AS parent FROM lineitem GROUP BY l_orderkey"
+
+
+@query("broader_profile", f"""WITH RECURSIVE {EDGES}, {ABOVE}, {LOT_TERMS}, first_part AS ({FIRST_PART}),
+up AS (SELECT child AS item, parent AS source, 1 AS depth FROM first_part
   UNION SELECT up.item, edges.parent, depth + 1 FROM up JOIN edges ON edges.child = up.source WHERE depth < 4),
 below AS (SELECT ancestor, count(*) AS n FROM above GROUP BY ancestor),
 usable AS (SELECT item AS source FROM lot_terms LEFT JOIN below ON ancestor = item GROUP BY item, n HAVING count(*) >= 3 AND coalesce(n, 0) <= 60),
 near AS (SELECT item, source, depth FROM (
   SELECT item, source, depth, row_number() OVER (PARTITION BY item ORDER BY depth, source) AS r
-  FROM up JOIN usable USING (source) WHERE depth > 0) WHERE r = 1),
+  FROM up JOIN usable USING (source)) WHERE r = 1),
 ic AS (SELECT term, -ln(count(*) / (SELECT count(DISTINCT item) FROM lot_terms)) AS ic FROM lot_terms GROUP BY term)
 SELECT item, source, depth, term, CAST(rank AS INTEGER) AS rank FROM (
   SELECT near.item, near.source, depth, t.term, row_number() OVER (PARTITION BY near.item ORDER BY ic DESC, t.term) AS rank
@@ -116,7 +121,9 @@ SELECT item, source, depth, term, CAST(rank AS INTEGER) AS rank FROM (
 def broader_profile(t):
     terms = lot_terms(t)
     below = H.descendant_counts(H.strict_closure(edges(t)))
-    return H.broader_profile(t.part.select(F.col("p_partkey").alias("item")), edges(t), terms, below, S.term_ic(terms))
+    orders = t.lineitem.groupBy((-1 - F.col("l_orderkey")).alias("child")).agg(F.min("l_partkey").alias("parent"))
+    entities = orders.select(F.col("child").alias("item")).unionByName(t.part.select(F.col("p_partkey").alias("item")))
+    return H.broader_profile(entities, edges(t).unionByName(orders), terms, below, S.term_ic(terms))
 
 
 @query("ancestor_groups", f"""{WITH_DAG},

@@ -115,7 +115,15 @@ def test_parts_without_a_query(spark):
     assert one.select(text.render_record([("Title", F.lit(" a  b ")), ("Status", F.lit(None))])).first()[0] == "Title: a b\nStatus:"
     cases = spark.createDataFrame([(i, f"quote about term{i % 3}", f"term{i % 3}") for i in range(30)], "case_id long, quote string, term string")
     swapped = claims.swapped_negatives(cases, 2).collect()
-    assert swapped and all(r.term not in r.quote and r.answer == "reject" for r in swapped)
+    assert len(swapped) == 30 and all(r.term not in r.quote and r.answer == "reject" for r in swapped)
+    every = " ".join(f"sign{i}" for i in range(300))
+    rows = [(i, f"it shows sign{i}", f"sign{i}") for i in range(300)] + [(400 + i, every, f"sign{i}") for i in range(195)] + [
+        (600, every + " rare", "sign1"), (601, every, "rare"), (602, "", "sign2"), (603, None, None), (604, "Rare RARE", "sign3")]
+    got = {r.case_id: r for r in claims.swapped_negatives(spark.createDataFrame(rows, "case_id long, quote string, term string")).collect()}
+    assert len(got) == 500
+    for i, quote, term in rows:
+        fits = {t for _, _, t in rows if t and t != term and t not in (quote or "").lower()}
+        assert (got[i].term in fits and got[i].answer == "reject") if fits else (got[i].term is None and got[i].answer is None), i
     base = spark.createDataFrame([(1, "t", "base", None, "")], "item long, term string, source string, ref string, frequency string")
     said = spark.createDataFrame([(1, "t", "c1", f"P{i}", "1/3" if i else "", i) for i in range(8)], "subject long, term string, source string, ref string, frequency string, claim_id long")
     r = linking.overlay_claims(base, said, spark.createDataFrame([(1, 100)], "item long, node long")).first()
