@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evidra.session import cut
 
 from .common import short_batches, small
-from .shingles import U, mix, odd_numbers, powers
+from .shingles import U, bitmap_holds, bitmap_of, bitmap_table, mix, odd_numbers, powers
 
 MOST_WORDS, LEAST_COUNT, MOST_PER_GROUP = 5, 100, 2000
 FILTER_BITS = 26  # size of the bitmap of frequent prefixes that every task gets: 8 MB at most
@@ -111,28 +111,6 @@ def word_counts(rows: DataFrame, seed: int) -> DataFrame:
     return counts.select("group_hash", "h", F.decode("word", "UTF-8").alias("word"), "f")
 
 
-class Bitmap:
-    """A set of 64-bit hashes as one bit for each value of their top bits: it may hold more, never less."""
-
-    def __init__(self, hashes: DataFrame, column: str, bits: int = FILTER_BITS):
-        """Bits are put together by Spark in words of 64; the driver receives at most 2 ** (bits - 6) words."""
-        place = F.shiftrightunsigned(F.col(column), 64 - bits)
-        got = (hashes.select(F.shiftright(place, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit"))
-               .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
-        self.bits, self.at = bits, got.column("at").to_numpy()
-        self.words = got.column("bits").to_numpy()
-
-    def table(self) -> np.ndarray:
-        out = np.zeros(1 << (self.bits - 6), np.int64)
-        out[self.at] = self.words
-        return out.view(U)
-
-    @staticmethod
-    def holds(table: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-        place = hashes >> U(64 - bits)
-        return (table[place >> U(6)] >> (place & U(63))) & U(1) == U(1)
-
-
 def next_words(rows: DataFrame, prefixes: DataFrame, length: int, seed: int, splits: int = SPLITS, bits: int = FILTER_BITS) -> DataFrame:
     """(p1, p2, next, f): how often each word follows each prefix of ``length`` words, prefix and word within one piece.
 
@@ -140,18 +118,16 @@ def next_words(rows: DataFrame, prefixes: DataFrame, length: int, seed: int, spl
     first or last ``length`` words cannot be frequent by the bitmap of frequent ``prefixes`` (p1, p2, f). Stripes of one prefix
     meet and are merged element by element; those of the commonest prefixes are cut into segments by the next word.
     """
-    spark = rows.sparkSession
-    seen = Bitmap(prefixes, "p1", bits)
+    seen = bitmap_of(prefixes, "p1", bits)
     total = prefixes.agg(F.sum("f")).first()[0] or 0
     hot = (prefixes.filter(F.col("f") * splits > F.lit(total).cast("decimal(38,0)")).select("p1", F.ceil(F.col("f") / (total or 1) * splits).alias("s"))
-           .orderBy("p1").toArrow())  # fewer than ``splits`` rows: their shares add up to 1
-    shared = spark.sparkContext.broadcast((seen, hot.column("p1").to_numpy().astype(np.int64).view(U), hot.column("s").to_numpy().astype(np.int64)))
+           .toArrow())  # fewer than ``splits`` rows: their shares add up to 1
+    commonest = hot.column("p1").to_numpy().astype(np.int64).view(U), hot.column("s").to_numpy().astype(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(x[np.argsort(commonest[0])] for x in commonest))
 
     def run(batches):
-        seen, hot, pieces = shared.value
-        by = np.argsort(hot)
-        hot, pieces = hot[by], pieces[by]
-        table = seen.table()
+        hot, pieces = shared.value
+        table = bitmap_table(seen.value)
         for groups, texts in gathered(batches):
             _, word, _, _, piece, _ = words_of(groups, texts, seed)
             n = len(word) - length
@@ -160,7 +136,7 @@ def next_words(rows: DataFrame, prefixes: DataFrame, length: int, seed: int, spl
             p1, p2 = word, mix(word)
             for k in range(1, length):
                 p1, p2 = longer(p1[:-1], p2[:-1], word[k:])
-            known = Bitmap.holds(table, seen.bits, p1)
+            known = bitmap_holds(table, p1)
             at = np.flatnonzero((piece[:n] == piece[length:]) & known[:n] & known[1:n + 1])
             p1, p2, last = p1[at], p2[at], word[at + length]
             order, first = runs_of([p1, p2, last])

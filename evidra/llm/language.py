@@ -99,9 +99,16 @@ class Trees:
             self._lookups = [(Lookup(k), Lookup(c[0])) for k, c in zip(self.keys, self.escapes)]
         return self._lookups
 
-    def __getstate__(self):
+    def state(self) -> dict:
+        """All that was learnt, in plain arrays, which any worker can read."""
         return {**self.__dict__, "_lookups": None}
 
+    @classmethod
+    def of(cls, state: dict) -> Trees:
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def byte_costs(self, data: np.ndarray) -> np.ndarray:
         """What each byte costs in each language, after the bytes before it."""
         out = np.zeros((len(data), len(self.languages)), np.int32)
@@ -205,13 +212,15 @@ def predict(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFra
     """(row, lang_pred, score): every row of ``docs`` as a struct, the language whose tree codes its whole text, lower-cased, in the fewest
     bits, and that language's share of the probability. A text that is null or has no letter, and every text if nothing was learnt,
     is ``und`` at 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared, here = docs.sparkSession.sparkContext.broadcast(trees and trees.state()), []
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
         names, scores = [], []
+        if not here:
+            here.append(Trees.of(shared.value))
         for i in range(0, len(texts), 256):
-            a, b = shared.value.predict(texts.slice(i, 256).to_pylist())
+            a, b = here[0].predict(texts.slice(i, 256).to_pylist())
             names.extend(a)
             scores.append(b)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["lang", "score"])

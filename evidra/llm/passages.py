@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
 from bisect import bisect_left
 
 import numpy as np
@@ -14,64 +12,122 @@ from pyspark.sql import DataFrame, Window, functions as F
 from evidra.session import cut
 
 from .common import short_batches, slices
+from .shingles import U, bitmap_holds, bitmap_of, bitmap_table, mix, plain, runs_hashed, word_hashes
 
-LEAST_WORDS, RUN_WORDS = 4, 30
-LONG_WORDS, CUT_WORDS = 20, 4  # longer sentences are cut before words whose hash is the least of this many on either side
+LEAST_WORDS = 8  # of a unit, and of a line that is a unit of its own
+LEAST_BITS, MOST_BITS = 20, 29  # size of the bitmap of repeated digests: 16 bits a digest, 64 MB at most
+STEP = 1 << 22  # bytes of text cut together
 FIRST_LOOK = 24  # words on either side of a run that the first round compares; each later round compares four times as many
-# a unit ends at a line break, or behind a full stop, question or exclamation mark that white space follows
-UNIT = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
 WORD = re.compile(r"\w+")
 
 
-def pieces_of(unit: str) -> list[tuple[int, int]]:
-    """(start, stop) of the parts of a sentence. A long one is cut where the words themselves say so, so that equal runs of words are
-    cut alike wherever they begin; no part has fewer than ``CUT_WORDS`` words."""
-    if unit.count(" ") < LONG_WORDS and len(unit) <= 2 * LONG_WORDS:
-        return [(0, len(unit))]
-    found = list(WORD.finditer(unit))
-    if len(found) <= LONG_WORDS:
-        return [(0, len(unit))]
-    h, c = [zlib.crc32(m.group().lower().encode()) for m in found], CUT_WORDS
-    at = [0, *(found[i].start() for i in range(c, len(h) - c) if h[i] < min(h[i - c:i]) and h[i] < min(h[i + 1:i + c + 1])), len(unit)]
-    return list(zip(at, at[1:]))
-
-
-def units_of(text: str | None) -> list[tuple[int, int, int, bytes]]:
-    """(start, length, words, digest) of each sentence of each line, long sentences in parts, offsets in code points. The digest is of
-    the lower-cased words alone, so white space and punctuation make no difference; units without words are left out."""
-    out = []
-    for found in UNIT.finditer(text or ""):
-        whole = found.group()
-        for a, b in pieces_of(whole):
-            unit = whole[a:b] if b == len(whole) else whole[a:b].rstrip()
-            words = WORD.findall(unit.lower())
-            if words:
-                blank = len(unit) - len(unit.lstrip())
-                out.append((found.start() + a + blank, len(unit) - blank, len(words),
-                            hashlib.blake2b(" ".join(words).encode(), digest_size=12).digest()))
-    return out
-
-
-def text_units(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, t, unit, start, length, words, h1, h2): the units of at least ``least_words`` words, numbered within their text, with 96
-    bits of digest; ``t`` is a hash of the text, which tells texts under one key apart."""
-    names = ["k", "t", "unit", "start", "length", "words", "h1", "h2"]
+def folded(text: str) -> str:
+    """Lower case without moving a place: characters whose lower case is longer stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def units_of(texts: list, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
+    """(text, unit, start, stop, words, h1, h2) of the units of some texts: number of the text, number of the unit's first word in it,
+    offsets in code points, number of words, 128 bits of digest of the lower-cased words alone.
+
+    A line of ``least_words`` words or more is a piece; shorter lines that follow each other are a piece together. A piece is cut before
+    words whose hash, taken with the next word, is the least of all within ``least_words`` - 1 words on either side, so that equal
+    runs of words are cut alike wherever they stand; no part has fewer than ``least_words`` words. Shorter pieces are no units.
+    """
+    least, reach = least_words, least_words - 1
+    bodies = [plain(folded(t or "")).encode() for t in texts]
+    data = b"\n".join(bodies)
+    raw = np.frombuffer(data, np.uint8)
+    word, start, stop = word_hashes(data)
+    n = len(word)
+    if not n:
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, np.int64, U, U))
+    begins = np.concatenate(([0], np.cumsum([len(b) + 1 for b in bodies])))
+    text = np.searchsorted(begins, start, "right") - 1
+    line = np.cumsum(raw == 10)[start]
+    solid = np.bincount(line)[line] >= least
+    fresh = np.ones(n, bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1]) & (solid[1:] | solid[:-1])
+    firsts = np.flatnonzero(fresh)
+    piece = np.cumsum(fresh) - 1
+    ends = np.append(firsts[1:], n)
+    pair = word.copy()
+    pair[:-1] += np.where(fresh[1:], U(0), mix(word[1:]))
+    pair = mix(pair)
+    place = np.arange(n)
+    inner = np.flatnonzero((place - firsts[piece] >= least) & (ends[piece] - place >= least))
+    for d in range(1, reach + 1):
+        inner = inner[(pair[inner] < pair[inner - d]) & (pair[inner] < pair[inner + d])]
+    fresh[inner] = True
+    a = np.flatnonzero(fresh)
+    b = np.append(a[1:], n)
+    full = b - a >= least
+    a, b = a[full], b[full]
+    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # code points before a byte
+    blank = np.flatnonzero((raw == 32) | (raw >= 9) & (raw <= 13))
+    behind = np.append(blank, len(raw))[np.searchsorted(blank, stop[b - 1])]  # marks up to the next blank belong to the last word
+    behind = np.minimum(behind, np.append(start, len(raw))[b])
+    of = text[a]
+    number = a - np.searchsorted(text, of)
+    zero = points[begins[of]]
+    return of, number, points[start[a]] - zero, points[behind] - zero, b - a, runs_hashed(word, a, b, 61), runs_hashed(word, a, b, 67)
+
+
+def _groups(batches):
+    """Rows of Arrow batches as lists of columns, about ``STEP`` characters of the last column at a time."""
+    rows, size = [], 0
+    for batch in (part for whole in batches for part in slices(whole, 64)):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            rows.append(row)
+            size += len(row[-1] or "") + 1
+            if size >= STEP:
+                yield list(zip(*rows))
+                rows, size = [], 0
+    if rows:
+        yield list(zip(*rows))
+
+
+def repeated_digests(texts: DataFrame, least_words: int) -> DataFrame:
+    """(h1, h2) of the units that occur more than once. texts: text."""
+    def run(batches):
+        for (bodies,) in _groups(batches):
+            h1, h2 = units_of(bodies, least_words)[5:]
+            order = np.lexsort((h2, h1))
+            h1, h2 = h1[order], h2[order]
+            first = np.flatnonzero(np.concatenate((np.ones(min(len(h1), 1), bool), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
+            yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)),
+                                              pa.array(np.diff(np.append(first, len(h1))) > 1)], ["h1", "h2", "twice"])
+
+    digests = texts.mapInArrow(run, "h1 long, h2 long, twice boolean").repartition("h1", "h2")  # one row a task at most for a common one
+    return digests.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.bool_or("twice").alias("twice")).filter("n > 1 OR twice").select("h1", "h2")
+
+
+def bits_for(hashes: DataFrame) -> int:
+    """The size of a bitmap for the rows of a written table: about 16 bits each, within bounds."""
+    return min(max(hashes.count().bit_length() + 4, LEAST_BITS), MOST_BITS)
+
+
+def repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(k, t, unit, start, stop, words, h1, h2): the units that may occur more than once: all that do, and those that share the top bits
+    of their digest with one that does. docs: k, t, text. The texts are cut twice, so that only digests travel for all units."""
+    texts = short_batches(docs)
+    twice = cut(repeated_digests(texts.select("text"), least_words))
+    shared = bitmap_of(twice, "h1", bits_for(twice))
+    names = ["k", "t", "unit", "start", "stop", "words", "h1", "h2"]
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
-            keys, texts, rows = [], [], []
-            for k, t, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                mine = [(i, *u) for i, u in enumerate(u for u in units_of(body) if u[2] >= least_words)]
-                keys.extend([k] * len(mine))
-                texts.extend([t] * len(mine))
-                rows.extend(mine)
-            digest = np.frombuffer(b"".join(r[4] for r in rows), np.dtype([("a", "<i8"), ("b", "<i4")]))
+        table = bitmap_table(shared.value)
+        for keys, hashes, bodies in _groups(batches):
+            of, number, start, stop, words, h1, h2 = units_of(bodies, least_words)
+            at = np.flatnonzero(bitmap_holds(table, h1))
+            pick = of[at].tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(texts, pa.int64()), *(pa.array([r[i] for r in rows], pa.int32()) for i in range(4)),
-                 pa.array(np.ascontiguousarray(digest["a"])), pa.array(np.ascontiguousarray(digest["b"]))], names)
+                [pa.array([keys[i] for i in pick], pa.int64()), pa.array([hashes[i] for i in pick], pa.int64()),
+                 *(pa.array(x[at].astype(np.int32)) for x in (number, start, stop, words)),
+                 *(pa.array(x[at].view(np.int64)) for x in (h1, h2))], names)
 
-    return (short_batches(docs).select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-            .mapInArrow(run, "k long, t long, unit int, start int, length int, words int, h1 long, h2 int"))
+    return texts.select("k", "t", "text").mapInArrow(run, "k long, t long, unit int, start int, stop int, words int, h1 long, h2 long")
 
 
 def windows(docs: DataFrame, asks: DataFrame) -> DataFrame:
@@ -138,12 +194,23 @@ def compared(edges: DataFrame) -> DataFrame:
 
 def extended(docs: DataFrame, islands: DataFrame) -> DataFrame:
     """islands (k, t, start, stop, words, head, tail), each grown word by word on both sides as far as its words are those around the
-    kept occurrence of its first and of its last unit. Rounds look ever further, until every edge has met a difference or an end."""
+    kept occurrence of its first and of its last unit. Rounds look ever further, until every edge has met a difference or an end. Only
+    texts in which a run is or is kept are moved."""
     base = ["k", "t", "start", "stop", "words", F.col("head.first").alias("first")]
     edges = cut(islands.select(*base, F.col("start").alias("at"), F.lit(-FIRST_LOOK).alias("n"), F.col("head.first.k").alias("kk"),
                                F.col("head.first.t").alias("kt"), F.col("head.first.start").alias("kat"))
                 .unionByName(islands.select(*base, F.col("tail.start").alias("at"), (F.col("tail.words") + FIRST_LOOK).alias("n"),
                                             F.col("tail.first.k").alias("kk"), F.col("tail.first.t").alias("kt"), F.col("tail.first.start").alias("kat"))))
+    involved = cut(edges.select("t").unionByName(edges.select(F.col("kt").alias("t"))).distinct().select("t", F.xxhash64("t").alias("h")))
+    shared, tables = bitmap_of(involved, "h", bits_for(involved)), []
+
+    @F.arrow_udf("boolean")
+    def is_involved(h: pa.Array) -> pa.Array:
+        if not tables:
+            tables.append(bitmap_table(shared.value))
+        return pa.array(bitmap_holds(tables[0], h.to_numpy(zero_copy_only=False).astype(np.int64).view(U)))
+
+    docs = short_batches(docs).filter(is_involved(F.xxhash64("t")))
     done = None
     while True:
         asks = edges.select("k", "t", "at", "n").unionByName(edges.select(F.col("kk").alias("k"), F.col("kt").alias("t"), F.col("kat").alias("at"), "n")).distinct()
@@ -168,35 +235,36 @@ def extended(docs: DataFrame, islands: DataFrame) -> DataFrame:
                         F.coalesce("kept_back", "first.start").alias("ks"))
 
 
-def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, least_words: int = LEAST_WORDS, key: str = "doc_id",
-                      text: str = "text", by_text: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text", by_text: bool = False,
+                      run_words: int = 0) -> DataFrame:
     """The spans to remove: doc_id, start, length (code points of the original text), words, kept_doc_id, kept_start.
 
-    Units are the sentences of each line, long ones in parts. Their digests are grouped over all documents, and the occurrence that
-    ranks first, by document key and then by offset, is kept. The others are repeats; consecutive repeats of a document are one
-    run. Each run is extended word by word on both sides while its words are those of the kept text, runs that then meet are one, and
-    those of ``run_words`` words or more are spans. Shorter repeats, such as common phrases and headings, stay. Units of fewer than
-    ``least_words`` words are not compared by digest and do not interrupt a run. ``kept_doc_id`` and ``kept_start`` tell where the
-    beginning of the span is kept.
+    Units are lines, long ones in parts (``units_of``). Their digests are grouped over all documents, and the occurrence that ranks first,
+    by document key and then by offset, is kept; all others go. Repeats that follow each other without a word between are one run.
+    Each run is extended word by word on both sides while its words are those of the kept text, and runs that then meet are one span.
+    ``run_words`` asks for spans of that many words at least; by default every repeat is a span. ``kept_doc_id`` and ``kept_start`` tell
+    where the beginning of the span is kept.
 
     A null or empty text has no units. Rows without a key rank first. Rows that share a key (or have none) and the text count as
     one document; different texts under one key are documents of their own, ordered by a hash of the text, whose spans
-    ``by_text`` tells apart in a last column ``text_hash``. No rows: no rows. The grouping shuffles digests with their offsets; a
-    frequent unit is reduced to one row per task before it, and on the way back adaptive execution splits it. For the extension,
-    each text with a run meets the places asked for in it once a round.
+    ``by_text`` tells apart in a last column ``text_hash``. No rows: no rows. The first grouping shuffles bare digests; a frequent unit is
+    one row per task and group of texts there, and adaptive execution splits it where the repeats meet the kept occurrences. For the
+    extension, each text with a run meets the places asked for in it once a round.
     """
-    units = text_units(docs, least_words, key, text)
+    docs = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    units = cut(repeated_units(docs, least_words))
     kept = (units.groupBy("h1", "h2").agg(F.min(F.struct("k", "t", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
             .filter("n > 1").select("h1", "h2", "first"))
     repeats = (units.join(kept, ["h1", "h2"])
                .filter(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("t") == F.col("first.t")) & (F.col("start") == F.col("first.start"))))
-               .select("k", "t", "unit", "start", "length", "words", "first"))
+               .select("k", "t", "unit", "start", "stop", "words", "first"))
     order = Window.partitionBy("k", "t").orderBy("unit")
     once = repeats.withColumn("before", F.lag("unit").over(order)).filter("before IS NULL OR before <> unit")  # equal rows: one document
-    islands = once.withColumn("island", F.col("unit") - F.row_number().over(order)).groupBy("k", "t", "island").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("stop"), F.sum("words").alias("words"),
-        F.min(F.struct("start", "first")).alias("head"), F.max(F.struct("start", "words", "first")).alias("tail"))
-    grown = extended(docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text")), islands)
+    so_far = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    islands = cut(once.withColumn("island", F.col("unit") - so_far).groupBy("k", "t", "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"),
+        F.min(F.struct("start", "first")).alias("head"), F.max(F.struct("start", "words", "first")).alias("tail")))
+    grown = extended(docs, islands)
     line = Window.partitionBy("k", "t").orderBy("start", "stop")
     reach = F.coalesce(F.max("w1").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     spans = (grown.withColumn("reach", reach).withColumn("run", F.sum(F.when(F.col("w0") > F.col("reach"), 1).otherwise(0)).over(line))

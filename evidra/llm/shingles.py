@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
 U = np.uint64
+ODD = re.compile(r"[^\w\x00-\x7f]")  # beyond ASCII, and in no word
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[c for c in range(128) if chr(c).isalnum() or c == 95]] = True
 WORD_BYTE[128:] = True
@@ -30,8 +34,13 @@ def odd_numbers(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed)) | U(1)
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start byte) of every run of word bytes: a polynomial of its bytes, from two prefix sums."""
+def plain(text: str) -> str:
+    """The text with every character beyond ASCII that is in no word as a blank: bytes then tell words, and places stay."""
+    return text if text.isascii() else ODD.sub(" ", text)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start byte, stop byte) of every run of word bytes: a polynomial of its bytes, from two prefix sums."""
     raw = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(raw) + 2, bool)
     inside[1:-1] = WORD_BYTE[raw]
@@ -40,13 +49,45 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(raw) + 1, U)
     np.cumsum((raw.astype(U) + U(1)) * powers(BASE, max(len(raw), 1))[:len(raw)], out=sums[1:])
     down = powers(BASE_INVERSE, max(len(raw), 1))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U)), starts
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U)), starts, ends
+
+
+def runs_hashed(word: np.ndarray, first: np.ndarray, stop: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits for each run of words [first, stop): a polynomial of their hashes."""
+    base = odd_numbers(seed, 1)[0]
+    n = max(len(word), 1)
+    sums = np.zeros(len(word) + 1, U)
+    np.cumsum(word * powers(base, n)[:len(word)], out=sums[1:])
+    down = powers(U(pow(int(base), -1, 1 << 64)), n)
+    return mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(U))
+
+
+def bitmap_of(hashes: DataFrame, column: str, bits: int):
+    """A set of 64-bit hashes as one bit for each value of their top bits, which may hold more, never less. Spark puts the bits together in
+    words of 64; the driver receives at most 2 ** (bits - 6) words and broadcasts them as plain arrays."""
+    place = F.shiftrightunsigned(F.col(column), 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    got = (hashes.select(F.shiftright(place, 6).cast("int").alias("at"), bit.alias("bit"))
+           .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
+    return hashes.sparkSession.sparkContext.broadcast((bits, got.column("at").to_numpy(), got.column("bits").to_numpy()))
+
+
+def bitmap_table(value: tuple) -> np.ndarray:
+    bits, at, words = value
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[at] = words
+    return out.view(U)
+
+
+def bitmap_holds(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes >> U(64 - (len(table).bit_length() - 1 + 6))
+    return (table[place >> U(6)] >> (place & U(63))) & U(1) == U(1)
 
 
 def shingle_sets(texts: list, words: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``words`` words.
 
-    A word is a run of ASCII letters, digits, underscores and of any characters beyond ASCII; texts come lower-cased. A text of
+    A word is a run of letters, digits and underscores, in any script; texts come lower-cased. A text of
     fewer words is one shingle of all it has; a text without words, or None, has none.
     """
     out: list[np.ndarray] = []
@@ -55,10 +96,10 @@ def shingle_sets(texts: list, words: int = 5) -> list[np.ndarray]:
     while at < len(texts):
         group, size = [], 0
         while at < len(texts) and (not group or size < STEP):
-            group.append((texts[at] or "").encode())
+            group.append(plain(texts[at] or "").encode())
             size += len(group[-1]) + 1
             at += 1
-        word, start = _word_hashes(b"\n".join(group))
+        word, start, _ = word_hashes(b"\n".join(group))
         begins = np.concatenate(([0], np.cumsum([len(g) + 1 for g in group])))
         first = np.searchsorted(start, begins)
         n = len(word) - words + 1
