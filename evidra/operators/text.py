@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from evidra.functions import trie
 from evidra.functions.pyudfs import nfc
-from evidra.functions.strings import BLANK, LINE_BLANK, one_space, words
+from evidra.functions.strings import BLANK, LINE_BLANK, one_space
+from evidra.session import cut
 
 MAX_QUOTE = 2000
 # Words that mark a sentence about an organization
@@ -93,36 +98,53 @@ def match_version(recorded: DataFrame, versions: DataFrame) -> DataFrame:
     return recorded.join(hashed, ["id", "hash"], "left").select("id", "version")
 
 
-def phrase_match(phrases: DataFrame, docs: DataFrame) -> DataFrame:
+PART_PHRASES = 200_000  # phrases of one trie, which the driver builds and every task gets
+
+
+def phrase_match(phrases: DataFrame, docs: DataFrame, part_phrases: int = PART_PHRASES) -> DataFrame:
     """doc_id, entity, priority: entities whose phrases occur as whole-word sequences, case and punctuation ignored.
 
     phrases: entity, phrase, kind ('symbol', 'name' or 'alias'), ambiguous. docs: doc_id, text and the fields title and
     population, which only decide the priority: 0 a main phrase in the title, 1 in the population field, 2 elsewhere in the
     text, 3 only an alias. An ambiguous symbol counts only when it occurs with its exact spelling or a name occurs as well.
 
-    Blocking: a document is paired with a phrase only through the phrase's rarest word, then the whole word sequence is
-    looked for in the document's word string, which is built once per document.
+    The phrases are cut by a hash of their words into parts of about ``part_phrases``; each part is a trie of words that walks every
+    document once, so there are no candidate rows, whatever words a phrase is made of, and a longer list of phrases takes more passes
+    instead of more memory. Only hits are shuffled.
     """
-    def word_string(field):
-        return F.concat(F.lit(" "), F.array_join(words(field), " "), F.lit(" "))
-    texts = docs.select("doc_id", "text", word_string("text").alias("said"), word_string("title").alias("title"), word_string("population").alias("population"))
-    doc_words = docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))
-    spread = doc_words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    p = (phrases.withColumn("want", words("phrase")).where(F.size("want") > 0)
-         .withColumn("pid", F.sha2(F.concat_ws("\x00", F.col("entity").cast("string"), "kind", "phrase"), 256))
-         .withColumn("sequence", F.concat(F.lit(" "), F.array_join("want", " "), F.lit(" "))))
-    # a word the documents never use rules its phrase out
-    spelled = p.select("pid", F.explode(F.array_distinct("want")).alias("word")).join(spread, "word", "left")
-    anchor = (spelled.groupBy("pid").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.count_if(F.col("df").isNull()).alias("unknown"))
-              .where("unknown = 0").select("pid", "word"))
-    anchored = p.join(anchor, "pid").select("word", "entity", "kind", "phrase", "ambiguous", "sequence")
-    hits = doc_words.join(anchored, "word").join(texts, "doc_id").where(F.contains("said", F.col("sequence")))
-    exact = F.regexp_instr("text", F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("phrase"), F.lit(r"\E(?![\p{L}\p{N}_])"))) > 0
-    main = F.col("kind") != "alias"
-    level = (F.when(main & F.contains("title", F.col("sequence")), 0).when(main & F.contains("population", F.col("sequence")), 1)
-             .when(main, 2).otherwise(3))
-    return (hits.withColumn("firm", (F.col("kind") != "symbol") | ~F.col("ambiguous") | exact).withColumn("level", level)
-            .groupBy("doc_id", "entity").agg(F.bool_or("firm").alias("firm"), F.min("level").alias("priority"))
+    spark = docs.sparkSession
+    listed = cut(phrases.select("entity", "phrase", "kind", "ambiguous").where("phrase IS NOT NULL").distinct())
+    parts = -(-listed.count() // part_phrases)
+    rows = docs.select("doc_id", "text", "title", "population")
+    schema = T.StructType([docs.schema["doc_id"], phrases.schema["entity"], T.StructField("firm", T.BooleanType()), T.StructField("level", T.IntegerType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    hits = None
+    for part in range(parts):
+        mine = listed.where(F.pmod(F.xxhash64(F.lower("phrase")), F.lit(parts)) == part).toArrow().to_pylist()
+        shared = spark.sparkContext.broadcast((trie.build([m["phrase"] for m in mine]), [tuple(m.values()) for m in mine]))
+
+        def run(batches, shared=shared):
+            (nodes, ends), listed = shared.value
+            spelled = trie.Spelled()
+            for batch in batches:
+                out = [[], [], [], []]
+                for doc, text, title, population in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    heads = None
+                    for number in trie.found(nodes, ends, trie.tokens(text)):
+                        entity, phrase, kind, ambiguous = listed[number]
+                        if heads is None:
+                            heads = [trie.found(nodes, ends, trie.tokens(field)) for field in (title, population)]
+                        level = 3 if kind == "alias" else 0 if number in heads[0] else 1 if number in heads[1] else 2
+                        firm = kind != "symbol" or not ambiguous or spelled(phrase, text)
+                        for column, value in zip(out, (doc, entity, firm, level)):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], schema.names)
+
+        found = rows.mapInArrow(run, schema)
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = spark.createDataFrame([], schema)
+    return (hits.groupBy("doc_id", "entity").agg(F.bool_or("firm").alias("firm"), F.min("level").alias("priority"))
             .where("firm").select("doc_id", "entity", "priority"))
 
 

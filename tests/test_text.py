@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -43,6 +44,34 @@ def test_phrase_match_rules(spark):
     assert got == {(1, "c2"): 2, (2, "c1"): 0, (3, "c1"): 1, (4, "c2"): 3}
 
 
+def test_phrase_match_like_brute_force_with_many_phrases(spark):
+    rng = random.Random(8)
+    common = [f"w{i}" for i in range(30)]
+    rare = [f"Zé{i}" for i in range(3000)]
+    rows = [(i % 4000, rng.choice([" ", "-", "_, "]).join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(rng.randrange(1, 6))),
+             rng.choice(["symbol", "name", "alias"]), rng.random() < 0.3) for i in range(10_000)]
+    rows += [(9000, "w1 w2", "symbol", True), (9001, "-- ", "name", False), (9002, None, "name", False), (9003, " ".join(["w3"] * 1500), "name", False)]
+    texts = [" ".join(rng.choice(common if rng.random() < 0.8 else rare) for _ in range(60)) for _ in range(40)] + ["W1 W2", "w1, w2", "", None, " ".join(["w3"] * 1600)]
+    docs = [(i, t, (t or "")[:30], None if i % 3 else (t or "")[30:90]) for i, t in enumerate(texts)]
+    split = lambda s: re.findall(r"[^\W_]+", (s or "").lower())
+    said = lambda s: " " + " ".join(split(s)) + " "
+    want = {}
+    for d, text, title, population in docs:
+        for entity, phrase, kind, ambiguous in rows:
+            p = said(phrase)
+            if p.strip() and p in said(text):
+                level = 3 if kind == "alias" else 0 if p in said(title) else 1 if p in said(population) else 2
+                firm = kind != "symbol" or not ambiguous or re.search(r"(?<!\w)" + re.escape(phrase) + r"(?!\w)", text) is not None
+                old = want.get((d, entity), (False, 9))
+                want[d, entity] = (old[0] or firm, min(old[1], level))
+    phrases = spark.createDataFrame(rows, "entity long, phrase string, kind string, ambiguous boolean")
+    df = spark.createDataFrame(docs, "doc_id long, text string, title string, population string").repartition(3)
+    for part in (200_000, 4000):
+        got = {(r.doc_id, r.entity): r.priority for r in X.phrase_match(phrases, df, part).collect()}
+        assert got == {k: level for k, (firm, level) in want.items() if firm} and len(got) > 1000
+    assert X.phrase_match(phrases.limit(0), df).collect() == []
+
+
 def test_excerpt_windows_do_not_overlap(spark):
     text = "x" * 50 + "HIT" + "y" * 300 + "HIT" + "z" * 20 + "HIT" + "w" * 500 + "HIT" + "v" * 400 + "HIT" + "u" * 10
     got = one(spark, e=X.excerpt(F.lit(text), F.lit("HIT"), 100)).e
