@@ -2,11 +2,15 @@
 
 Leaves are sha256(00 || data), nodes sha256(01 || left || right), an odd node moves up unchanged. The log carries its own
 dense sequence number, so a level needs no global sort: nodes are grouped FAN at a time by index div FAN and each group is
-folded to one node inside its row. A log of n rows takes log_FAN(n) shuffles, each FAN times smaller than the last.
+folded to one node inside its row. A log of n rows takes log_FAN(n) shuffles, each FAN times smaller than the last. The groups can be
+stored as tiles, from which proofs of inclusion and of consistency are read.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,26 +67,146 @@ def merkle_root(log: DataFrame, seq: str = "seq", data: str = "data") -> DataFra
     return size.join(F.broadcast(nodes)).select("size", F.lower(F.hex("h")).alias("root"))  # one row each
 
 
-def inclusion_proofs(log: DataFrame, wanted: DataFrame, seq: str = "seq", data: str = "data") -> DataFrame:
-    """seq, proof: the sibling hashes (hex, leaf level first) that connect each wanted row to the root.
+def tiles(log: DataFrame, seq: str = "seq", data: str = "data") -> DataFrame:
+    """The tree as rows: level, tile, nodes (binary array). A tile holds up to FAN consecutive nodes of its level; a node of a level is
+    the root of a tile of the level below, so level 0 holds the leaves and the last level one tile. ``write_tiles`` keeps them as files."""
+    nodes, out, level = leaves(log, seq, data), None, 0
+    n = log.count()
+    while n > 0:
+        groups = cut(_gathered(nodes).select(F.lit(level).alias("level"), F.col("idx").alias("tile"), "nodes"))
+        out = groups if out is None else out.unionByName(groups)
+        if n <= FAN:
+            break
+        nodes, n, level = _fold(groups.select(F.col("tile").alias("idx"), "nodes")), -(-n // FAN), level + 1
+    return out if out is not None else _gathered(nodes).select(F.lit(0).alias("level"), F.col("idx").alias("tile"), "nodes")
+
+
+def write_tiles(log: DataFrame, path: str, seq: str = "seq", data: str = "data") -> None:
+    """Tiles as Parquet, a folder per level and sorted by tile, so that a proof reads the few row groups that it needs."""
+    tiles(log, seq, data).repartitionByRange("level", "tile").sortWithinPartitions("level", "tile").write.partitionBy("level").parquet(path)
 
-    Per tree level one join of the wanted rows to the level's nodes; levels shrink by half, and a missing sibling (an odd
-    node moving up) adds nothing.
+
+def inclusion_proofs(log: DataFrame, wanted: DataFrame, seq: str = "seq", data: str = "data") -> DataFrame:
+    """seq, proof: the sibling hashes (hex, leaf level first) that connect each wanted row to the root."""
+    return proofs_from_tiles(tiles(log, seq, data), wanted)
+
+
+def proofs_from_tiles(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """seq, proof for each wanted seq. Inside a tile all its levels are folded in the row, and every node reads its siblings there; a missing
+    sibling (an odd node moving up) adds nothing. Tiles meet the proof of their own root, so a log of n rows takes log_FAN(n) joins, each
+    of FAN times fewer rows, and one with the wanted rows."""
+    levels = (stored.agg(F.max("level")).first()[0] or 0) + 1
+    above = None
+    for level in range(levels - 1, -1, -1):
+        df = stored.where(F.col("level") == level).select("tile", F.col("nodes").alias("n0"))
+        for i in range(1, FAN_BITS):
+            df = df.withColumn(f"n{i}", _next_level(F.col(f"n{i - 1}")))
+            df = df.select("tile", *(f"n{k}" for k in range(i)), F.transform(f"n{i}", lambda x: x).alias(f"n{i}"))
+        sibling = lambda p: F.array_compact(F.array(*[F.lower(F.hex(F.get(f"n{i}", F.shiftright(p, i).bitwiseXOR(F.lit(1)).cast("int")))) for i in range(FAN_BITS)]))
+        parts = df.select("tile", F.posexplode(F.transform("n0", lambda _, p: sibling(p))).alias("p", "part"))
+        here = parts.select((F.col("tile") * FAN + F.col("p")).alias("at"), "tile", "part")
+        if above is not None:
+            here = here.join(above.select(F.col("at").alias("tile"), "proof"), "tile").withColumn("part", F.concat("part", "proof"))
+        above = here.select("at", F.col("part").alias("proof"))
+    return wanted.select("seq").join(above.withColumnRenamed("at", "seq"), "seq")
+
+
+def prefix_ranges(old: int, new: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(proof, head): the runs of leaves whose roots prove that the first ``old`` of ``new`` leaves are a prefix, in proof order, and those
+    whose roots make up the root of the first ``old``, left to right. Every run is a whole subtree of the ``new`` leaves."""
+    proof, head = [], []
+    start, end, known = 0, new, True  # known: the verifier has this subtree's root, as it is the old tree itself
+    while old - start < end - start:
+        half = 1 << (end - start - 1).bit_length() - 1
+        if old <= start + half:
+            proof.append((start + half, end))
+            end = start + half
+        else:
+            proof.append((start, start + half))
+            start, known = start + half, False
+    if not known:
+        proof.append((start, end))
+    at = 0
+    for bit in range(old.bit_length() - 1, -1, -1):
+        if old >> bit & 1:
+            head.append((at, at + (1 << bit)))
+            at += 1 << bit
+    return proof[::-1], head
+
+
+def consistency_proofs(stored: DataFrame, heads: DataFrame, size: int) -> DataFrame:
+    """old_size, proof (hex array), old_root (hex): for each size in ``heads`` (old_size, between 1 and ``size``) the O(log n) hashes that
+    prove the tree of ``size`` leaves extends the tree of the first old_size, and that tree's root.
+
+    Each hash is the root of a run of nodes inside one tile, so the runs join the stored tiles on (level, tile) and fold in the row.
     """
-    nodes = cut(leaves(log, seq, data))
-    n = nodes.count()
-    path = wanted.select(F.col("seq"), F.col("seq").cast("long").alias("at"), F.array().cast("array<string>").alias("proof"))
-    while n > 1:
-        sibling = nodes.select(F.col("idx").bitwiseXOR(F.lit(1)).alias("at"), F.lower(F.hex("h")).alias("s"))
-        path = (path.join(sibling, "at", "left")
-                .select("seq", F.shiftrightunsigned("at", 1).alias("at"),
-                        F.when(F.col("s").isNull(), F.col("proof")).otherwise(F.concat("proof", F.array("s"))).alias("proof")))
-        pairs = nodes.groupBy(F.shiftrightunsigned("idx", 1).alias("idx")).agg(
-            F.max(F.when(F.col("idx").bitwiseAND(F.lit(1)) == 0, F.col("h"))).alias("l"), F.max(F.when(F.col("idx").bitwiseAND(F.lit(1)) == 1, F.col("h"))).alias("r"))
-        nodes = cut(pairs.select("idx", F.when(F.col("r").isNull(), F.col("l")).otherwise(node_hash(F.col("l"), F.col("r"))).alias("h")))
-        path = cut(path)
-        n = (n + 1) // 2
-    return path.select("seq", "proof")
+    fan, bits = FAN, FAN_BITS
+
+    def run(batches):
+        for batch in batches:
+            out = [[] for _ in range(7)]
+            for old in batch.column(0).to_pylist():
+                if old is None or not 0 < old <= size:
+                    continue
+                for kind, ranges in enumerate(prefix_ranges(old, size)):
+                    for place, (a, b) in enumerate(ranges):
+                        level = max((b - a - 1).bit_length() - 1, 0) // bits  # the run is some nodes of one tile there
+                        cover = fan ** level
+                        for column, value in zip(out, (old, kind, place, level, a // cover // fan, a // cover % fan, -(-(b - a) // cover))):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["old_size", "kind", "place", "level", "tile", "first", "n"])
+
+    asked = heads.select(F.col("old_size").cast("long").alias("old_size")).distinct().mapInArrow(
+        run, "old_size long, kind long, place long, level long, tile long, first long, n long")
+    met = asked.join(stored.withColumn("level", F.col("level").cast("long")), ["level", "tile"])
+    df = met.select("old_size", "kind", "place", F.slice("nodes", (F.col("first") + 1).cast("int"), F.col("n").cast("int")).alias("nodes"))
+    for _ in range(FAN_BITS):
+        df = df.withColumn("nodes", _next_level(F.col("nodes")))
+        df = df.select("old_size", "kind", "place", F.transform("nodes", lambda x: x).alias("nodes"))
+    listed = df.groupBy("old_size").agg(F.array_sort(F.collect_list(F.struct("kind", "place", F.col("nodes")[0].alias("h")))).alias("l"))
+    part = lambda kind: F.transform(F.filter("l", lambda x: x["kind"] == kind), lambda x: x["h"])
+    root = F.aggregate(F.reverse(part(1)), F.lit(None).cast("binary"), lambda r, h: F.when(r.isNull(), h).otherwise(node_hash(h, r)))
+    return listed.select("old_size", F.transform(part(0), lambda h: F.lower(F.hex(h))).alias("proof"), F.lower(F.hex(root)).alias("old_root"))
+
+
+def extends(old_size: int, new_size: int, proof: list[str], old_root: str, new_root: str) -> bool:
+    """Whether a proof shows that the tree with ``new_root`` extends the one with ``old_root``: both roots are rebuilt from its hashes.
+    The bits of the last old place tell on which side each hash stands; one on the left belongs to both trees, one on the right to the new."""
+    if not 0 < old_size <= new_size:
+        return False
+    if old_size == new_size:
+        return not proof and old_root == new_root
+    def node(a, b):
+        return hashlib.sha256(b"\x01" + a + b).digest()
+    left = [bytes.fromhex(h) for h in proof]
+    at, last = old_size - 1, new_size - 1
+    whole = (~at & at + 1).bit_length() - 1  # the old tree's last subtree that is whole
+    at, last = at >> whole, last >> whole
+    if at:
+        if not left:
+            return False
+        old = new = left.pop(0)
+    else:
+        old = new = bytes.fromhex(old_root)
+    for h in left:
+        while not at & 1 and at == last and at:  # no node to the right: moves up as it is
+            at, last = at >> 1, last >> 1
+        if not last:
+            return False
+        if at & 1:
+            old, new = node(h, old), node(h, new)
+        else:
+            new = node(new, h)
+        at, last = at >> 1, last >> 1
+    return last == 0 and old.hex() == old_root and new.hex() == new_root
+
+
+def verify_consistency(proofs: DataFrame, size: int, root: str) -> DataFrame:
+    """proofs (old_size, proof, old_root) with ``consistent``: whether each proves that the tree of ``size`` leaves and ``root`` extends it."""
+    @F.arrow_udf("boolean")
+    def check(old_size: pa.Array, proof: pa.Array, old_root: pa.Array) -> pa.Array:
+        return pa.array([extends(m, size, p, r, root) for m, p, r in zip(*(x.to_pylist() for x in (old_size, proof, old_root)))], pa.bool_())
+    return proofs.withColumn("consistent", check("old_size", "proof", "old_root"))
 
 
 def verify_inclusion(proofs: DataFrame, size: int) -> DataFrame:

@@ -35,6 +35,25 @@ def inclusion_proofs(t):
     return I.inclusion_proofs(log(t), wanted).withColumn("proof", F.array_join("proof", ","))
 
 
+@query("consistency_proofs", f"""WITH RECURSIVE {LEVELS},
+node AS (SELECT d, unnest(range(0, len(hs))) AS i, unnest(hs) AS h FROM lv),
+size AS (SELECT count(*) AS n FROM orders), heads AS (SELECT DISTINCT 1 + s_suppkey * n // (SELECT count(*) FROM supplier) AS m FROM supplier, size),
+sub AS (SELECT m AS head, 0 AS step, CAST(0 AS BIGINT) AS a, n AS b, true AS known, NULL::BIGINT AS x, NULL::BIGINT AS y FROM heads, size
+  UNION ALL SELECT head, step + 1, CASE WHEN head <= a + k THEN a ELSE a + k END, CASE WHEN head <= a + k THEN a + k ELSE b END, known AND head <= a + k,
+    CASE WHEN head <= a + k THEN a + k ELSE a END, CASE WHEN head <= a + k THEN b ELSE a + k END
+  FROM (SELECT *, CAST(pow(2, ceil(log2(b - a)) - 1) AS BIGINT) AS k FROM sub WHERE head < b)),
+run AS (SELECT head, step, x, y FROM sub WHERE x IS NOT NULL UNION ALL SELECT head, step + 1, a, b FROM sub WHERE head = b AND NOT known),
+met AS (SELECT head, step, h FROM (SELECT *, CAST(ceil(log2(y - x)) AS BIGINT) AS d FROM run) r JOIN node ON node.d = r.d AND node.i = x >> r.d)
+SELECT m AS old_size, coalesce(string_agg(h, ',' ORDER BY step DESC), '') AS proof, true AS consistent FROM heads LEFT JOIN met ON head = m GROUP BY m""")
+def consistency_proofs(t):
+    """Tree heads spread over the log, one for each supplier, and the proof that the whole log extends each of them."""
+    size, stored = t.orders.count(), I.tiles(log(t))
+    heads = t.supplier.selectExpr(f"CAST(1 + s_suppkey * {size} div {t.supplier.count()} AS BIGINT) AS old_size")
+    root = I.merkle_root(log(t)).first()["root"]
+    return I.verify_consistency(I.consistency_proofs(stored, heads, size), size, root).select(
+        "old_size", F.array_join("proof", ",").alias("proof"), "consistent")
+
+
 @query("prefix_consistent", """SELECT CAST(count(*) FILTER (o_orderkey < n // 2) AS BIGINT) AS old_size, CAST(count(*) AS BIGINT) AS new_size,
   CAST(count(*) FILTER (o_orderkey < n // 2 AND o_totalprice > 499000) AS BIGINT) AS missing, count(*) FILTER (o_orderkey < n // 2 AND o_totalprice > 499000) = 0 AS consistent
 FROM orders, (SELECT count(*) AS n FROM orders) GROUP BY ALL""")

@@ -123,6 +123,55 @@ def test_merkle_root_over_several_groups(spark, monkeypatch):
         assert I.merkle_root(log).first()["root"] == merkle(leaves).hex()
 
 
+def test_consistency_of_every_prefix(spark, monkeypatch):
+    hashed = [hashlib.sha256(b"\x00" + f"event-{i}".encode()).digest() for i in range(90)]
+
+    def subproof(m, leaves, known):
+        if m == len(leaves):
+            return [] if known else [merkle(leaves)]
+        k = 1
+        while k * 2 < len(leaves):
+            k *= 2
+        return subproof(m, leaves[:k], known) + [merkle(leaves[k:])] if m <= k else subproof(m - k, leaves[k:], False) + [merkle(leaves[:k])]
+
+    for n in range(1, 34):  # every pair by the rule alone
+        root = merkle(hashed[:n]).hex()
+        for m in range(1, n + 1):
+            runs, head = I.prefix_ranges(m, n)
+            proof = [merkle(hashed[a:b]).hex() for a, b in runs]
+            assert proof == [h.hex() for h in subproof(m, hashed[:n], True)]
+            old = merkle(hashed[:m]).hex()
+            assert I.extends(m, n, proof, old, root) and head[-1][1] == m
+            assert not I.extends(m, n, proof, "00" * 32, root) and not I.extends(m, n, proof, old, "00" * 32)
+            assert not I.extends(m, n, [*proof, old], old, root)
+            for i in range(len(proof)):
+                assert not I.extends(m, n, [*proof[:i], "11" * 32, *proof[i + 1:]], old, root)
+                assert not I.extends(m, n, proof[:i] + proof[i + 1:], old, root)
+        assert not I.extends(n + 1, n, [], root, root) and not I.extends(0, n, [], root, root)
+    for bits in (2, 10):
+        monkeypatch.setattr(I, "FAN_BITS", bits)
+        monkeypatch.setattr(I, "FAN", 1 << bits)
+        for n in (1, 4, 23, 64, 90):
+            log = spark.createDataFrame([(i, f"event-{i}") for i in range(n)], "seq long, data string")
+            stored, heads = I.tiles(log), spark.range(-1, n + 3).withColumnRenamed("id", "old_size")
+            got = I.verify_consistency(I.consistency_proofs(stored, heads, n), n, merkle(hashed[:n]).hex()).collect()
+            assert len(got) == n and all(r.consistent for r in got)
+            for r in got:
+                assert r.old_root == merkle(hashed[:r.old_size]).hex() and list(r.proof) == [h.hex() for h in subproof(r.old_size, hashed[:n], True)]
+
+
+def test_proofs_from_stored_tiles(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(I, "FAN_BITS", 2)
+    monkeypatch.setattr(I, "FAN", 4)
+    for n in (1, 5, 16, 70):
+        leaves = [hashlib.sha256(b"\x00" + f"event-{i}".encode()).digest() for i in range(n)]
+        log = spark.createDataFrame([(i, f"event-{i}") for i in range(n)], "seq long, data string")
+        I.write_tiles(log, f"{tmp_path}/{n}")
+        proofs = I.proofs_from_tiles(spark.read.parquet(f"{tmp_path}/{n}"), log.select("seq"))
+        checked = I.verify_inclusion(proofs.join(log.select("seq", I.leaf_hash(F.col("data")).alias("leaf")), "seq"), n).collect()
+        assert len(checked) == n and {r["root"] for r in checked} == {merkle(leaves).hex()}
+
+
 def test_fnv_known_values(spark):
     def py(s):
         h = 2166136261
