@@ -1,3 +1,4 @@
+import os
 from collections import defaultdict
 
 import pytest
@@ -52,10 +53,25 @@ def test_documents_keep_their_columns(spark):
     assert linededup.deduped_documents(frames.docs(spark, [])).collect() == []
 
 
-def test_runs_compact_by_level(spark):
-    runs = linededup.LineRuns(spark, fanout=2)
+def test_runs_compact_by_level_and_hold_each_hash_once(spark):
+    runs = linededup.LineRuns(spark, fanout=2, buckets=3)
     for i in range(5):
-        runs.add(frames.docs(spark, [(i, frames.LINE)], clashes=False))
+        df = frames.docs(spark, [(10 * i + j, "\n".join([frames.LINE, f"{frames.LINE} of batch {i // 2}", f"{frames.LINE} {i} {j}"])) for j in range(2)], clashes=False)
+        runs.add(linededup.long_lines(df, 1).filter("fresh").select("h1", "h2", "k"))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert [(r.n_docs, r["last"]) for r in runs.merged().collect()] == [(5, 4)]
-    assert {r.k for r in runs.repeated(frames.docs(spark, [(9, frames.LINE), (3, frames.LINE)], clashes=False)).collect()} == {3}
+    assert runs.added == [4, 2, 3, 2, 3] and len(runs.hits) == 4  # what each batch brings that no run has
+    rows = [r for name in runs.runs() for r in spark.table(name).collect()]
+    assert len({(r.h1, r.h2) for r in rows}) == len(rows) == sum(runs.added)
+    assert sorted((r.n_docs, r["last"]) for r in runs.totals().collect() if r.n_docs > 1) == [(2, 41), (4, 11), (4, 31), (10, 41)]
+    anti = spark.table(runs.runs()[0]).select("h1", "h2").join(spark.table(runs.runs()[1]).hint("merge"), ["h1", "h2"], "left_anti")
+    plan = anti._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # runs are dealt out alike and do not move
+    names, folder = runs.runs(), runs.folder.removeprefix("file:")
+    runs.remove()
+    assert not any(spark.catalog.tableExists(n) for n in names) and not os.path.exists(folder)
+
+
+def test_one_key_with_many_texts(spark):
+    lines = [f"{'Common line with a number that makes it long'} {i}" for i in range(6)]
+    rows = [(None if i % 3 else 5, "\n".join([lines[i % 6], f"own {i}", lines[(i + 1) % 6]])) for i in range(60)] + [(9, "\n".join(lines))]
+    assert run(frames.docs(spark, rows)) == brute(rows)
