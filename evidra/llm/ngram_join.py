@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from evidra.session import cut
 
@@ -28,20 +28,24 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, noise_at:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, n, h1, h2, bands): size of each document's n-gram set, 128 bits of the set, and its band hashes."""
+    """(k, t, n, h1, h2, bands): a hash of each document's text, the size of its n-gram set, 128 bits of the set, and its band hashes."""
     factors = odd_numbers(5, bands * rows)
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole)):
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
             pairs = [set_hashes(s) for s in sets]
             found = [minhash_bands(s, factors, bands) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in pairs], pa.int64()),
-                 pa.array([p[1] for p in pairs], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["k", "n", "h1", "h2", "bands"])
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in pairs], pa.int64()),
+                 pa.array([p[1] for p in pairs], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["k", "t", "n", "h1", "h2", "bands"])
 
-    rows_in = docs.select(F.col(key).cast("long").alias("k"), F.lower(F.col(text)).alias("text"))
-    return short_batches(rows_in).mapInArrow(run, "k long, n long, h1 long, h2 long, bands array<long>")
+    return short_batches(lowered(docs, key, text)).mapInArrow(run, "k long, t long, n long, h1 long, h2 long, bands array<long>")
+
+
+def lowered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, t, text): key, hash of the text, and the text in lower case."""
+    return docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("t"), F.lower(F.col(text)).alias("text"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,18 +161,21 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     """
     bands, rows = choose_bands(threshold, recall)
     sig = cut(signatures(docs, words, bands, rows, key, text))
-    sets = sig.groupBy("h1", "h2", "n", "bands").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("copies"))
+    sets = sig.groupBy("h1", "h2", "n", "bands").agg(F.min("k").alias("first"), F.min(F.struct("k", "t")).alias("one"),
+                                                       F.count(F.lit(1)).alias("copies"))
     placed = sets.select("h1", F.posexplode("bands").alias("band", "hash")).select("h1", F.xxhash64("band", "hash").alias("bucket"))
     heads = placed.groupBy("bucket").agg(F.min("h1").alias("head"), F.max("h1").alias("tail")).filter("head < tail")
     edges = placed.join(heads, "bucket").filter("h1 <> head").select(F.col("h1").alias("a"), F.col("head").alias("b"))
     near = components(edges)
-    members = near.join(sets.select("h1", "n", "first", "copies"), F.col("node") == F.col("h1"))
+    members = near.join(sets.select("h1", "n", "one", "copies"), F.col("node") == F.col("h1"))
     weight = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)
     blocks = members.groupBy("root").agg(F.ceil(weight).cast("int").alias("blocks"))
     members = (members.join(blocks, "root")
-               .select("root", "h1", "n", "first", "copies", "blocks", F.pmod(F.xxhash64("h1"), "blocks").cast("int").alias("block")))
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.lower(F.col(text)).alias("text"))
-    units = (members.join(texts, F.col("first").eqNullSafe(F.col("k")))
+               .select("root", "h1", "n", "copies", "blocks", F.pmod(F.xxhash64("h1"), "blocks").cast("int").alias("block"),
+                       F.xxhash64("one.k", "one.t").alias("place"), F.col("one.t").alias("t")))
+    texts = lowered(docs, key, text).select(F.xxhash64("k", "t").alias("place"), "t", "text")  # each text of a key once, so that a set meets its own only
+    texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("place", "t").orderBy("t"))).filter("copy = 1").drop("copy")
+    units = (members.join(texts, ["place", "t"])
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "h1", "n", "copies",
                      "block", "text"))

@@ -84,3 +84,16 @@ def test_no_rows_and_nothing_near(spark):
 def test_banding_reaches_its_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9999
+
+
+def test_many_rows_on_one_key_or_none(spark):
+    rows = [(None if i % 3 else 7, t) for i, (_, t) in enumerate(near_copies(seed=8, groups=8, size=20))]
+    rows += [(None, rows[1][1])] * 60 + [(i, t) for i, (_, t) in enumerate(near_copies(seed=8, groups=2, size=4))]
+    assert run(frames.docs(spark, rows)) == brute(rows)
+
+
+def test_words_of_all_scripts(spark):
+    words = [f"mot{i}é" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, "　".join(words[:-1])), (4, " – ".join(f"“{w}”" for w in words)), (5, "".join(words))]
+    assert run(frames.docs(spark, rows)) == brute(rows)
+    assert [r[2] for r in brute(rows)] == [3, 3, 3, 3, 0]
