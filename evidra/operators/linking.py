@@ -63,9 +63,15 @@ def symbol_index(approved: DataFrame, aliases: DataFrame) -> DataFrame:
             .select("symbol", "b.id", F.when(F.col("b.priority") == 0, "approved").otherwise("alias").alias("kind")))
 
 
-def integrate_links(sources: Sequence[DataFrame], diseases: DataFrame, genes: DataFrame) -> DataFrame:
-    """Union of source links (disease, gene, source, strength, ref) whose both ends are known and strength is graded."""
-    links = reduce(DataFrame.unionByName, sources).where("strength <> 'none'")
+def integrate_links(sources: Sequence[DataFrame], diseases: DataFrame, genes: DataFrame, resubmitted: Sequence[str] = ()) -> DataFrame:
+    """Union of source links (disease, gene, source, strength, ref) whose both ends are known and strength is graded.
+
+    A source that gathers others' links names the ``submitter`` of each; those ``resubmitted`` are skipped, as the submitter's own
+    source brings them. Where a source has no such column its links are its own.
+    """
+    links = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources).where("strength <> 'none'")
+    if "submitter" in links.columns:
+        links = links.where(F.col("submitter").isNull() | ~F.col("submitter").isin(*resubmitted)).drop("submitter")
     return (links.join(diseases.select("disease").distinct(), "disease", "left_semi")
             .join(genes.select("gene").distinct(), "gene", "left_semi"))
 

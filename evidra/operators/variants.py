@@ -80,10 +80,10 @@ def class_mix(counts: DataFrame) -> DataFrame:
 
 
 def read_with_effect(reading, effect) -> Column:
-    """The class mix crossed with the curated effect."""
-    return (F.when((reading == "mostly truncating") & (effect == "loss_of_function"), "agrees: loss of function")
-            .when((reading == "mostly truncating") & (effect == "gain_of_function"), "differs from the curated effect")
-            .when((reading == "mostly missense") & (effect == "gain_of_function"), "fits a changed protein").otherwise(reading))
+    """The class mix crossed with the curated effect: whether what most variants do fits how the condition is thought to work."""
+    return (F.when((reading == "mostly truncating") & (effect == "loss_of_function"), "fits loss of function")
+            .when((reading == "mostly missense") & effect.isin("gain_of_function", "dominant_negative"), "fits a changed protein")
+            .otherwise(reading))
 
 
 def lookup_variants(queries: DataFrame, variants: DataFrame) -> DataFrame:

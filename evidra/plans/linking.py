@@ -74,15 +74,16 @@ links AS (SELECT *, {STRENGTH} AS strength FROM raw WHERE {STRENGTH} <> 'none'
 def links_of(t):
     graded = t.lineitem.join(t.orders.selectExpr("o_orderkey AS l_orderkey", "o_orderpriority"), "l_orderkey")
 
-    def slice_(df, flag, source, confidence):
+    def slice_(df, flag, source, confidence, *submitter):
         return (df.where(F.col("l_returnflag") == flag)
                 .select(F.col("l_orderkey").alias("disease"), F.col("l_suppkey").alias("gene"), F.lit(source).alias("source"),
-                        vocab.link_strength(F.lit(source), confidence).alias("strength"), F.col("l_partkey").alias("ref")))
+                        vocab.link_strength(F.lit(source), confidence).alias("strength"), F.col("l_partkey").alias("ref"),
+                        *(c.alias("submitter") for c in submitter)))
     sources = [slice_(t.lineitem, "R", "MONDO", F.lit("")),
                slice_(graded, "A", "G2P", F.expr(CONFIDENCE)),
-               slice_(graded.where("o_orderpriority <> '4-NOT SPECIFIED'"), "N", "GenCC", F.expr(CONFIDENCE))]
+               slice_(graded, "N", "GenCC", F.expr(CONFIDENCE), F.col("o_orderpriority"))]
     return L.integrate_links(sources, t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("disease")),
-                             t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("gene")))
+                             t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("gene")), resubmitted=["4-NOT SPECIFIED"])
 
 
 @query("integrate_links", f"""WITH {LINKS}

@@ -73,12 +73,20 @@ def gene_rows(t):
     return V.gene_rows(gene_variants(t), 6000).select("gene", "variant", "class", "pos")
 
 
-@query("class_mix", f"""WITH {TYPED}, c AS (SELECT l_partkey AS id, count(*) AS n, count(*) FILTER (type IN ('nonsense', 'frameshift', 'splice', 'start', 'large')) AS t, count(*) FILTER (type = 'missense') AS m
-  FROM typed WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT id, CAST(n AS BIGINT) AS n, CASE WHEN n < 5 THEN 'too few' WHEN t / n >= 0.5 THEN 'mostly truncating' WHEN m / n >= 0.6 THEN 'mostly missense' ELSE 'mixed' END AS reading FROM c""")
+# A part and a line number are a condition; its curated effect goes by the part's size.
+EFFECT = "CASE p_size % 4 WHEN 0 THEN 'loss_of_function' WHEN 1 THEN 'gain_of_function' WHEN 2 THEN 'dominant_negative' ELSE '' END"
+
+
+@query("class_mix", f"""WITH {TYPED}, c AS (SELECT l_partkey AS part, l_linenumber AS line, count(*) AS n,
+    count(*) FILTER (type IN ('nonsense', 'frameshift', 'splice', 'start', 'large')) AS t, count(*) FILTER (type = 'missense') AS m FROM typed GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN n < 5 THEN 'too few' WHEN t / n >= 0.5 THEN 'mostly truncating' WHEN m / n >= 0.6 THEN 'mostly missense' ELSE 'mixed' END AS mix, {EFFECT} AS effect FROM c JOIN part ON p_partkey = part)
+SELECT part, line, CAST(n AS BIGINT) AS n, CASE WHEN mix = 'mostly truncating' AND effect = 'loss_of_function' THEN 'fits loss of function'
+  WHEN mix = 'mostly missense' AND effect IN ('gain_of_function', 'dominant_negative') THEN 'fits a changed protein' ELSE mix END AS reading FROM r""")
 def class_mix(t):
-    counts = typed(t).where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("id"), "type").agg(F.count(F.lit(1)).alias("n"))
-    return V.class_mix(counts)
+    counts = typed(t).groupBy(F.struct(F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line")).alias("id"), "type").agg(F.count(F.lit(1)).alias("n"))
+    mix = V.class_mix(counts).select("id.part", "id.line", "n", "reading")
+    effects = t.part.selectExpr("p_partkey AS part", f"{EFFECT} AS effect")
+    return mix.join(effects, "part").select("part", "line", "n", V.read_with_effect(F.col("reading"), F.col("effect")).alias("reading"))
 
 
 # What people type, derived from the records themselves: ids, rs numbers, coding forms, one-letter proteins, prefixes.
