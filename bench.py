@@ -8,6 +8,7 @@ import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+os.environ.setdefault("EVIDRA_CHECKPOINT_DIR", "/tmp/evidra-checkpoints")
 
 from evidra.plans import QUERIES  # noqa: E402
 from evidra.session import local_session  # noqa: E402

@@ -27,8 +27,9 @@ def local_session(cores: int | str = 8, app: str = "evidra", **extra: str) -> Sp
                # small test tables: keep every core busy instead of merging shuffle partitions up to 1 MB
                .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
                # the sample tables have one row group each, which one task would read: deal their texts out
-               .config("spark.evidra.spreadTexts", "true")
-               .config("spark.checkpoint.dir", os.environ.get("EVIDRA_CHECKPOINT_DIR", "/tmp/evidra-checkpoints")))
+               .config("spark.evidra.spreadTexts", "true"))
+    if "EVIDRA_CHECKPOINT_DIR" in os.environ:  # tests, bench and tools name a folder of this machine; nothing else has a default
+        builder = builder.config("spark.checkpoint.dir", os.environ["EVIDRA_CHECKPOINT_DIR"])
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+os.environ.setdefault("EVIDRA_CHECKPOINT_DIR", "/tmp/evidra-checkpoints")
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

@@ -14,6 +14,7 @@ import time
 import traceback
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+os.environ.setdefault("EVIDRA_CHECKPOINT_DIR", "/tmp/evidra-checkpoints")
 
 import duckdb  # noqa: E402
 
