@@ -268,19 +268,35 @@ def record_history(events: DataFrame, n_rechecks: int = 5) -> DataFrame:
     return base.join(last.withColumn("rechecks", F.reverse("rechecks")), "id", "left")
 
 
+def _spaced_words(text) -> Column:
+    """The letters and digits of a text in lower case, a blank before, between and after its words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W_]+"), 0)
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+# What may stand between the numbers of a list, a number in it, and the words before it
+BETWEEN, NUMBER, HEADING = r"\s*(?:,|/|and|or)\s*", "[0-9]+[a-z]?", "[a-z]{2,}"
+
+
+def _numbered_names(text) -> Column:
+    """Every number of a list with its heading put before it: "ABC 1, 2 and 3A" holds abc1, abc2 and abc3a."""
+    lists = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)(?<!\w){HEADING}\s*{NUMBER}(?:{BETWEEN}{NUMBER})*(?!\w)"), 0)
+    def spelled_out(found):
+        heading = F.regexp_extract(found, f"^{HEADING}", 0)
+        return F.transform(F.regexp_extract_all(found, F.lit(NUMBER + r"\b"), 0), lambda number: F.concat(heading, number))
+    return F.flatten(F.transform(lists, spelled_out))
+
+
 def names_target(text: Column, names: Column) -> Column:
-    """Whether one of ``names`` occurs in the text as whole words, in any case and with any signs between the words.
+    """Whether the words of one of ``names`` stand in a row in the text, in any case and with any signs between them, or a name of capitals
+    and a number, as in "ABC3A", is an entry of a numbered list ("ABC 1, 2 and 3A").
 
-    A name of capitals and a number, as in "ABC3A", also counts at the end of a list under the same capitals ("ABC 1, 2 and 3A").
+    The text is read once for all names; names without a letter or digit count for nothing.
     """
-    def spelled(name):
-        return F.concat(F.lit(r"(?iU)(?<!\w)"), F.array_join(F.regexp_extract_all(name, F.lit(r"(?U)\w+"), 0), r"[\W_]+"), F.lit(r"(?!\w)"))
-    numbered = r"^([A-Z]{2,})([0-9]+[A-Z]?)$"
-    def listed(name):
-        item = r"\s*(?:[0-9]+[A-Z]?\s*(?:,|/|and|or)\s*)*"
-        return F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_extract(name, numbered, 1), F.lit(item), F.regexp_extract(name, numbered, 2), F.lit(r"(?!\w)"))
-    usable = F.filter(names, lambda n: F.coalesce(F.rlike(n, F.lit(r"(?U)\w")), F.lit(False)))
-    return F.exists(usable, lambda n: F.rlike(text, spelled(n)) | (F.rlike(n, F.lit(numbered)) & F.rlike(text, listed(n))))
+    said, listed = _spaced_words(text), _numbered_names(text)
+    usable = F.filter(names, lambda name: F.coalesce(F.trim(_spaced_words(name)) != "", F.lit(False)))
+    return F.exists(usable, lambda name: F.contains(said, _spaced_words(name))
+                    | (F.rlike(name, F.lit("^[A-Z]{2,}[0-9]+[A-Z]?$")) & F.array_contains(listed, F.lower(name))))
 
 
 def validate_decisions(decisions: DataFrame, broad: Sequence[str] = ()) -> DataFrame:

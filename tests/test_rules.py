@@ -49,7 +49,9 @@ def test_short_and_refused_searches(spark):
 
 def test_targets_are_named_by_whole_words(spark):
     cases = [("the category", ["cat"], False), ("The Cat, sat", ["cat"], True), ("black-cat fever", ["Black Cat Fever"], True), ("SCA 1, 2 and 3", ["SCA3"], True),
-             ("SCA 1, 2 and 33", ["SCA3"], False), ("SCA3", ["SCA3"], True), ("anything", [""], False), ("Été indien", ["été"], True)]
+             ("SCA 1, 2 and 33", ["SCA3"], False), ("SCA3", ["SCA3"], True), ("anything", [""], False), ("Été indien", ["été"], True),
+             ("ABC 1, 2 and 3A", ["zzz", "ABC1"], True), ("ABC 1, 2 and 3A", ["ABC3A"], True), ("ABC 1, 2 and 3A", ["ABC3"], False), ("abc 1/2/3", ["ABC2"], True),
+             ("abc 1. 2", ["ABC2"], False), ("ABC-3 disease", ["ABC 3"], True), ("XABC 3", ["ABC3"], False), ("x", [None], False), ("x", [], False), (None, ["a"], None)]
     rows = spark.createDataFrame(cases, "t string, names array<string>, want boolean").select("want", claims.names_target(F.col("t"), F.col("names")).alias("got"))
     assert all(r.want == r.got for r in rows.collect())
 

@@ -131,6 +131,45 @@ def test_machinery_top_is_exact_with_frequent_terms(spark):
     assert abs(row.mech - (1 - (1 - base) * (1 - bonus))) < 1e-6
 
 
+def test_machinery_reasons_match_brute_force(spark):
+    rng = random.Random(5)
+    go = {i: {f"{rng.randrange(12)}" for _ in range(4)} for i in range(14)}
+    complexes = {i: {f"c{rng.randrange(5)}", "everywhere"} for i in range(14)}
+    edges = sorted({(a, b) for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(20)) if a < b})
+    partners = {i: {i} | {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in {x for e in edges for x in e}}
+    up = {(str(t), str(t // 2)) for t in range(1, 12)} | {(str(t), str(t // 4)) for t in range(2, 12)} | {(str(t), str(t // 8)) for t in range(4, 12)}
+
+    def rows(sets):
+        return [(i, str(t)) for i, s in sets.items() for t in sorted(s, key=str)]
+    indexes = {"complex": complexes, "go": go, "partners": partners}
+    m = N.Machinery({n: spark.createDataFrame(rows(s), "item long, term string") for n, s in indexes.items()},
+                    spark.createDataFrame([(a, b, 700 + 10 * a) for a, b in edges], "a long, b long, score int"),
+                    {"complex": 0.4, "go": 0.3, "partners": 0.3}, frequent=3)
+    asked = [(a, b) for a in range(14) for b in range(14)]
+    got = {}
+    closure = spark.createDataFrame([*up, ("3", "3")], "id string, ancestor string")
+    for r in m.explain(spark.createDataFrame([*asked, (1, 2)], "a long, b long"), 4, {"go": closure}).orderBy("a", "b", "rank").collect():
+        got.setdefault((r.a, r.b), []).append((r.kind, r.term, round(r.strength, 6)))
+    want = {}
+    for a, b in asked:
+        if a == b:
+            continue
+        found = []
+        for name, sets in indexes.items():
+            shared = {str(t) for t in sets.get(a, ())} & {str(t) for t in sets.get(b, ())}
+            if name == "go":
+                shared -= {p for t in shared for c, p in up if c == t and c != p}
+            for t in shared:
+                n = sum(t in {str(x) for x in s} for s in sets.values())
+                if n < len(sets) and not (name == "partners" and t in (str(a), str(b))):
+                    found.append((-round(math.log(len(sets) / n), 9), "partner" if name == "partners" else name, t))
+        direct = [("interaction", None, round(0.7 + 0.01 * min(a, b), 6))] if (min(a, b), max(a, b)) in edges else []
+        best = (direct + [(k, t, round(-s, 6)) for s, k, t in sorted(found)])[:4]
+        if best:
+            want[a, b] = best
+    assert got == want and {k for v in got.values() for k, _, _ in v} == {"interaction", "complex", "go", "partner"}
+
+
 def test_combine_uses_a_lone_signal(spark):
     from pyspark.sql import functions as F
     row = spark.range(1).select(
