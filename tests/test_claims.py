@@ -195,6 +195,25 @@ def test_changed_shards_and_dynamic_overwrite(spark, tmp_path):
     assert back.count() == 500 and back.where("body LIKE '%\"y\"%'").count() == 1
 
 
+def test_entity_export_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"n{i}" if i else None, [f"alias {i}", " ", None, f"n{i}"] if i != 3 else None) for i in range(40)],
+                                 "id long, name string, aka array<string>")
+    links = spark.createDataFrame([(i, j, (i * j) % 7) for i in range(40) for j in range(i)], "id long, other long, place int")
+    few = P.nested(links, "id", ["place", "other"], ["other"], "near", least=2, most=10)
+    assert {r.id: [x.other for x in r.near] for r in few.collect()} == {i: sorted(range(i), key=lambda j: ((i * j) % 7, j)) for i in range(2, 11)}
+    lines = P.entity_lines("thing", rows.join(few, "id", "left"), "id", ["id", "name", "near"]).unionByName(P.search_lines("thing", rows, "id", "name", ["name", "aka"]))
+    path = str(tmp_path / "export")
+    P.write_entities(lines, path)
+    things = {r.id: r for r in spark.read.schema("id long, name string, near array<struct<other: long>>").json(f"{path}/kind=thing").collect()}
+    assert len(things) == 40 and things[0].name is None and things[0].near is None and len(things[10].near) == 10 and things[11].near is None
+    found = [(r.id, r.text) for r in spark.read.json(f"{path}/kind=search").collect()]
+    assert sorted(found) == sorted([(str(i), f"n{i}") for i in range(40) if i != 0] + [("0", "n0")] + [(str(i), f"alias {i}") for i in range(40) if i != 3])
+    assert {r.kind: (r.n, r.entities) for r in P.export_report(lines).collect()} == {"thing": (40, 40), "search": (79, 40)}
+    changed = rows.withColumn("name", F.when(F.col("id") == 7, "x").otherwise(F.col("name"))).withColumn("part", F.col("id") % 5)
+    same = P.same_exports(rows.withColumn("part", F.col("id") % 5).unionByName(changed.where("id = 1")), changed, ["part"])
+    assert {r.part: r.same for r in same.collect()} == {0: True, 1: False, 2: False, 3: True, 4: True}
+
+
 def test_resolve_and_names(spark):
     names = spark.createDataFrame([(1, 0, "alpha Syndrome"), (1, 1, "ALPHA syndrome"), (1, 2, "Beta"), (2, 5, "x")], "id long, pos int, name string")
     got = {r.id: (r.title, list(r.others)) for r in L.ordered_names(names).collect()}
