@@ -3,6 +3,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.operators import clusters as K
+from evidra.operators import modularity as M
+from evidra.session import cut
 
 from .registry import query
 from .shared import DOC_WORDS, PART_TERMS, doc_words, part_terms, r4
@@ -72,6 +74,17 @@ def communities(t):
     return labels.join(K.ordered_communities(labels), "label").select("id", F.col("position").alias("community"), "size", "changing")
 
 
+@query("regions")
+def regions(t):
+    """Communities of the neighbour graph by modularity at two resolutions, numbered from the largest; SQL has no word for their search."""
+    edges = cut(K.knn_edges(K.knn(vectors(t), KNN, block_rows=BLOCK)))
+
+    def numbered(resolution, name):
+        labels = M.communities(edges, resolution)
+        return labels.join(K.ordered_communities(labels), "label").select("id", F.col("position").alias(name), F.col("size").alias(f"{name}_size"))
+    return numbered(0.6, "region").join(numbered(3.0, "constellation"), "id")
+
+
 @query("cluster_features", f"""WITH {PART_TERMS}, m AS (SELECT s_suppkey AS item, s_nationkey AS cluster FROM supplier),
 s AS (SELECT cluster, count(*) AS size FROM m GROUP BY 1), df AS (SELECT term, count(*) AS df FROM item_terms GROUP BY 1),
 c AS (SELECT cluster, term, count(*) AS cnt FROM m JOIN item_terms USING (item) GROUP BY ALL),
