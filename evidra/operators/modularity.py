@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.session import cut
+from evidra.session import forget, stored
 
 THINNEST = 4  # a round that lowers modularity is tried again with a half, a quarter ... of its moves, this many times
 
@@ -64,13 +64,13 @@ def _quality(judged: DataFrame, all_weight: float, resolution: float) -> tuple[f
 
 
 def _local_moves(graph: DataFrame, all_weight: float, resolution: float, rounds: int, tolerance: float) -> tuple[DataFrame, float]:
-    """id, label after at most ``rounds`` rounds of moves, every node alone at first, and the modularity. It never falls.
+    """``_judged`` after at most ``rounds`` rounds of moves, every node alone at first, and the modularity. It never falls.
 
     Two halves of the nodes, chosen by hash, move in turn to where they wish, everybody judging by the labels before the round. Moves
     that get in each other's way can lower modularity; such a round is thrown away and tried with fewer of its moves.
     """
     nodes = graph.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("degree")).withColumn("label", F.col("id"))
-    judged = cut(_judged(graph, nodes, all_weight, resolution))
+    judged = stored(_judged(graph, nodes, all_weight, resolution))
     now, wishes = _quality(judged, all_weight, resolution)
     quiet = 0
     for turn in range(rounds):
@@ -80,13 +80,15 @@ def _local_moves(graph: DataFrame, all_weight: float, resolution: float, rounds:
         for thin in range(THINNEST):
             side = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2 ** (thin + 1)))
             moves = F.when(side == turn % 2, F.col("target"))
-            tried = cut(_judged(graph, judged.select("id", "degree", F.coalesce(moves, "label").alias("label")), all_weight, resolution))
+            tried = stored(_judged(graph, judged.select("id", "degree", F.coalesce(moves, "label").alias("label")), all_weight, resolution))
             then, left = _quality(tried, all_weight, resolution)
             if then >= now:
+                forget(judged)
                 gained, judged, now, wishes = then - now, tried, then, left
                 break
+            forget(tried)
         quiet = quiet + 1 if gained < tolerance else 0
-    return judged.select("id", "label"), now
+    return judged, now
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, levels: int = 8, rounds: int = 12, tolerance: float = 1e-4) -> DataFrame:
@@ -97,20 +99,27 @@ def communities(edges: DataFrame, resolution: float = 1.0, levels: int = 8, roun
     community) before the shuffle, so hubs and large communities are combined map-side. Choices are made by hash and ties go to the
     smallest label, so the same edges give the same communities. Nodes without an edge do not appear.
     """
-    graph = cut(both_ways(edges))
+    graph = stored(both_ways(edges))
     all_weight = graph.agg(F.sum("weight")).first()[0]
     if not all_weight:
         return graph.select(F.col("a").alias("id"), F.col("a").alias("label"))
     members, before = None, None
     for _ in range(levels):
-        step, now = _local_moves(graph, all_weight, resolution, rounds, tolerance)
+        judged, now = _local_moves(graph, all_weight, resolution, rounds, tolerance)
+        step = judged.select(F.col("id").alias("label"), F.col("label").alias("up"))
         if members is None:
-            members = cut(step)
+            members = stored(step.toDF("id", "label"))
         else:
-            members = cut(members.join(step.select(F.col("id").alias("label"), F.col("label").alias("_up")), "label").select("id", F.col("_up").alias("label")))
-        if before is not None and now - before < tolerance:
-            break
+            below, members = members, stored(members.join(step, "label").select("id", F.col("up").alias("label")))
+            forget(below)
+        last = before is not None and now - before < tolerance
         before = now
-        graph = cut(graph.join(step.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(step.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
-                    .groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("weight").alias("weight")))
+        if not last:
+            below, graph = graph, stored(graph.join(step.toDF("a", "la"), "a").join(step.toDF("b", "lb"), "b")
+                                         .groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("weight").alias("weight")))
+            forget(below)
+        forget(judged)
+        if last:
+            break
+    forget(graph)
     return members

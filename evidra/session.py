@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the reliable checkpoint folder and read again. Unlike a checkpoint, whose size Spark still guesses from the
+    plan behind it, the table has the size of its files; in a loop of joins such guesses multiply until planning itself takes minutes.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(table: DataFrame) -> None:
+    """Delete what ``stored`` wrote, through the file system that holds it; for rounds of a loop that nothing reads any more."""
+    sc = table.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        target = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a scan out over all cores where the session asks for it (``local_session`` does, a cluster's own session does not)."""
     spark = df.sparkSession
