@@ -62,6 +62,7 @@ def review_stars(text) -> Column:
 
 def model_family(name) -> Column:
     """Historical spellings of one model family count as one."""
+    # The spellings
     v = F.lower(F.trim(F.coalesce(name, F.lit(""))))
     return F.when((v == "openai") | v.startswith("openai-") | v.startswith("azure-openai") | v.startswith("gpt-"), "openai").otherwise(v)
 
