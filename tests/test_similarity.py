@@ -232,3 +232,23 @@ def test_knn_splits_blocks_and_queries_by_their_own_limits(spark, monkeypatch):
     for r in K.knn(df, 5, block_rows=20, max_pivots=4).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.other)
     assert got == {i: sorted((j for j in range(90) if j != i), key=lambda j: (-s[i, j], j))[:5] for i in range(90)}
+
+
+@pytest.mark.parametrize("dense_share", [0, 128, 10 ** 9])
+def test_machinery_by_blocks(spark, monkeypatch, dense_share):
+    """Many blocks, terms as columns or met one by one: the same scores, no more rows than k per id and block, and given pairs in any order."""
+    rng = random.Random(4)
+    held = [(i, t) for i in range(40) for t in range(12) if rng.random() < (0.5 if t < 3 else 0.2)]
+    edges = spark.createDataFrame([(0, 1, 900), (2, 99, 800)], "a long, b long, score int")
+    frames = {"complex": spark.createDataFrame(held, "item long, term long")}
+    whole = N.Machinery(frames, edges)
+    want = {(r.item, r.other): r.mech for r in whole.top(100).collect()}
+    monkeypatch.setattr(N, "BLOCK_ITEMS", 8)
+    monkeypatch.setattr(N, "DENSE_SHARE", dense_share)
+    split = N.Machinery(frames, edges, frequent=10 ** 6)
+    assert whole.blocks == 1 and split.blocks >= 5
+    assert {(r.item, r.other): r.mech for r in split.top(100).collect()} == want and want[(99, 2)] == want[(2, 99)] > 0
+    assert split._compared(split.bonus, 2).count() <= 41 * 2 * split.blocks
+    pairs = spark.createDataFrame([(1, 0), (0, 1), (99, 2), (7, 1000), (5, 6)], "a long, b long")
+    got = {(r.a, r.b): r.mech for r in split.score(pairs).collect()}
+    assert got == {(1, 0): want[(0, 1)], (0, 1): want[(0, 1)], (99, 2): want[(2, 99)], (7, 1000): 0.0, (5, 6): want.get((5, 6), 0.0)}
