@@ -90,7 +90,7 @@ def lookup_variants(queries: DataFrame, variants: DataFrame) -> DataFrame:
     """query, variant: a number, an rs id, a coding or protein form (one- or three-letter), or a prefix of 6+ characters.
 
     queries: query. variants: variant (long), hgvs, protein, rs. Both sides are reduced to the same keys and joined on
-    equality; prefixes are joined on their first six characters and then checked.
+    equality; for prefixes the forms are cut to the lengths that the queries have, so a key holds true matches only.
     """
     q = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim("query")), r"\s+", ""), r"^p\.\(?", "p."), r"\)$", "")
     asked = queries.select("query", q.alias("q")).where("q <> ''").distinct()
@@ -105,6 +105,11 @@ def lookup_variants(queries: DataFrame, variants: DataFrame) -> DataFrame:
     v = variants.select("variant", F.lower("hgvs").alias("hgvs"), F.lower("protein").alias("protein"), F.lower("rs").alias("rs"))
     v = v.withColumn("local", F.regexp_replace("hgvs", "^[^:]*:", ""))
     keys = v.select("variant", F.explode(F.array_distinct(F.array(F.col("local"), F.col("hgvs"), F.col("protein")))).alias("key")).where("key <> ''")
+    prefixes = asked.where(F.col("plain") & F.col("three").isNull() & (F.length("q") >= 6)).select("query", "q")
+    lengths = prefixes.agg(F.collect_set(F.length("q")).alias("lengths"))
+    forms = (v.select("variant", F.explode(F.array("local", "protein")).alias("form")).join(F.broadcast(lengths))  # one row
+             .select("variant", "form", F.explode(F.filter("lengths", lambda n: n <= F.length("form"))).alias("n"))
+             .select("variant", F.expr("substring(form, 1, n)").alias("q")))
     hits = [
         asked.where(number_only).join(v.select("variant", F.col("variant").cast("string").alias("q")), "q").select("query", "variant"),
         asked.where(rs_only).join(v.select("variant", F.col("rs").alias("q")), "q").select("query", "variant"),
@@ -112,9 +117,7 @@ def lookup_variants(queries: DataFrame, variants: DataFrame) -> DataFrame:
         # a short protein form such as p.arg54 would be a prefix of longer positions, so the letters are part of the key
         asked.where("plain AND three IS NOT NULL").join(v.select("variant", "protein", F.regexp_extract("protein", r"^(p\.[a-z]+\d+)", 1).alias("stem")),
             F.regexp_extract("three", r"^(p\.[a-z]+\d+)", 1) == F.col("stem")).where(F.startswith("protein", F.col("three"))).select("query", "variant"),
-        asked.where(F.col("plain") & F.col("three").isNull() & (F.length("q") >= 6)).withColumn("six", F.substring("q", 1, 6))
-        .join(v.select("variant", F.explode(F.array("local", "protein")).alias("form")).withColumn("six", F.substring("form", 1, 6)), "six")
-        .where(F.startswith("form", F.col("q"))).select("query", "variant"),
+        prefixes.join(forms, "q").select("query", "variant"),
     ]
     out = hits[0]
     for h in hits[1:]:
