@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evidra.functions.strings import fold_marks, plain
 from evidra.functions.vocab import lookup
 from evidra.operators.linking import best_per_key, capped_list
+from evidra.session import cut
 
 # How much a hit of each kind counts (gene, condition, symptom, group, mechanism)
 KIND_WEIGHT = {"g": 1.15, "c": 1.0, "s": 0.85, "grp": 0.62, "m": 0.6}
@@ -36,15 +37,26 @@ def _prefixes(word) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, F.lit(1), i))
 
 
+def _first_of(rows: DataFrame, keys: list[str], ref: str, n: int, name: str) -> DataFrame:
+    """keys..., ``name``: per key the first n values of ``ref`` in order, as structs. Counted off before they are collected."""
+    w = Window.partitionBy(*keys).orderBy(ref)
+    first = rows.select(*keys, ref).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ref))).alias(name))
+
+
 def name_search(queries: DataFrame, index: DataFrame, n: int = 12) -> DataFrame:
     """query, kind, ref, score, rank: the n best entities per query.
 
     Every kind of match needs each query word to begin some word of the name, so names are joined on the query's rarest
-    word prefix. An entity scores by its best name plus up to 3 x 3 points for further matching names.
+    word prefix. An entity scores by its best name plus up to 3 x 3 points for further matching names. Entities of a kind with the same
+    names score alike, so they are matched once, and of them only the first n can be among a query's n best.
     """
     asked = queries.select("query", plain("query").alias("q")).where("q <> ''").distinct().withColumn("tokens", F.split("q", " "))
-    names = index.withColumn("norm", plain("text")).withColumn("words", F.split("norm", " "))
-    blocked = names.select("norm", "words", "kind", "ref", "prominence", F.explode(F.array_distinct(F.flatten(F.transform("words", _prefixes)))).alias("block"))
+    forms = index.select("kind", "ref", plain("text").alias("norm"), "prominence").groupBy("kind", "ref").agg(
+        F.array_sort(F.collect_list(F.struct("norm", "prominence"))).alias("forms"))
+    alike = cut(_first_of(forms, ["kind", "forms"], "ref", n, "refs"))
+    names = alike.select("kind", "refs", F.explode("forms").alias("f")).select("kind", "refs", "f.norm", "f.prominence").withColumn("words", F.split("norm", " "))
+    blocked = names.select("norm", "words", "kind", "refs", "prominence", F.explode(F.array_distinct(F.flatten(F.transform("words", _prefixes)))).alias("block"))
     wanted = asked.select("query", F.explode(F.array_distinct("tokens")).alias("block"))
     spread = blocked.join(wanted.select("block").distinct(), "block", "left_semi").groupBy("block").agg(F.count(F.lit(1)).alias("df"))
     # a query word that begins no word of any name rules the query out
@@ -61,10 +73,13 @@ def name_search(queries: DataFrame, index: DataFrame, n: int = 12) -> DataFrame:
             .when(all_begin, 55 - F.least(F.lit(25.0), over / 4)))
     score = (base * lookup(F.col("kind"), KIND_WEIGHT, 0.0) + F.when(F.col("kind") == "c", 20 * F.coalesce("prominence", F.lit(0.0))).otherwise(0.0)
              + F.when((F.col("kind") == "g") & (F.col("norm") == F.col("q")), 30.0).otherwise(0.0))
-    scored = hits.withColumn("score", score).where("score IS NOT NULL").groupBy("query", "kind", "ref").agg(F.max("score").alias("s"), F.count(F.lit(1)).alias("hits"))
+    scored = hits.withColumn("score", score).where("score IS NOT NULL").groupBy("query", "kind", "refs").agg(F.max("score").alias("s"), F.count(F.lit(1)).alias("hits"))
     total = F.round(F.col("s") + 3 * F.least(F.lit(3), F.col("hits") - 1), 6)
+    groups = Window.partitionBy("query").orderBy(F.desc("score"), "kind", F.col("refs")[0])
+    near = scored.select("query", "kind", "refs", total.alias("score")).withColumn("r", F.row_number().over(groups)).where(F.col("r") <= n)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "kind", "ref")
-    return (scored.select("query", "kind", "ref", total.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
+    return (near.select("query", "kind", F.explode("refs").alias("ref"), "score").select("query", "kind", "ref.ref", "score")
+            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
 
 
 def term_search(queries: DataFrame, names: DataFrame, n: int = 10, shortest: int = 2, longest: int = 120) -> DataFrame:
