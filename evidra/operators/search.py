@@ -87,7 +87,8 @@ def term_search(queries: DataFrame, names: DataFrame, n: int = 10, shortest: int
 
     A query that is a term id (letters, colon, digits) finds that term only, with score 0. A query outside ``shortest`` .. ``longest``
     characters gives one row with a reason and no id. A match shares all query words, or all but one, so it shares one of the query's two
-    rarest words: names are joined on those only. names: id (string), pos (0 = main name), name.
+    rarest words: names are joined on those only. Terms with the same names match alike and are matched once; of them only the first n
+    can be among a query's n best. names: id (string), pos (0 = main name), name.
     """
     def word_set(text):
         return F.array_distinct(F.filter(F.split(F.lower(fold_marks(text)), "[^a-z0-9]+"), lambda w: w != ""))
@@ -99,8 +100,10 @@ def term_search(queries: DataFrame, names: DataFrame, n: int = 10, shortest: int
     by_id = (asked.where(fits & is_id).join(names.where("pos = 0").select("id", F.lower("id").alias("q")), "q")
              .select("query", "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("reason")))
     asked = asked.where(fits & ~is_id).withColumn("qw", word_set("q")).where(F.size("qw") > 0)
-    rows = names.select("id", "pos", F.lower("name").alias("n"), word_set("name").alias("nw"))
-    main = names.where("pos = 0").select("id", F.length("name").alias("len"))
+    forms = names.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("forms")).where(F.exists("forms", lambda f: f["pos"] == 0))
+    alike = cut(_first_of(forms, ["forms"], "id", n, "ids"))
+    rows = alike.select("ids", F.transform(F.filter("forms", lambda f: f["pos"] == 0), lambda f: F.length(f["name"])).alias("lens"), F.explode("forms").alias("f"))
+    rows = rows.select("ids", "lens", "f.pos", F.lower("f.name").alias("n"), word_set("f.name").alias("nw"))
     spread = rows.select(F.explode("nw").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     spelled = asked.select("query", "q", "qw", F.explode("qw").alias("word")).join(spread, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     two = Window.partitionBy("query", "q").orderBy("df", "word")
@@ -109,10 +112,13 @@ def term_search(queries: DataFrame, names: DataFrame, n: int = 10, shortest: int
     both, extra, missing = F.size(F.array_intersect("qw", "nw")), F.size(F.array_except("nw", "qw")), F.size(F.array_except("qw", "nw"))
     score = (F.when((F.col("n") == F.col("q")) & (F.col("pos") == 0), 0.0).when(F.col("n") == F.col("q"), 1.0).when(missing == 0, 2 + extra * 0.1)
              .when(both >= F.greatest(F.lit(1), F.size("qw") - 1), 5 + missing + extra * 0.1))
-    best = hits.withColumn("score", score).where("score IS NOT NULL").groupBy("query", "id").agg(F.round(F.min("score"), 6).alias("score")).join(main, "id")
+    best = (hits.withColumn("score", score).where("score IS NOT NULL").groupBy("query", "ids", "lens").agg(F.round(F.min("score"), 6).alias("score"))
+            .select("query", "ids", F.explode("lens").alias("len"), "score"))
+    groups = Window.partitionBy("query").orderBy("score", "len", F.col("ids")[0])
+    near = best.withColumn("r", F.row_number().over(groups)).where(F.col("r") <= n).select("query", F.explode("ids").alias("id"), "len", "score")
     w = Window.partitionBy("query").orderBy("score", "len", "id")
-    found = (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-             .select("query", "id", "score", "rank", F.lit(None).cast("string").alias("reason")))
+    found = (near.select("query", "id.id", "len", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            .select("query", "id", "score", "rank", F.lit(None).cast("string").alias("reason")))
     return found.unionByName(by_id).unionByName(refused)
 
 
