@@ -92,23 +92,33 @@ def inclusion_proofs(log: DataFrame, wanted: DataFrame, seq: str = "seq", data:
 
 
 def proofs_from_tiles(stored: DataFrame, wanted: DataFrame) -> DataFrame:
-    """seq, proof for each wanted seq. Inside a tile all its levels are folded in the row, and every node reads its siblings there; a missing
-    sibling (an odd node moving up) adds nothing. Tiles meet the proof of their own root, so a log of n rows takes log_FAN(n) joins, each
-    of FAN times fewer rows, and one with the wanted rows."""
+    """seq, proof for each wanted seq. The wanted places travel to their tile, and only there, after the tile has met the proof of its own
+    root, are proofs spelled out: no proof is shuffled but those of tiles, FAN times fewer a level. A missing sibling (an odd node moving up)
+    adds nothing."""
     levels = (stored.agg(F.max("level")).first()[0] or 0) + 1
     above = None
+    asked = wanted.groupBy(F.col("seq").cast("long").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
     for level in range(levels - 1, -1, -1):
         df = stored.where(F.col("level") == level).select("tile", F.col("nodes").alias("n0"))
+        if level == 0:
+            places = asked.groupBy(F.shiftright("seq", FAN_BITS).alias("tile")).agg(
+                F.collect_list(F.struct(F.col("seq").bitwiseAND(F.lit(FAN - 1)).cast("int").alias("p"), "n")).alias("places"))
+            df = df.join(places, "tile")
+        else:
+            df = df.withColumn("places", F.transform("n0", lambda _, p: F.struct(p.alias("p"), F.lit(1).cast("long").alias("n"))))
+        if above is not None:
+            df = df.join(above.select(F.col("at").alias("tile"), "proof"), "tile")
+        else:
+            df = df.withColumn("proof", F.array().cast("array<string>"))
+        df = df.select("tile", "places", "proof", "n0")
         for i in range(1, FAN_BITS):
             df = df.withColumn(f"n{i}", _next_level(F.col(f"n{i - 1}")))
-            df = df.select("tile", *(f"n{k}" for k in range(i)), F.transform(f"n{i}", lambda x: x).alias(f"n{i}"))
+            df = df.select("tile", "places", "proof", *(f"n{k}" for k in range(i)), F.transform(f"n{i}", lambda x: x).alias(f"n{i}"))
         sibling = lambda p: F.array_compact(F.array(*[F.lower(F.hex(F.get(f"n{i}", F.shiftright(p, i).bitwiseXOR(F.lit(1)).cast("int")))) for i in range(FAN_BITS)]))
-        parts = df.select("tile", F.posexplode(F.transform("n0", lambda _, p: sibling(p))).alias("p", "part"))
-        here = parts.select((F.col("tile") * FAN + F.col("p")).alias("at"), "tile", "part")
-        if above is not None:
-            here = here.join(above.select(F.col("at").alias("tile"), "proof"), "tile").withColumn("part", F.concat("part", "proof"))
-        above = here.select("at", F.col("part").alias("proof"))
-    return wanted.select("seq").join(above.withColumnRenamed("at", "seq"), "seq")
+        spelled = F.transform(F.filter("places", lambda w: w["p"] < F.size("n0")), lambda w: F.struct(w["p"].alias("p"), w["n"].alias("n"), sibling(w["p"]).alias("part")))
+        parts = df.select("tile", "proof", F.explode(spelled).alias("w"))
+        above = parts.select((F.col("tile") * FAN + F.col("w.p")).alias("at"), F.concat("w.part", "proof").alias("proof"), F.col("w.n").alias("n"))
+    return above.select(F.col("at").alias("seq"), "proof", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select("seq", "proof")
 
 
 def prefix_ranges(old: int, new: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from evidra.operators import integrity as I
 from evidra.operators import search as Q
 from evidra.operators import variants as V
 
@@ -44,3 +45,15 @@ def test_prefixes_meet_only_what_they_begin(spark):
     assert "StartsWith(form" not in found._jdf.queryExecution().optimizedPlan().toString()  # equal keys alone decide
     got = Counter(r.query for r in found.collect())
     assert got == {**{f"c.{100000 + i}": 1 for i in range(1000)}, "c.1000": 100, "C.100000G": 1, "p.Arg1000": 100}
+
+
+def test_proofs_are_spelled_out_after_the_last_shuffle(spark):
+    log = spark.createDataFrame([(i, f"event-{i}") for i in range(3000)], "seq long, data string")
+    stored = I.tiles(log)
+    wanted = spark.createDataFrame([(0,), (5,), (5,), (2999,), (3000,), (-1,), (None,)], "seq long")
+    proofs = I.proofs_from_tiles(stored, wanted)
+    assert most_rows(proofs, "Join") < 100  # tiles and their own proofs, not a row for each leaf
+    rows = proofs.collect()
+    assert sorted(r.seq for r in rows) == [0, 5, 5, 2999]
+    checked = I.verify_inclusion(proofs.join(log.select("seq", I.leaf_hash("data").alias("leaf")), "seq"), 3000).collect()
+    assert {r.root for r in checked} == {I.merkle_root(log).first().root}
