@@ -148,7 +148,8 @@ def consistency_proofs(stored: DataFrame, heads: DataFrame, size: int) -> DataFr
     """old_size, proof (hex array), old_root (hex): for each size in ``heads`` (old_size, between 1 and ``size``) the O(log n) hashes that
     prove the tree of ``size`` leaves extends the tree of the first old_size, and that tree's root.
 
-    Each hash is the root of a run of nodes inside one tile, so the runs join the stored tiles on (level, tile) and fold in the row.
+    Each hash is the root of a run of nodes inside one tile. Many heads ask for the same runs, so the different runs of a tile are listed
+    first, at most two for each of its nodes; a tile is folded once for them, and the heads join the hashes alone.
     """
     fan, bits = FAN, FAN_BITS
 
@@ -168,12 +169,16 @@ def consistency_proofs(stored: DataFrame, heads: DataFrame, size: int) -> DataFr
 
     asked = heads.select(F.col("old_size").cast("long").alias("old_size")).distinct().mapInArrow(
         run, "old_size long, kind long, place long, level long, tile long, first long, n long")
-    met = asked.join(stored.withColumn("level", F.col("level").cast("long")), ["level", "tile"])
-    df = met.select("old_size", "kind", "place", F.slice("nodes", (F.col("first") + 1).cast("int"), F.col("n").cast("int")).alias("nodes"))
-    for _ in range(FAN_BITS):
-        df = df.withColumn("nodes", _next_level(F.col("nodes")))
-        df = df.select("old_size", "kind", "place", F.transform("nodes", lambda x: x).alias("nodes"))
-    listed = df.groupBy("old_size").agg(F.array_sort(F.collect_list(F.struct("kind", "place", F.col("nodes")[0].alias("h")))).alias("l"))
+    runs = asked.groupBy("level", "tile").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    df = runs.join(stored.withColumn("level", F.col("level").cast("long")), ["level", "tile"]).select("level", "tile", "runs", F.col("nodes").alias("n0"))
+    for i in range(1, FAN_BITS + 1):
+        df = df.withColumn(f"n{i}", _next_level(F.col(f"n{i - 1}")))
+        df = df.select("level", "tile", "runs", *(f"n{k}" for k in range(i)), F.transform(f"n{i}", lambda x: x).alias(f"n{i}"))
+    # a run is a whole subtree, so its root is the node above its first one, as many levels up as halve its length to one
+    root_of = lambda r: F.coalesce(*[F.when(r["n"] <= 1 << i, F.get(f"n{i}", F.shiftright(r["first"], i).cast("int"))) for i in range(FAN_BITS + 1)])
+    roots = df.select("level", "tile", F.explode(F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["n"].alias("n"), root_of(r).alias("h")))).alias("r"))
+    df = asked.join(roots.select("level", "tile", "r.first", "r.n", "r.h"), ["level", "tile", "first", "n"])
+    listed = df.groupBy("old_size").agg(F.array_sort(F.collect_list(F.struct("kind", "place", "h"))).alias("l"))
     part = lambda kind: F.transform(F.filter("l", lambda x: x["kind"] == kind), lambda x: x["h"])
     root = F.aggregate(F.reverse(part(1)), F.lit(None).cast("binary"), lambda r, h: F.when(r.isNull(), h).otherwise(node_hash(h, r)))
     return listed.select("old_size", F.transform(part(0), lambda h: F.lower(F.hex(h))).alias("proof"), F.lower(F.hex(root)).alias("old_root"))

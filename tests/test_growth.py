@@ -57,3 +57,13 @@ def test_proofs_are_spelled_out_after_the_last_shuffle(spark):
     assert sorted(r.seq for r in rows) == [0, 5, 5, 2999]
     checked = I.verify_inclusion(proofs.join(log.select("seq", I.leaf_hash("data").alias("leaf")), "seq"), 3000).collect()
     assert {r.root for r in checked} == {I.merkle_root(log).first().root}
+
+
+def test_heads_that_ask_for_the_same_run_join_its_hash_alone(spark):
+    log = spark.createDataFrame([(i, f"event-{i}") for i in range(2100)], "seq long, data string")
+    proofs = I.consistency_proofs(I.tiles(log), spark.range(1, 2101).withColumnRenamed("id", "old_size"), 2100)
+    plan = proofs._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan  # no nodes of a tile are copied for a head
+    root = I.merkle_root(log).first().root
+    checked = I.verify_consistency(proofs, 2100, root).collect()
+    assert len(checked) == 2100 and all(r.consistent for r in checked)
