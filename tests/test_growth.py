@@ -4,6 +4,7 @@ from collections import Counter
 
 from evidra.operators import integrity as I
 from evidra.operators import search as Q
+from evidra.operators import similarity as S
 from evidra.operators import variants as V
 
 
@@ -67,3 +68,14 @@ def test_heads_that_ask_for_the_same_run_join_its_hash_alone(spark):
     root = I.merkle_root(log).first().root
     checked = I.verify_consistency(proofs, 2100, root).collect()
     assert len(checked) == 2100 and all(r.consistent for r in checked)
+
+
+def test_holders_of_a_term_meet_inside_a_task(spark, monkeypatch):
+    held = [(i, t) for i in range(80) for t in range(30) if (i + t) % 4]
+    terms = spark.createDataFrame([(f"i{i:02d}", t) for i, t in held], "item string, term int")
+    monkeypatch.setattr(S, "BLOCK_MEETINGS", 20_000)
+    found = S.top_k(terms, 3)
+    assert most_rows(found, "Join") < 3000  # memberships, not pairs
+    sets = {i: {t for j, t in held if j == i} for i in range(80)}
+    first = sorted((-round(len(sets[0] & sets[j]) / len(sets[0] | sets[j]), 9), j) for j in range(1, 80))[:3]
+    assert [r.other for r in found.where("item = 'i00'").orderBy("rank").collect()] == [f"i{j:02d}" for _, j in first]
