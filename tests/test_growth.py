@@ -1,5 +1,6 @@
 """What a step hands on may not grow faster than its input: joins and groups are counted, and results compared with brute force."""
 
+import math
 from collections import Counter
 
 from evidra.operators import hierarchy as H
@@ -93,3 +94,17 @@ def test_holders_of_a_term_meet_inside_a_task(spark, monkeypatch):
     sets = {i: {t for j, t in held if j == i} for i in range(80)}
     first = sorted((-round(len(sets[0] & sets[j]) / len(sets[0] | sets[j]), 9), j) for j in range(1, 80))[:3]
     assert [r.other for r in found.where("item = 'i00'").orderBy("rank").collect()] == [f"i{j:02d}" for _, j in first]
+
+
+def test_prefixes_of_sets_meet_inside_a_task(spark, monkeypatch):
+    held = {i: {f"t{j}" for j in range(40) if (i * 7 + j * j) % 3} | {f"u{i}", f"v{i // 2}"} for i in range(120)}
+    terms = spark.createDataFrame([(i, t) for i, s in held.items() for t in s], "item long, term string")
+    monkeypatch.setattr(S, "TILE_TERMS", 600, raising=False)  # several blocks
+    made, real = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: made.append(most_rows(df, "Join")) or real(df))
+    pairs = S.similar_pairs(terms, 0.5)
+    assert most_rows(pairs, "Join") < 5000 and max(made) < 5000  # 100,000 when every common prefix term was a row
+    n = {t: sum(t in s for s in held.values()) for s in held.values() for t in s}
+    w = lambda ts: sum(-math.log(n[t] / len(held)) for t in ts)
+    want = {(a, b) for a in held for b in held if a < b and w(held[a] & held[b]) >= 0.5 * w(held[a] | held[b])}
+    assert {(r.a, r.b) for r in pairs.collect()} == want
