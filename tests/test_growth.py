@@ -108,3 +108,24 @@ def test_prefixes_of_sets_meet_inside_a_task(spark, monkeypatch):
     w = lambda ts: sum(-math.log(n[t] / len(held)) for t in ts)
     want = {(a, b) for a in held for b in held if a < b and w(held[a] & held[b]) >= 0.5 * w(held[a] | held[b])}
     assert {(r.a, r.b) for r in pairs.collect()} == want
+
+
+def test_a_block_of_items_meets_the_hierarchy_above_it_once(spark, monkeypatch):
+    edges = [(i, p) for i in range(1, 500) for p in {i // 2, i // 3}] + [(0, 500), (500, 499)]  # diamonds and a cycle
+    held = {f"s{k}": {(k * 37 + j * j) % 501 for j in range(60)} for k in range(30)} | {"one": {0}, "two": {0, 500}, "far": {9999}}
+    above = {i: set() for i in range(501)}
+    for _ in range(30):
+        for c, p in edges:
+            above[c] |= ({p} | above[p]) - {c}
+    terms = spark.createDataFrame([(i, t) for i, s in held.items() for t in s], "item string, term long")
+    dag = spark.createDataFrame(edges, "child long, parent long")
+    up = lambda s: set().union(*(above.get(t, set()) for t in s))
+    for levels in (40, 2):  # walked, and closed first
+        monkeypatch.setattr(H, "LEVELS", levels, raising=False)
+        made, real = [], H.cut
+        monkeypatch.setattr(H, "cut", lambda df: made.append(most_rows(df, "Join")) or real(df))
+        full, low = H.expand_terms(terms, dag), H.most_specific(terms, dag)
+        assert levels < 40 or max(made + [most_rows(full, "Join"), most_rows(low, "Join")]) < 2000  # 14,000 when each term of an item was joined with its ancestors
+        assert {(r["item"], r.term) for r in full.collect()} == {(i, t) for i, s in held.items() for t in s | up(s)}
+        assert {(r["item"], r.term) for r in low.collect()} == {(i, t) for i, s in held.items() for t in s if not any(t in above.get(o, ()) for o in s if o != t)}
+        monkeypatch.setattr(H, "cut", real)
