@@ -129,3 +129,52 @@ def test_a_block_of_items_meets_the_hierarchy_above_it_once(spark, monkeypatch):
         assert {(r["item"], r.term) for r in full.collect()} == {(i, t) for i, s in held.items() for t in s | up(s)}
         assert {(r["item"], r.term) for r in low.collect()} == {(i, t) for i, s in held.items() for t in s if not any(t in above.get(o, ()) for o in s if o != t)}
         monkeypatch.setattr(H, "cut", real)
+
+
+def test_a_source_ranks_its_terms_once(spark):
+    edges = spark.createDataFrame([(-1 - i, i % 5) for i in range(400)], "child long, parent long")
+    terms = spark.createDataFrame([(p, 10 * p + j) for p in range(5) for j in range(50)], "item long, term long")
+    ic = spark.createDataFrame([(x, float(x % 7)) for x in range(100)], "term long, ic double")
+    below = spark.createDataFrame([(p, 60) for p in range(5)], "ancestor long, n_below long")
+    found = H.broader_profile(edges.selectExpr("child AS item"), edges, terms, below, ic, n=3)
+    assert most_rows(found, "Join") < 1000  # 20,000 when each entity ranked all terms of its source
+    first = {p: sorted((10 * p + j for j in range(50)), key=lambda x: (-(x % 7 if x < 100 else 0), x))[:3] for p in range(5)}
+    assert {(r["item"], r.source, r.depth, r.term, r["rank"]) for r in found.collect()} == {
+        (-1 - i, i % 5, 1, t, k + 1) for i in range(400) for k, t in enumerate(first[i % 5])}
+
+
+def test_only_the_ancestors_of_entities_are_looked_up(spark, monkeypatch):
+    asked, real = [], H._above
+    monkeypatch.setattr(H, "_above", lambda own, *rest: asked.append(own.count()) or real(own, *rest), raising=False)
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 300)] + [(-1, 299), (-2, 150)], "child long, parent long")
+    terms = spark.createDataFrame([(i, f"t{i % 3}") for i in range(300)], "item long, term string")
+    got = {(r["item"], r.term, r.via) for r in H.inherit_terms(terms, edges, spark.createDataFrame([(-1,), (-2,)], "item long")).collect()}
+    ways, want = {-1: [299 >> k for k in range(10)], -2: [150 >> k for k in range(9)]}, {}
+    for e, nodes in ways.items():
+        for v in set(nodes) - set(ways[-3 - e]):
+            want[e, f"t{v % 3}"] = min(want.get((e, f"t{v % 3}"), v), v)
+    assert got == {(*k, v) for k, v in want.items()}
+    assert asked == [2]
+
+
+def test_what_a_walk_finds_is_not_sent_to_the_driver(spark):
+    edges = spark.createDataFrame([(i, i // 3) for i in range(1, 200)], "child long, parent long")
+    made, real = [], H.cut
+    H.cut = lambda df: made.append(df) or real(df)
+    try:
+        below = {r.id for r in H.under_root(edges, 2).collect()}
+    finally:
+        H.cut = real
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in made)
+    assert below == {i for i in range(3, 200) if 2 in [i // 3 ** k for k in range(1, 6)]}
+
+
+def test_umbrellas_join_no_closure(spark):
+    rows = [(i, f"g{i % 4}") for i in range(1, 120)] + [(5, "g9"), (40, "g9"), (81, None), (40, None)]
+    edges = spark.createDataFrame([(i, p) for i in range(1, 120) for p in {i // 2, i // 3}], "child long, parent long")
+    above = {0: set()}
+    for i in range(1, 120):
+        above[i] = {i // 2, i // 3} | above[i // 2] | above[i // 3]
+    got = {(r.umbrella, r.below) for r in H.umbrella_pairs(spark.createDataFrame(rows, "disease long, gene string"), edges).collect()}
+    genes = {i: {g for j, g in rows if j == i and g} for i in range(120)}
+    assert got == {(a, i) for i in above for a in above[i] if genes[a] & genes[i]}
