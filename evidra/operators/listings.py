@@ -48,27 +48,29 @@ def shared_records(assets: DataFrame, near: DataFrame, owners: DataFrame, n: int
 
     assets: owner, record, type_rank, type. near: owner, partner, near_rank. owners: owner, gene, has_people.
     A partner of the same gene is no route. Order: type, near before far, near rank, with people first, record, partner.
-    Records listed by very many owners would pair up all of them, so partners per (record, type) are taken from the
-    record's best listers only: those near the owner (joined through ``near``), and per has_people the n smallest ids of the
-    n + 1 genes that come first, which is enough for an exact top n whatever the owner's own gene is.
+    Near partners are found through the neighbour lists. For the others a record of a type makes up to one list for each has_people: its smallest ids, at
+    most n of a gene and 2 n in all, which hold the n smallest of another gene whatever the owner's own is. An owner looks at its lists in order, up to the
+    first that offers n partners: every list before it offers fewer than n, and none after it can win.
     """
-    o = assets.join(owners, "owner")
+    o = assets.join(owners, "owner").where("gene IS NOT NULL")
     me = o.select("owner", "record", "type", "type_rank", "gene")
-    # near partners: found through the (short) neighbour lists, not through the record
     via_near = (me.join(near, "owner").join(o.select(F.col("owner").alias("partner"), "record", "type", F.col("gene").alias("p_gene"), F.col("has_people").alias("p_people")),
                                             ["partner", "record", "type"]).where("gene <> p_gene"))
-    # far partners: per record the smallest ids of each (people) group; ranks within a gene so same-gene rows cannot use up the list
     small = Window.partitionBy("record", "type", "has_people", "gene").orderBy("owner")
-    few = o.withColumn("_r", F.row_number().over(small)).where(F.col("_r") <= n)
-    genes = Window.partitionBy("record", "type", "has_people").orderBy("_first", "gene")
-    firsts = few.groupBy("record", "type", "has_people", "gene").agg(F.min("owner").alias("_first"))
-    # the first n partners of another gene come from n genes, so with one's own gene the n + 1 with the smallest ids suffice
-    listed = firsts.withColumn("_g", F.row_number().over(genes))
-    kept = few.join(listed.where(F.col("_g") <= n + 1).select("record", "type", "has_people", "gene"), ["record", "type", "has_people", "gene"])
-    far = (me.join(kept.select(F.col("owner").alias("partner"), "record", "type", F.col("gene").alias("p_gene"), F.col("has_people").alias("p_people")), ["record", "type"])
-           .where("gene <> p_gene").join(near, ["owner", "partner"], "left"))
+    first = Window.partitionBy("record", "type", "has_people").orderBy("owner")
+    few = (o.select("record", "type", "has_people", "gene", "owner").distinct().withColumn("_r", F.row_number().over(small)).where(F.col("_r") <= n)
+           .withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= 2 * n))
+    lists = (few.groupBy("record", "type", "has_people").agg(F.array_sort(F.collect_list(F.struct("owner", "gene"))).alias("l"))
+             .groupBy("record", "type").agg(F.collect_list(F.struct(F.col("has_people").alias("p_people"), "l")).alias("_lists")))
+    offers = (me.distinct().join(lists, ["record", "type"]).select("owner", "gene", "record", "type_rank", F.explode("_lists").alias("x"))
+              .withColumn("partners", F.filter("x.l", lambda p: p["gene"] != F.col("gene"))).where(F.size("partners") > 0)
+              .select("owner", "record", "type_rank", "x.p_people", F.slice("partners.owner", 1, n).alias("partners"),
+                      F.struct("type_rank", (~F.col("x.p_people")).alias("d"), "record").alias("_k")))
+    stop = offers.where(F.size("partners") >= n).groupBy("owner").agg(F.min("_k").alias("_stop"))
+    far = (offers.join(stop, "owner", "left").where(F.col("_stop").isNull() | (F.col("_k") <= F.col("_stop")))
+           .select("owner", F.explode("partners").alias("partner"), "record", "type_rank", F.lit(None).cast(near.schema["near_rank"].dataType).alias("near_rank"), "p_people"))
     cols = ["owner", "partner", "record", "type_rank", "near_rank", "p_people"]
-    rows = via_near.select(*cols).unionByName(far.select(*cols)).distinct()
+    rows = via_near.select(*cols).unionByName(far.select(*cols))  # a near partner's row among the far ones sorts behind its own
     rank = F.struct(F.col("type_rank").alias("a"), F.col("near_rank").isNull().alias("b"), F.coalesce("near_rank", F.lit(999)).alias("c"),
                     (~F.col("p_people")).alias("d"), F.col("record").alias("e"), F.col("partner").alias("f"))
     per_partner = rows.groupBy("owner", "partner").agg(F.min(F.struct(rank.alias("k"), "record")).alias("b"))

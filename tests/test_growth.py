@@ -5,6 +5,7 @@ from collections import Counter
 
 from evidra.operators import hierarchy as H
 from evidra.operators import integrity as I
+from evidra.operators import listings as L
 from evidra.operators import search as Q
 from evidra.operators import similarity as S
 from evidra.operators import variants as V
@@ -178,3 +179,23 @@ def test_umbrellas_join_no_closure(spark):
     got = {(r.umbrella, r.below) for r in H.umbrella_pairs(spark.createDataFrame(rows, "disease long, gene string"), edges).collect()}
     genes = {i: {g for j, g in rows if j == i and g} for i in range(120)}
     assert got == {(a, i) for i in above for a in above[i] if genes[a] & genes[i]}
+
+
+def test_owners_stop_at_the_first_record_with_enough_partners(spark):
+    rows = [(i, r, "t", 0) for i in range(60) for r in range(30) if (i * r) % 7 != 3]
+    people = {i: i % 3 == 0 for i in range(60)}
+    near = [(i, i + 4, 2) for i in range(0, 50, 5)]
+    found = L.shared_records(spark.createDataFrame(rows, "owner long, record long, type string, type_rank int"),
+                             spark.createDataFrame(near, "owner long, partner long, near_rank int"),
+                             spark.createDataFrame([(i, i // 4, people[i]) for i in range(60)], "owner long, gene long, has_people boolean"), 2)
+    listed, got = {i: {r for o, r, _, _ in rows if o == i} for i in range(60)}, found.orderBy("owner", "pos").collect()
+    for i in range(60):
+        best = []
+        for j in range(60):
+            if j // 4 != i // 4 and listed[i] & listed[j]:
+                rank = {b: k for a, b, k in near if a == i}.get(j)
+                best.append((rank is None, rank or 999, not people[j], min(listed[i] & listed[j]), j))
+        want = [(b[4], b[3]) for b in sorted(best)[:2]]
+        assert [(r.partner, r.record) for r in got if r.owner == i] == want
+    assert most_rows(found, "Generate") < 4000  # lists and what they offer up to the stop
+    assert most_rows(found, "Join") < 4000  # 14,565 when every record met all the partners of its lists
