@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.quantiles import exact_quantile
+from evidra.session import dealt
 
 
 def coverage(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
@@ -48,7 +49,7 @@ def weighted_people(authors: DataFrame, n: int = 8) -> DataFrame:
     """
     key = F.concat(F.lower("surname"), F.lit(" "), F.lower(F.substring("given", 1, 1)))
     weight = F.when((F.col("pos") == 0) | (F.col("pos") == F.col("last_pos")), 2).otherwise(1)
-    rows = authors.withColumn("key", key).withColumn("w", weight)
+    rows = dealt(authors.select("topic", key.alias("key"), "paper", "affiliation", "year", weight.alias("w")), "topic", "key")  # both groupings stay where they are
     base = (rows.groupBy("topic", "key").agg(F.countDistinct("paper").alias("papers"), F.sum("w").alias("weight"), F.max("year").alias("latest"))
             .where("papers >= 2 OR weight >= 2"))
     modal = (rows.where("affiliation <> ''").groupBy("topic", "key", "affiliation").agg(F.count(F.lit(1)).alias("n")).groupBy("topic", "key")

@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.operators import metrics as M
+from evidra.session import dealt
 
 from .registry import query
 from .shared import r4
@@ -51,7 +52,7 @@ m AS (SELECT topic, key, affiliation FROM (SELECT topic, key, affiliation, row_n
 r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, papers DESC, key) AS rank FROM b)
 SELECT topic, key, CAST(papers AS BIGINT) AS papers, CAST(weight AS BIGINT) AS weight, CAST(latest AS INTEGER) AS latest, CAST(rank AS INTEGER) AS rank, coalesce(affiliation, '') AS affiliation FROM r LEFT JOIN m USING (topic, key) WHERE rank <= 8""".replace("GROUP BY ALL) WHERE r = 1", "GROUP BY topic, key, affiliation) WHERE r = 1"))
 def weighted_people(t):
-    a = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(*[x for x in (
+    a = dealt(t.lineitem, "l_orderkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(*[x for x in (
         "l_suppkey AS topic", "l_orderkey AS paper", "l_linenumber - 1 AS pos", "6 AS last_pos", "concat('Fam', o_custkey % 400) AS surname", "CASE WHEN l_quantity > 25 THEN 'Ada' ELSE 'Bo' END AS given",
         "CASE WHEN l_tax > 0.04 THEN concat('Uni ', o_custkey % 7) ELSE '' END AS affiliation", "year(o_orderdate) AS year")])
     return M.weighted_people(a)
