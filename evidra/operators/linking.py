@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions.strings import capitalised, plain
 from evidra.functions.vocab import best_strength
+from evidra.session import dealt
 
 
 def capped_list(df: DataFrame, by: Sequence[str], value: str, n: int, order: Sequence[Column] | None = None,
@@ -98,25 +99,35 @@ def overlay_claims(base: DataFrame, claims: DataFrame, entities: DataFrame, n_so
 
     base: item, term, source, ref, frequency. claims: subject, term, source, ref, frequency, claim_id. entities: item, node.
     Returns item, term, contributed (whether a claim adds to it), sources, refs (the first ``n_refs`` in order), frequency (the base's, else that
-    of the first claim that gives one) and n_claims; the claims themselves are ``claim_targets``.
+    of the first claim that gives one) and n_claims; the claims themselves are ``claim_targets``. ``base`` may repeat its rows.
+
+    Rows of a term at an item meet in one task, once: every list and figure is read there, in the order of sources, of refs and of claims.
     """
     rows = (base.select("item", "term", "source", "ref", "frequency", F.lit(None).cast("long").alias("claim_id"))
             .unionByName(claim_targets(claims, entities)))
+    at = Window.partitionBy("item", "term")
+    by_claim = at.orderBy("claim_id")
+    every = by_claim.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = {c: F.dense_rank().over(at.orderBy(F.col(c).asc_nulls_last())) for c in ("source", "ref")}
     given = F.coalesce(F.col("frequency"), F.lit("")) != ""
-    facts = rows.groupBy("item", "term").agg(
-        F.bool_or(F.col("claim_id").isNotNull()).alias("contributed"), F.countDistinct("claim_id").alias("n_claims"),
-        F.coalesce(F.min(F.when(given, F.struct("claim_id", "frequency")))["frequency"], F.lit("")).alias("frequency"))
-    refs = capped_list(rows.where("ref IS NOT NULL").select("item", "term", "ref").distinct(), ["item", "term"], "ref", n_refs, name="refs")
-    return (facts.join(capped_list(rows, ["item", "term"], "source", n_sources, name="sources"), ["item", "term"])
-            .join(refs, ["item", "term"], "left"))
+    # a list is cut to its cap by rank before it is collected, so lists stay short
+    first = {c: F.collect_set(F.when(F.col(f"_{c}") <= n, F.col(c))).over(every) for c, n in (("source", n_sources), ("ref", n_refs))}
+    read = (dealt(rows, "item", "term", of=(base, claims)).select("*", *(r.alias(f"_{c}") for c, r in place.items()))
+            .select("item", "term", first["source"].alias("sources"), first["ref"].alias("refs"),
+                    F.min(F.when(given, F.struct("claim_id", "frequency"))).over(every)["frequency"].alias("frequency"),
+                    F.count(F.lit(1)).over(every).alias("_rows"), F.count("claim_id").over(every).alias("_claimed"),
+                    F.row_number().over(by_claim).alias("_at"), F.dense_rank().over(by_claim).cast("long").alias("_ids")))
+    last = read.where("_at = _rows")  # here _ids counts the different claim_ids, the null of the base as one
+    return last.select("item", "term", (F.col("_claimed") > 0).alias("contributed"), (F.col("_ids") - (F.col("_claimed") < F.col("_rows")).cast("long")).alias("n_claims"),
+                       F.coalesce("frequency", F.lit("")).alias("frequency"), F.array_sort("sources").alias("sources"),
+                       F.when(F.size("refs") > 0, F.array_sort("refs")).alias("refs"))
 
 
 def claim_targets(claims: DataFrame, entities: DataFrame) -> DataFrame:
     """item, term, source, ref, frequency, claim_id: every claim at each entity that it reaches."""
-    kept = ["term", "source", "ref", "frequency", "claim_id"]
-    direct = claims.join(entities.select(F.col("item").alias("subject")), "subject", "left_semi").select(F.col("subject").alias("item"), *kept)
-    rest = claims.join(entities.select(F.col("item").alias("subject")), "subject", "left_anti")
-    return direct.unionByName(rest.join(entities.select("item", F.col("node").alias("subject")), "subject").select("item", *kept))
+    direct = entities.select(F.col("item").alias("subject"), "item").distinct()
+    below = entities.select(F.col("node").alias("subject"), "item").distinct().join(direct.select("subject").hint("merge"), "subject", "left_anti")
+    return claims.join(direct.unionByName(below).hint("merge"), "subject").select("item", "term", "source", "ref", "frequency", "claim_id")
 
 
 def id_overlap(variants: DataFrame, keys: DataFrame, generic: Sequence[str] = ()) -> DataFrame:

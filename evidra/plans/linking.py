@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from evidra.functions import strings, vocab
 from evidra.operators import linking as L
 
-from .hierarchy import LOT_TERMS, lot_terms
+from .hierarchy import LOT_TERMS
 from .registry import query
 
 CONFIDENCE = """CASE o_orderpriority WHEN '1-URGENT' THEN 'Definitive' WHEN '2-HIGH' THEN 'Moderate' WHEN '3-MEDIUM' THEN 'Limited'
@@ -131,7 +131,7 @@ def overlay_claims(t):
     claims = t.lineitem.selectExpr(
         subject, "l_suppkey AS term", "concat('claim ', l_orderkey) AS source", "CASE WHEN l_linenumber <= 4 THEN concat('PMID:', l_orderkey % 97) END AS ref",
         "CASE WHEN l_discount > 0.05 THEN concat(l_linenumber, '/7') ELSE '' END AS frequency", "l_orderkey * 10 + l_linenumber AS claim_id")
-    base = lot_terms(t).selectExpr("*", "'base' AS source", "CAST(NULL AS STRING) AS ref", "CASE WHEN item % 3 = 0 THEN '1/2' ELSE '' END AS frequency")
+    base = t.lineitem.selectExpr("l_partkey AS item", "l_suppkey AS term", "'base' AS source", "CAST(NULL AS STRING) AS ref", "CASE WHEN l_partkey % 3 = 0 THEN '1/2' ELSE '' END AS frequency")
     return (L.overlay_claims(base, claims, entity).withColumn("sources", F.array_join("sources", "; "))
             .withColumn("refs", F.coalesce(F.array_join("refs", "; "), F.lit(""))))
 

@@ -6,6 +6,7 @@ from collections import Counter
 from evidra import session
 from evidra.operators import hierarchy as H
 from evidra.operators import integrity as I
+from evidra.operators import linking as K
 from evidra.operators import listings as L
 from evidra.operators import metrics as M
 from evidra.operators import search as Q
@@ -225,3 +226,30 @@ def test_tasks_do_not_grow_with_the_rows(spark, monkeypatch):
     first = {t: sorted((-w, -len(s), k, y, min(c, key=lambda x: (-c[x], x))) for (o, k), (s, w, y, c) in want.items() if o == t)[:4] for t in range(3)}
     assert {(r.topic, r.key, r.papers, r.weight, r.latest, r.affiliation, r["rank"]) for r in people.collect()} == {
         (t, k, -s, -w, y, at, i + 1) for t in first for i, (w, s, k, y, at) in enumerate(first[t])}
+
+
+def test_claims_meet_the_base_in_one_task(spark):
+    entities = [(i, -1 - i // 4) for i in range(200)] + [(7, -9), (7, -2), (12, -9), (13, 14)]  # some below several nodes, one below an item
+    base = [(i, t, "base" if (i + t) % 9 else "older", f"B{t}" if t % 4 == 0 else None, ["1/2", "", None][i % 3]) for i in range(300) for t in range(12) for _ in range(1 + i % 2)]
+    base += [(3, None, "base", None, "1/2")]
+    said = [([i % 40, -1 - i % 30, -9, 14][i % 4], i % 5 if i % 50 else None, f"c{i % 23}" if i % 6 else None, f"P{i % 8}" if i % 3 else None, ["", None, f"{i}/9"][i % 3], i // 2) for i in range(400)]
+    found = K.overlay_claims(spark.createDataFrame(base, "item long, term long, source string, ref string, frequency string"),
+                             spark.createDataFrame(said, "subject long, term long, source string, ref string, frequency string, claim_id long"),
+                             spark.createDataFrame(entities, "item long, node long"))
+    items, groups = {i for i, _ in entities}, {}
+    for item, *row in base:
+        groups.setdefault((item, row[0]), []).append((*row[1:], None))
+    reached = 0
+    for subject, *row in said:
+        at = {subject} if subject in items else {i for i, n in entities if n == subject}
+        reached += len(at)
+        for item in at:
+            groups.setdefault((item, row[0]), []).append(tuple(row[1:]))
+    want = {}
+    for key, rows in groups.items():
+        ids = {i for *_, i in rows if i is not None}
+        given = min([((-1 if i is None else i), f) for _, _, f, i in rows if f], default=(0, ""))[1]
+        want[key] = (bool(ids), len(ids), given, sorted({s for s, *_ in rows if s})[:6], sorted({r for _, r, *_ in rows if r})[:5] or None)
+    assert {(r["item"], r.term): (r.contributed, r.n_claims, r.frequency, r.sources, r.refs) for r in found.collect()} == want and found.count() == len(want)
+    assert most_rows(found, "Join") <= reached + 200  # 3,600 when lists and figures of an item were made apart and joined
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(item") == 1
