@@ -1,8 +1,12 @@
 """What a step hands on may not grow faster than its input: joins and groups are counted, and results compared with brute force."""
 
 import math
+import random
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from evidra import session
 from evidra.operators import hierarchy as H
 from evidra.operators import integrity as I
@@ -253,3 +257,25 @@ def test_claims_meet_the_base_in_one_task(spark):
     assert {(r["item"], r.term): (r.contributed, r.n_claims, r.frequency, r.sources, r.refs) for r in found.collect()} == want and found.count() == len(want)
     assert most_rows(found, "Join") <= reached + 200  # 3,600 when lists and figures of an item were made apart and joined
     assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(item") == 1
+
+
+@pytest.mark.parametrize("cycle", [False, True])
+def test_large_sets_are_marked_some_at_a_time(spark, monkeypatch, cycle):
+    rng = random.Random(6)
+    n = 300
+    up = {(i, j) for i in range(1, n) for j in (i // 4, i // 6) if i != j} | ({(2, 290), (0, 9)} if cycle else set())
+    graph = H._graph(np.array([c for c, _ in up]), np.array([p for _, p in up]), n)
+    over = {i: set() for i in range(n)}
+    for _ in range(40):
+        for c, p in up:
+            over[c] |= {p} | over[p]
+    sets = [sorted(rng.sample(range(n), 60)) for _ in range(20)]
+    held = np.array([i * n + x for i, s in enumerate(sets) for x in s])
+    monkeypatch.setattr(H, "CELLS", 3 * n)
+    real, sizes = np.zeros, []
+    monkeypatch.setattr(H.np, "zeros", lambda shape, *a, **b: (sizes.append(shape), real(shape, *a, **b))[1])
+    for lowest in (False, True):
+        got = H._lifted(held, n, graph, lowest).tolist()
+        want = [sorted({x for x in s if not any(x in over[o] and o != x for o in s)} if lowest else set(s).union(*(over[x] for x in s))) for s in sets]
+        assert got == [i * n + x for i, s in enumerate(want) for x in s]
+    assert sizes and max(sizes) <= 3 * n  # no table of all sets
