@@ -279,3 +279,13 @@ def test_large_sets_are_marked_some_at_a_time(spark, monkeypatch, cycle):
         want = [sorted({x for x in s if not any(x in over[o] and o != x for o in s)} if lowest else set(s).union(*(over[x] for x in s))) for s in sets]
         assert got == [i * n + x for i, s in enumerate(want) for x in s]
     assert sizes and max(sizes) <= 3 * n  # no table of all sets
+
+
+def test_expanded_lists_are_not_grouped_again(spark):
+    terms = spark.createDataFrame([(i, t) for i in range(30) for t in range(i, i + 40)] + [(None, 7), (3, None), (99, None)], "item long, term long")
+    dag = spark.createDataFrame([(t, t // 2) for t in range(1, 80)], "child long, parent long")
+    lists = H.expand_terms(terms, dag, lists=True)
+    got = {r.item: r.terms for r in lists.collect()}
+    assert got.keys() == {*range(30), None} and all(len(t) == len(set(t)) for t in got.values())
+    rows = Counter((r.item, r.term) for r in H.expand_terms(terms, dag).collect())
+    assert rows == Counter((i, t) for i, s in got.items() for t in s)
