@@ -252,3 +252,39 @@ def test_machinery_by_blocks(spark, monkeypatch, dense_share):
     pairs = spark.createDataFrame([(1, 0), (0, 1), (99, 2), (7, 1000), (5, 6)], "a long, b long")
     got = {(r.a, r.b): r.mech for r in split.score(pairs).collect()}
     assert got == {(1, 0): want[(0, 1)], (0, 1): want[(0, 1)], (99, 2): want[(2, 99)], (7, 1000): 0.0, (5, 6): want.get((5, 6), 0.0)}
+
+
+@pytest.mark.parametrize("few", [0, 10 ** 9])
+def test_blocks_of_machinery_meet_where_they_are_stored(spark, monkeypatch, few):
+    """Lists or rows, one block or many, pairs looked up or taken from whole blocks: the same scores and reasons, and no shuffle of what ids hold."""
+    rng = random.Random(9)
+    held = {i: {t for t in range(40) if rng.random() < 0.25} | {rng.randrange(40)} for i in range(60)}
+    dag = spark.createDataFrame([(t, t // 2) for t in range(1, 40)], "child long, parent long")
+    rows = spark.createDataFrame([(i, t) for i, s in held.items() for t in s], "item long, term long")
+    lists = spark.createDataFrame([(i, sorted(s)) for i, s in held.items()], "item long, terms array<long>")
+    edges = spark.createDataFrame([(0, 1, 900), (2, 77, 800), (5, 40, 750)], "a long, b long, score int")
+    weights = {"go": 0.5, "partners": 0.5}
+    whole = N.Machinery({"go": rows, "partners": N.partner_terms(edges)}, edges, weights)
+    monkeypatch.setattr(N, "BLOCK_TERMS", 60)
+    monkeypatch.setattr(N, "PARTS", 2)
+    monkeypatch.setattr(N, "FEW", few)
+    split = N.Machinery({"go": lists, "partners": N.partner_terms(edges, lists=True)}, edges, weights)
+    assert whole.blocks == 1 and split.blocks > 8 and split.packed.count() <= split.blocks
+    assert {tuple(r) for r in split.top(4).collect()} == {tuple(r) for r in whole.top(4).collect()}
+    plan = split._compared(split.bonus, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    asked = spark.createDataFrame([(a, b) for a in range(0, 60, 7) for b in range(60)] + [(77, 2), (3, 1000), (None, 4)], "a long, b long")
+    assert {(r.a, r.b, r.mech) for r in split.score(asked).collect()} == {(r.a, r.b, r.mech) for r in whole.score(asked).collect()}
+    sim = {x: y for x, y in brute({i: {f"{t}" for t in s} for i, s in held.items()}).items()}
+    got = {(r.a, r.b): r.weighted for r in split.score(asked).where("a <> b and a < 60 and b < 60").collect()}
+    plain = {p for p in got if not {0, 1, 2, 5, 40} & set(p)}
+    assert plain and all(abs(got[p] - 0.5 * sim.get(p, sim.get(p[::-1], 0))) < 1e-9 for p in plain)
+    reasons = {tuple(r) for r in split.explain(asked, 3, {"go": dag}).collect()}
+    assert reasons == {tuple(r) for r in whole.explain(asked, 3, {"go": dag}).collect()}
+    over = {t: {t >> k for k in range(1, 7)} - {t} for t in range(40)}
+    n = {t: sum(t in s for s in held.values()) for t in range(40)}
+    for a, b in ((7, 8), (14, 30), (21, 3)):
+        shared = {t for t in held[a] & held[b] if n[t] < 60}
+        low = sorted((t for t in shared if not any(t in over[o] for o in shared)), key=lambda t: (-round(math.log(60 / n[t]), 9), str(t)))[:3]
+        assert [r[3] for r in sorted((r for r in reasons if r[:2] == (a, b)), key=lambda r: r[5])] == [str(t) for t in low]
+    assert {r.item for r in split.holders("go").collect()} == set(held)
