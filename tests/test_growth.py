@@ -289,3 +289,23 @@ def test_expanded_lists_are_not_grouped_again(spark):
     assert got.keys() == {*range(30), None} and all(len(t) == len(set(t)) for t in got.values())
     rows = Counter((r.item, r.term) for r in H.expand_terms(terms, dag).collect())
     assert rows == Counter((i, t) for i, s in got.items() for t in s)
+
+
+def test_blocks_of_items_are_not_shuffled_to_meet(spark, monkeypatch):
+    rng = random.Random(8)
+    held = {i: {t for t in range(50) if rng.random() < 0.15} | {rng.randrange(50)} for i in range(150)}
+    terms = spark.createDataFrame([(i, t) for i, s in held.items() for t in s] + [(None, 3), (7, None)], "item long, term int")
+    monkeypatch.setattr(S, "BLOCK_ITEMS", 20)
+    monkeypatch.setattr(S, "BLOCK_MEETINGS", 100)
+    found = S.top_k(terms, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange") == 1  # the last ranking
+    n = {t: sum(t in s for s in held.values()) + (t == 3) for t in range(50)}
+    weight = {t: -math.log(n[t] / len(held)) for t in n}
+    total = {i: sum(weight[t] for t in s) for i, s in held.items()}
+    got = {(r.item, r["rank"]): r.other for r in found.collect()}
+    for i in held:
+        shared = {j: sum(weight[t] for t in held[i] & held[j]) for j in held if j != i and held[i] & held[j]}
+        want = sorted((-round(s / (total[i] + total[j] - s), 9), j) for j, s in shared.items())[:4]
+        assert [got[i, r + 1] for r in range(len(want))] == [j for _, j in want]
+    assert {i for i, _ in got} <= set(held)
