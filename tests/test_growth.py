@@ -309,3 +309,27 @@ def test_blocks_of_items_are_not_shuffled_to_meet(spark, monkeypatch):
         want = sorted((-round(s / (total[i] + total[j] - s), 9), j) for j, s in shared.items())[:4]
         assert [got[i, r + 1] for r in range(len(want))] == [j for _, j in want]
     assert {i for i, _ in got} <= set(held)
+
+
+def test_blocks_of_prefixes_are_not_shuffled_to_meet(spark, monkeypatch):
+    terms = spark.createDataFrame([(i, f"t{(i * j) % 31}") for i in range(90) for j in range(1, 9)] + [(i, f"u{i // 2}") for i in range(90)], "item long, term string").distinct()
+    want = {tuple(r) for r in S.similar_pairs(terms, 0.4).select("a", "b").collect()}
+    monkeypatch.setattr(S, "TILE_TERMS", 60)
+    plans, real = [], S._tiles
+    monkeypatch.setattr(S, "_tiles", lambda *a: [t := real(*a), plans.append((t.count(), t._jdf.queryExecution().executedPlan().toString()))][0])
+    assert {tuple(r) for r in S.similar_pairs(terms, 0.4).select("a", "b").collect()} == want and len(want) > 40
+    assert plans[0][0] > 20 and "CartesianProduct" in plans[0][1] and "Exchange" not in plans[0][1]
+
+
+def test_what_a_seed_meets_is_shuffled_once(spark):
+    held = {i: {t for t in range(30) if (i * t + t * t) % 4 == 1} | {i % 5} for i in range(50)}
+    terms = spark.createDataFrame([(i, t) for i, s in held.items() for t in s], "item long, term long")
+    found = S.rank_of_pair(spark.createDataFrame([(3, 8), (3, 4), (9, 1), (9, 9), (70, 1)], "a long, b long"), terms)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(seed#") == 1
+    n = {t: sum(t in s for s in held.values()) for t in range(30)}
+    w = lambda ts: sum(-math.log(n[t] / 50) for t in ts)
+    sim = {(i, j): round(w(held[i] & held[j]) / w(held[i] | held[j]), 9) for i in held for j in held if i != j and w(held[i] & held[j]) > 0}
+    for r in found.collect():
+        mine = sim.get((r.a, r.b), 0.0)
+        assert abs(r.sim - mine) < 1e-9 and r["rank"] == 1 + sum(s > mine + 1e-10 for (i, _), s in sim.items() if i == r.a)
